@@ -6,6 +6,10 @@ import importlib
 
 #: Query name: the module that has its `query` and, where SQL can express it, its `ORACLE_SQL`.
 MODULES = {
+    "op3_url_filter": "urls",
+    "op6_chat_format": "chat",
+    "op7_toxicity": "toxicity",
+    "op9_bpe": "bpe",
     "op10_secret_scan": "secrets",
 }
 
