@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: the module that has its `query` and, where SQL can express it, its `ORACLE_SQL`.
 MODULES = {
+    "op1_substring_dedup": "substrings",
     "op2_minhash_near_dedup": "minhash",
     "op3_url_filter": "urls",
     "op6_chat_format": "chat",
