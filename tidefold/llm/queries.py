@@ -9,6 +9,7 @@ MODULES = {
     "op1_substring_dedup": "substrings",
     "op2_minhash_near_dedup": "minhash",
     "op3_url_filter": "urls",
+    "op4_embedding_near_dedup": "embeddings",
     "op6_chat_format": "chat",
     "op7_toxicity": "toxicity",
     "op9_bpe": "bpe",
