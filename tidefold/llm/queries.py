@@ -12,6 +12,7 @@ MODULES = {
     "op4_embedding_near_dedup": "embeddings",
     "op6_chat_format": "chat",
     "op7_toxicity": "toxicity",
+    "op8_nearest": "nearest",
     "op9_bpe": "bpe",
     "op10_secret_scan": "secrets",
 }
