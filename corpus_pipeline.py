@@ -1,17 +1,54 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`: toxicity, near-dedup, substring dedup, secret scan, packing.
+
+Each stage takes the rows that the one before it kept, with the columns of documents, and writes what it keeps for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidefold.llm import minhash, packing, secrets, substrings, toxicity
+from tidefold.llm.common import materialize, small_batches, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; all labelled rows of the table train the lexicon."""
+    small_batches(spark)
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).where(F.col("toxicity") < 0.5).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles, similarity of 0.8 or more."""
+    return minhash.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are taken out."""
+    return substrings.remove_repeats(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are laid into sequences."""
+    return packing.pack(docs).withColumnRenamed("key", "doc_id")
+
 
-from tidefold.llm import secrets
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("secret_scan", redact_secrets), ("packing", pack)]
 
-STAGES = [("secret_scan", lambda spark, docs, sf_dir: secrets.redact(docs))]
+#: Learning, sketches and sequential packing have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs

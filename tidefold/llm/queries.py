@@ -10,6 +10,7 @@ MODULES = {
     "op2_minhash_near_dedup": "minhash",
     "op3_url_filter": "urls",
     "op4_embedding_near_dedup": "embeddings",
+    "op5_best_fit_packing": "packing",
     "op6_chat_format": "chat",
     "op7_toxicity": "toxicity",
     "op8_nearest": "nearest",
