@@ -26,19 +26,21 @@ from .common import discard, materialize, small_batches
 # Characters that look like Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁɡⅼոυνωαεικορτҽǝ", "aeopcyxijshdglnuvwaeikoptee")
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
-INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
+_FOLDED = _INVISIBLE | HOMOGLYPHS
+_ODD = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
 _WORD = re.compile(r"[^\W_]+")
-_LEET = re.compile(r"(?<![^\W_])(?=[^\s]*[a-z])[a-z0-9@$!|]*[0-9@$!|][a-z0-9@$!|]*[a-z0-9@$]")
-SAMPLE_ROWS = 20_000
+_LEET = re.compile(r"(?<![^\W_])(?:[a-z]+[0-9@$!|]|[0-9@$!|]+[a-z])[a-z0-9@$!|]*(?<![!|])")
+SAMPLE_ROWS = 10_000
 PREFIXES = range(3, 9)
 
 
 def fold(text: str) -> str:
     """Lower case, with homoglyphs, digits and signs in words read as letters."""
     out = text.lower()
-    if not out.isascii():
-        out = out.translate(INVISIBLE).translate(HOMOGLYPHS)
+    if not out.isascii() and _ODD.search(out):
+        out = out.translate(_FOLDED)
     return _LEET.sub(lambda m: m[0].translate(SUBSTITUTES), out)
 
 
@@ -91,22 +93,24 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
+def _table(toxic: Counter, clean: Counter):
+    keys = list(toxic.keys() | clean.keys())
+    if keys:
+        yield pd.DataFrame({"feature": keys, "t": np.array([toxic[k] for k in keys], dtype=np.int64), "c": np.array([clean[k] for k in keys], dtype=np.int64)})
+
+
 def _counts(batches):
     """Of each partition: in how many toxic and clean documents a feature stands."""
     toxic, clean = Counter(), Counter()
 
-    def drain():
-        keys = list(toxic.keys() | clean.keys())
-        return pd.DataFrame({"feature": keys, "t": np.array([toxic[k] for k in keys], dtype=np.int64), "c": np.array([clean[k] for k in keys], dtype=np.int64)})
-
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["toxic"]):
             (toxic if label else clean).update(features(text))
         if len(toxic) + len(clean) > 200_000:
-            yield drain()
+            yield from _table(toxic, clean)
             toxic.clear()
             clean.clear()
-    yield drain()
+    yield from _table(toxic, clean)
 
 
 def _neighbours(terms: frozenset[str]):
@@ -121,8 +125,7 @@ def _neighbours(terms: frozenset[str]):
                     if w in terms or any(w[:k] + "*" in terms for k in PREFIXES if len(w) > k):
                         found.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1)
                 (toxic if label else clean).update(found)
-        keys = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": keys, "t": np.array([toxic[k] for k in keys], dtype=np.int64), "c": np.array([clean[k] for k in keys], dtype=np.int64)})
+        yield from _table(toxic, clean)
 
     return count
 
