@@ -100,8 +100,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: s
     shards = partitions_for(part.count(), SHARD, 1)
     dealt = part.withColumn("shard", F.pmod(F.xxhash64("key", "cluster", "nameless"), F.lit(shards)).cast("long"))
     packed = dealt.groupBy("shard").applyInPandas(_packed(capacity), "key long, nameless boolean, piece long, size long, shard long, bin long, offset long")
-    # a full piece fills a bin: its own, in a shard of its document
-    alone = full.select("key", "nameless", "piece", "size", F.lit(-1).cast("long").alias("shard"), F.xxhash64("key", "cluster", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    # a full piece fills a bin of its own; these are shard -1, numbered by their place in the table of sizes
+    alone = full.select("key", "nameless", "piece", "size", F.lit(-1).cast("long").alias("shard"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone).withColumn("key", F.when(~F.col("nameless"), F.col("key"))).drop("nameless")
 
 
