@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     if not crowded.isEmpty():
         mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
         dealt = seeds.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         plain = dealt.select("key", "node", "weight", "raw", (low * F.col("blocks") + high).alias("part"), F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") == low, 1).otherwise(2).cast("long").alias("side"))
     found = plain.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_linked(cosine), "node long, other long, links long")
