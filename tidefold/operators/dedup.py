@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,9 +60,10 @@ def reject_reason(samples: str, frames: int, std_min: float, rms_min: float, pea
 
 def shifted_partner(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Pair each row with the next in hash order, the last with the first: a permutation without fixed points."""
+    from .frames import running_totals
     from .sampling import hash_order
 
-    over = W.orderBy(hash_order(seed, key), key)
-    ranked = df.select(key, F.row_number().over(over).alias("__r"), F.count("*").over(W.partitionBy(F.lit(0))).alias("__n"))
-    nxt = ranked.select(F.col(key).alias("partner"), F.when(F.col("__r") == 1, F.col("__n")).otherwise(F.col("__r") - 1).alias("__r"))
+    ranked = running_totals(df.select(key, hash_order(seed, key).alias("__h")), ["__h", key], {"__r": F.lit(1)})
+    total = ranked.agg(F.max("__r").alias("__n"))  # one row
+    nxt = ranked.crossJoin(F.broadcast(total)).select(F.col(key).alias("partner"), F.when(F.col("__r") == 1, F.col("__n")).otherwise(F.col("__r") - 1).alias("__r"))
     return ranked.select(key, "__r").join(nxt, "__r").select(key, "partner")

@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import written
+
+
+def running_totals(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Add running sums, this row included, over one order of the whole table, without gathering it in one task.
+
+    Rows are range-partitioned by the order (which must be total) and written; each partition sums its own rows, and the
+    totals of the partitions before it, one row a partition, are added. The number of a row is the running sum of 1.
+    """
+    values = {f"__v_{name}": value for name, value in sums.items()}
+    placed = written(df.withColumns(values).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    totals = placed.groupBy("__p").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("__p", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__o_{name}") for name, v in zip(sums, values)])
+    here = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(offsets), "__p")  # a row for each partition
+    return out.select(*df.columns, *[(F.col(f"__o_{name}") + F.sum(f"__v_{name}").over(here)).alias(name) for name in sums])
+
 
 def islands(frames: DataFrame, key: str, index: str, value: str) -> DataFrame:
     """Maximal runs of value 1: key, first and last index. The difference of two row numbers is constant within a run."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import running_totals
+
 
 def argmax(array: str | Column) -> Column:
     """Index of the largest value from 0; the lowest index on ties."""
@@ -56,25 +58,36 @@ def summary(report: DataFrame, matrix: DataFrame) -> DataFrame:
     return agg.crossJoin(F.broadcast(seen)).select(F.try_divide(F.col("right").cast("double"), F.col("total")).alias("accuracy"), "macro_f1", "weighted_f1", "balanced_accuracy", "seen_macro_f1")
 
 
-def average_precision(df: DataFrame, score: str, target: str, group: str | None = None) -> DataFrame:
-    """Step-wise average precision: sum over distinct scores of (R_n - R_n-1) P_n; tied scores are one step.
+def _steps(df: DataFrame, score: str, target: str, keys: list[str]) -> DataFrame:
+    """Positives and rows at each distinct score."""
+    return df.groupBy(*keys, score).agg(F.sum(F.col(target).cast("double")).alias("tp"), F.count("*").cast("double").alias("n"))
+
+
+def precision_recall(df: DataFrame, score: str, target: str, group: str | None = None) -> DataFrame:
+    """Precision and recall at each distinct score, from the highest down: ([group], score, tp, precision, recall).
 
-    Rows are first counted by score, so the running sums go over distinct scores.
+    Running sums go over all groups in one order and a group's own start is taken off, so neither a group nor the whole
+    table is gathered in one task.
     """
     keys = [group] if group else []
-    steps = df.groupBy(*keys, score).agg(F.sum(F.col(target).cast("double")).alias("tp"), F.count("*").cast("double").alias("n"))
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = part.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    cum = steps.withColumns({"ctp": F.sum("tp").over(run), "cn": F.sum("n").over(run), "all": F.sum("tp").over(part)})
-    return cum.groupBy(*keys).agg(F.sum(F.try_divide(F.col("tp"), F.col("all")) * F.col("ctp") / F.col("cn")).alias("ap"))
+    steps = _steps(df, score, target, keys)
+    cum = running_totals(steps, [*keys, F.desc(score)], {"ctp": F.col("tp"), "cn": F.col("n")})
+    whole = cum.groupBy(*keys).agg(F.min(F.col("ctp") - F.col("tp")).alias("tp0"), F.min(F.col("cn") - F.col("n")).alias("n0"), F.sum("tp").alias("positives"))
+    joined = cum.join(whole, keys) if keys else cum.crossJoin(F.broadcast(whole))  # without groups, one row
+    found = F.col("ctp") - F.col("tp0")
+    return joined.select(*keys, score, "tp", "positives", (found / (F.col("cn") - F.col("n0"))).alias("precision"), F.try_divide(found, "positives").alias("recall"))
+
+
+def average_precision(df: DataFrame, score: str, target: str, group: str | None = None) -> DataFrame:
+    """Step-wise average precision: sum over distinct scores of (R_n - R_n-1) P_n; tied scores are one step."""
+    keys = [group] if group else []
+    return precision_recall(df, score, target, group).groupBy(*keys).agg(F.sum(F.try_divide("tp", "positives") * F.col("precision")).alias("ap"))
 
 
 def roc_auc(df: DataFrame, score: str, target: str) -> DataFrame:
     """Binary AUC by rank sums with average ranks for ties, over counts by score."""
-    steps = df.groupBy(score).agg(F.sum(F.col(target).cast("double")).alias("p"), F.count("*").cast("double").alias("n"))
-    run = W.partitionBy(F.lit(0)).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = steps.withColumn("rank", F.coalesce(F.sum("n").over(run), F.lit(0.0)) + (F.col("n") + 1) / 2)
-    agg = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    ranked = running_totals(_steps(df, score, target, []), [score], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    agg = ranked.agg(F.sum(F.col("rank") * F.col("tp")).alias("r"), F.sum("tp").alias("p"), F.sum(F.col("n") - F.col("tp")).alias("q"))
     return agg.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import running_totals
+
 
 def hash_order(seed: int | str, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
@@ -19,8 +21,12 @@ def per_group(df: DataFrame, group: str | list[str], key: str, n: int | Column,
 
 def ranked_split(df: DataFrame, stratum: str | None, key: str, fractions: tuple[float, float], seed: int | str = 0) -> DataFrame:
     """Add split: of each stratum round(n * f) rows (half to even) are test, then val, the rest train; at least one train."""
-    part = W.partitionBy(stratum) if stratum else W.partitionBy(F.lit(0))
-    ranked = df.withColumns({"__rn": F.row_number().over(part.orderBy(hash_order(seed, key), key)), "__n": F.count("*").over(part)})
+    if stratum:
+        part = W.partitionBy(stratum)
+        ranked = df.withColumns({"__rn": F.row_number().over(part.orderBy(hash_order(seed, key), key)), "__n": F.count("*").over(part)})
+    else:
+        ranked = running_totals(df.withColumn("__h", hash_order(seed, key)), ["__h", key], {"__rn": F.lit(1)}).drop("__h")
+        ranked = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
     test = F.bround(F.col("__n") * fractions[0]).cast("long")
     val = F.bround(F.col("__n") * fractions[1]).cast("long")
     split = F.when(F.col("__rn") <= test, "test").when(F.col("__rn") <= test + val, "val").otherwise("train")

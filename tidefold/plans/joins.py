@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import dedup, intervals
+from ..operators.frames import running_totals
 from .registry import register
 from .views import ANN, EV, WIN, annotations, events, table, windows
 
@@ -31,13 +31,8 @@ def label_windows(spark, d):
 @register("labelled_windows", f"WITH {EV}, {WIN}, {ANN}, {_FLAGS} SELECT row_number() OVER (ORDER BY user_id, start_s) - 1 AS row_index, user_id, start_s, end_s, is_sound, is_artifact FROM fl")
 def labelled_windows(spark, d):
     """WN1, PRJ1: a global running id over the labelled windows, by partition offsets instead of one sorted partition."""
-    rows = _labelled(spark, d)
-    ordered = rows.repartitionByRange("user_id").withColumn("__p", F.spark_partition_id())
-    counts = ordered.groupBy("__p").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__p", before.alias("__before"))
-    index = F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy("user_id", "start_s")) - 1
-    return ordered.join(F.broadcast(offsets), "__p").select(index.cast("long").alias("row_index"), *rows.columns)
+    rows = running_totals(_labelled(spark, d), ["user_id", "start_s"], {"n": F.lit(1)})
+    return rows.select((F.col("n") - 1).alias("row_index"), *[c for c in rows.columns if c != "n"])
 
 
 @register("file_labels", f"""WITH {EV}, {WIN}, {ANN}, {_FLAGS}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
 from ..operators import dedup
+from ..operators.frames import running_totals
 from .registry import register
 from .views import EV, events, table
 
@@ -252,10 +253,8 @@ def join_multilabels(spark, d):
 @register("window_projection", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev WHERE user_id < 10")
 def window_projection(spark, d):
     """PRJ1."""
-    from pyspark.sql import Window as W
-
-    ev = events(spark, d).where("user_id < 10")
-    return ev.select((F.row_number().over(W.orderBy("event_id")) - 1).cast("long").alias("row_index"), F.col("event_id").alias("window_id"), F.col("user_id").alias("recording_id"), F.col("t").alias("start_s"), (F.col("t") + 5).alias("end_s"))
+    ev = running_totals(events(spark, d).where("user_id < 10"), ["event_id"], {"n": F.lit(1)})
+    return ev.select((F.col("n") - 1).alias("row_index"), F.col("event_id").alias("window_id"), F.col("user_id").alias("recording_id"), F.col("t").alias("start_s"), (F.col("t") + 5).alias("end_s"))
 
 
 @register("record_projection", "SELECT doc_id || '.wav' AS audio_filepath, n_chars / 100.0 AS duration, 16000 AS sample_rate, source AS station FROM documents")

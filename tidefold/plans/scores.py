@@ -108,9 +108,8 @@ def ap_micro(spark, d):
 SELECT s AS threshold, round(sum(tp) OVER w / sum(n) OVER w, 6) AS precision, round(sum(tp) OVER w / sum(tp) OVER (), 6) AS recall FROM g WINDOW w AS (ORDER BY s DESC)""")
 def pr_curve(spark, d):
     """AG29: precision and recall at each score."""
-    g = _scored(spark, d).groupBy("n_chars").agg(F.sum("toxic").cast("double").alias("tp"), F.count("*").alias("n"))
-    run, whole = W.partitionBy(F.lit(0)).orderBy(F.desc("n_chars")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(0))
-    return g.select(F.col("n_chars").alias("threshold"), F.round(F.sum("tp").over(run) / F.sum("n").over(run), 6).alias("precision"), F.round(F.sum("tp").over(run) / F.sum("tp").over(whole), 6).alias("recall"))
+    curve = metrics.precision_recall(_scored(spark, d), "n_chars", "toxic")
+    return curve.select(F.col("n_chars").alias("threshold"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @register("roc_auc", """WITH j AS (SELECT n_chars AS s, toxic::DOUBLE AS y FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, sum(y) AS p, count(*)::DOUBLE AS n FROM j GROUP BY s),
