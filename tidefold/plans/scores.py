@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import metrics
 from .registry import register
-from .views import EV, events, table
+from .views import EV, table
 
 _PRED = "p AS (SELECT label AS truth, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::BIGINT AS predicted FROM embeddings), c AS (SELECT DISTINCT label::BIGINT AS class FROM embeddings), m AS (SELECT a.class AS truth, b.class AS predicted, (SELECT count(*) FROM p WHERE p.truth = a.class AND p.predicted = b.class) AS n FROM c a, c b)"
 _REPORT = _PRED + """, r AS (SELECT class, (SELECT sum(n) FROM m WHERE truth = class AND predicted = class) AS tp, (SELECT sum(n) FROM m WHERE truth = class) AS support, (SELECT sum(n) FROM m WHERE predicted = class) AS pn FROM c),
