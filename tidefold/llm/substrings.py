@@ -21,40 +21,51 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, small_batches
 
 WINDOW = 16
-LEAST, MOST, SPAN = 48, 1024, 88
-MEAN = 32
+LEAST, SPAN = 48, 88
+MEAN, GAP, NEAR = 32, 128, 16
 GEAR = np.random.default_rng(7).integers(0, 2**32, size=256, dtype=np.uint64).astype(np.uint32)
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Places after which a chunk may end or begin: where the gear hash of the last WINDOW bytes falls in 1 / MEAN of its range.
-
-    The hash is the rolling h = (h << 1) + gear[byte], kept to WINDOW shifts, for all places at once.
-    """
-    if len(data) < WINDOW:
-        return np.zeros(0, np.int64)
+def _gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash h = (h << 1) + gear[byte], kept to WINDOW shifts, at every place at once."""
     h = GEAR[data]
     step = 1
     while step < WINDOW:  # sums of 2, 4, 8, 16 shifted values
         wider = h.copy()
         wider[step:] += h[:-step] << np.uint32(step)
         h, step = wider, step * 2
-    h = (h >> np.uint32(8)) & np.uint32(0xFF)  # the bits that all of the window's bytes reach
-    return WINDOW + np.flatnonzero(h[WINDOW - 1 :] < 256 // MEAN)
+    return h
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Places at which a chunk may end or begin: after bytes whose hash falls in 1 / MEAN of its range.
+
+    Where that leaves a gap of over GAP bytes, as in a short phrase said again and again, the least hashes within
+    NEAR bytes to either side are boundaries too: those exist in any content, and depend on it only.
+    """
+    if len(data) < WINDOW:
+        return np.zeros(0, np.int64)
+    h = _gear(data)
+    picked = (h >> np.uint32(8)) & np.uint32(0xFF)  # the bits that all of the window's bytes reach
+    cut = WINDOW + np.flatnonzero(picked[WINDOW - 1 :] < 256 // MEAN)
+    around = np.concatenate(([0], cut, [len(data)]))
+    more = []
+    for a, b in zip(around[:-1][np.diff(around) > GAP], around[1:][np.diff(around) > GAP]):
+        lo = max(int(a), WINDOW - 1)
+        part = h[lo:b]
+        if len(part) > 2 * NEAR:
+            least = np.lib.stride_tricks.sliding_window_view(part, 2 * NEAR + 1).min(axis=1)
+            more.append(lo + NEAR + 1 + np.flatnonzero(part[NEAR : len(part) - NEAR] == least))
+    return np.unique(np.concatenate([cut, *more])) if more else cut
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Starts, ends (bytes) and digests of a text's chunks. Between far boundaries there are forced ones, counted from the last."""
+    """Starts, ends (bytes) and digests of a text's chunks."""
     raw = text.encode()
     n = len(raw)
-    cut = np.concatenate(([0], boundaries(np.frombuffer(raw, dtype=np.uint8)), [n])) if n else np.zeros(1, np.int64)
-    cut = np.unique(cut)
-    gaps = np.diff(cut)
-    if len(gaps) and gaps.max() > MOST:
-        more = [np.arange(a + MOST, b, MOST) for a, b in zip(cut[:-1][gaps > MOST], cut[1:][gaps > MOST])]
-        cut = np.unique(np.concatenate([cut, *more]))
     if n < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    cut = np.unique(np.concatenate(([0], boundaries(np.frombuffer(raw, dtype=np.uint8)), [n])))
     stop = np.searchsorted(cut, cut + LEAST)
     starts, ends = cut[stop < len(cut)], cut[stop[stop < len(cut)]]
     view = memoryview(raw)
