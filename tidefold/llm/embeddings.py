@@ -51,17 +51,28 @@ def _keys(unit: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches):
-    """A row for each node and seed group: key, node, weight and the vector's bytes (doubles)."""
+    """A row for each node and seed group: key, node, weight and the vector's bytes, as floats where those are exact."""
     for pdf in batches:
         sizes = pdf["vector"].map(len).to_numpy()
         for dim in np.unique(sizes):
             part = pdf[sizes == dim]
             x = np.array(part["vector"].tolist(), dtype=np.float64)
             keys = _keys(_unit(x))
-            raw = [v.tobytes() for v in x]
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            wide = (short.astype(np.float64) != x).any(axis=1)
+            raw = np.array([(v if w else f).tobytes() for v, f, w in zip(x, short, wide)], dtype=object)
             for lo in range(0, len(part), 256):
-                n = len(part[lo : lo + 256])
-                yield pd.DataFrame({"key": keys[lo : lo + n].ravel(), "node": np.repeat(part["node"].to_numpy()[lo : lo + n], GROUPS), "weight": np.repeat(part["weight"].to_numpy()[lo : lo + n], GROUPS), "raw": np.repeat(np.array(raw[lo : lo + n], dtype=object), GROUPS)})
+                rows = slice(lo, lo + 256)
+                each = lambda column: np.repeat(column[rows], GROUPS)  # noqa: B023, E731
+                yield pd.DataFrame({"key": keys[rows].ravel(), "node": each(part["node"].to_numpy()), "weight": each(part["weight"].to_numpy()), "wide": each(wide), "raw": each(raw)})
+
+
+def _only_keys(batches):
+    for pdf in batches:
+        sizes = pdf["vector"].map(len).to_numpy()
+        for dim in np.unique(sizes):
+            yield pd.DataFrame({"key": _keys(_unit(np.array(pdf["vector"][sizes == dim].tolist(), dtype=np.float64))).ravel()})
 
 
 def _bound(cosine: float) -> tuple[float, int]:
@@ -91,13 +102,17 @@ def _linked(cosine: float):
         pdf = pd.concat(frames, ignore_index=True)
         del frames
         key, part, node, weight, side = (pdf[c].to_numpy(dtype=np.int64) for c in ("key", "part", "node", "weight", "side"))
-        sizes = pdf["raw"].map(len).to_numpy()
+        raw, wide = pdf["raw"].to_numpy(), pdf["wide"].to_numpy(dtype=bool)
+        if wide.any():  # all as doubles
+            for i in np.flatnonzero(~wide):
+                raw[i] = np.frombuffer(raw[i], dtype=np.float32).astype(np.float64).tobytes()
+        kind = np.float64 if wide.any() else np.float32
+        sizes = np.array(list(map(len, raw)))
         cut = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (sizes[1:] != sizes[:-1])))
         starts = np.flatnonzero(cut)
         ends = np.concatenate((starts[1:], [len(pdf)]))
         shared = ends - starts > 1
         starts, ends = starts[shared], ends[shared]
-        raw = pdf["raw"].to_numpy()
         del pdf
         links: dict[int, int] = {}
         parent: dict[int, int] = {}
@@ -143,7 +158,7 @@ def _linked(cosine: float):
                 j += 1
             lo, hi = int(starts[i]), int(ends[j - 1])
             rows = [raw[r] if len(raw[r]) == sizes[lo] else raw[lo] for r in range(lo, hi)]  # rows between buckets may differ in size
-            x = np.frombuffer(b"".join(rows), dtype=np.float64).reshape(hi - lo, -1)
+            x = np.frombuffer(b"".join(rows), dtype=kind).reshape(hi - lo, -1).astype(np.float64)
             unit = _unit(x)
             lines = unit @ _lines(unit.shape[1], COUNTED, 2)
             small: list[tuple[np.ndarray, np.ndarray]] = []
@@ -182,8 +197,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     rows = rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumn("node", F.when(F.col("sound"), F.xxhash64("vector")))
     nodes = rows.where("sound").groupBy("node").agg(F.count("*").alias("weight"), F.min("key").alias("smallest"), F.first("vector").alias("vector"))
     nodes = materialize(nodes, "nodes")
-    seeds = materialize(nodes.select("node", "weight", "vector").mapInPandas(_seeds, "key long, node long, weight long, raw binary"), "seeds")
-    crowded = seeds.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    seeds = nodes.select("node", "weight", "vector").mapInPandas(_seeds, "key long, node long, weight long, wide boolean, raw binary")
+    crowded = nodes.select("vector").mapInPandas(_only_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     crowded = materialize(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
     plain = seeds.withColumns({"part": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
     if not crowded.isEmpty():
@@ -191,10 +206,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
         dealt = seeds.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        plain = dealt.select("key", "node", "weight", "raw", (low * F.col("blocks") + high).alias("part"), F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") == low, 1).otherwise(2).cast("long").alias("side"))
+        plain = dealt.select("key", "node", "weight", "wide", "raw", (low * F.col("blocks") + high).alias("part"), F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") == low, 1).otherwise(2).cast("long").alias("side"))
     found = plain.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_linked(cosine), "node long, other long, links long")
     found = materialize(found, "found")
-    discard(seeds, crowded)
+    discard(crowded)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> other"), "node", "other").withColumnRenamed("component", "root")
     labelled = nodes.select("node", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
