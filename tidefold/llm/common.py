@@ -10,10 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,25 +63,6 @@ def partitions_for(rows: int, rows_each: int, least: int = 1) -> int:
     return max(least, -(-rows // rows_each))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text or binary `column` of each piece holds about `max_bytes` at most.
-
-    A single value over the limit makes a piece of its own; no value is ever cut.
-    """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
-        if sizes.sum() <= max_bytes:
-            yield batch
-            continue
-        bucket = np.cumsum(sizes) // max_bytes
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield batch.slice(lo, hi - lo)
-
-
 def _local_forest(batches):
     """A spanning forest of the edges of one partition, each tree a star around its smallest node."""
     import pandas as pd

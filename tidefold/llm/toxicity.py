@@ -26,7 +26,7 @@ from .common import discard, materialize, small_batches
 # Characters that look like Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁɡⅼոυνωαεικορτҽǝ", "aeopcyxijshdglnuvwaeikoptee")
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD))
 
 _FOLDED = _INVISIBLE | HOMOGLYPHS
 _ODD = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
