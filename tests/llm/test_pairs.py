@@ -74,6 +74,26 @@ def test_crowded_region(spark):
     assert out == smallest(sets, links)
 
 
+def test_crowd_without_a_base(spark):
+    """Thousands of texts from one template, under the threshold to each other; hundreds have one near copy above it."""
+    rng = random.Random(11)
+    frame = [f"t{i}" for i in range(130)]
+    rows, number = [], iter(range(10**6))
+    for i in range(4000):
+        own = [f"o{next(number)}" for _ in range(12)]
+        rows.append((i, " ".join(frame + own)))
+        if i < 600:
+            copy = frame + own
+            for at in (0, 141, *rng.sample(range(4, 126, 4), 3)):
+                copy[at] = f"e{next(number)}"
+            rows.append((10_000 + i, " ".join(copy)))
+    sets = {k: shingles(t, 3) for k, t in rows}
+    assert all(100 * len(sets[i] & sets[10_000 + i]) >= 85 * len(sets[i] | sets[10_000 + i]) for i in range(600))
+    assert 100 * len(sets[0] & sets[1]) < 85 * len(sets[0] | sets[1])
+    out = {r["key"]: r["component"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()}
+    assert out == {k: k % 10_000 for k in sets}
+
+
 def test_near_duplicates_odd_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(None, text, 1), (7, text, 2), (7, text, 3), (9, text, 4), (None, "lone words here are few", 5), (3, None, 6)]

@@ -8,9 +8,12 @@
    still crowded gives, for each member, its neighbours in the order and the region's centre.
 4. Candidates whose sketches are far below the threshold are dropped (by over four standard deviations), the others are
    confirmed on the full sets. Components of confirmed links are found in the cluster.
+5. What neighbours and centres leave open is settled exactly: the members of a crowded run, or of one that a partition's
+   border cuts, that those components don't join yet meet all others of the run on their full sets, in pairs of blocks
+   dealt over tasks. Members of the run's largest component meet the others only, so a group of copies costs nothing.
 
 With 20 trees and depth 4, a pair at similarity 0.85 shares a prefix in some tree with probability 1 - 4e-7, at 0.8 with
-1 - 3e-5. Two neighbours that a partition's border separates in one tree still meet in the others.
+1 - 3e-5.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, partitions_for, small_batches
+from .common import _local_forest, components, discard, materialize, partitions_for, small_batches
 
 TREES, DEPTH, DEEPER = 20, 4, 8
 HASHES = TREES * (DEPTH + 4)
 SMALL, NEAR = 24, 4
+BLOCK, BLOCK_ITEMS = 1_500, 1_000_000  # rows and shingles of a block
 _SEEDS = np.random.default_rng(20240521).integers(1, 2**32, size=(2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -126,6 +130,7 @@ class _Region:
     def __init__(self, pdf: pd.DataFrame):
         n = self.n = len(pdf)
         keys = np.frombuffer(b"".join(pdf["sort"]), dtype=np.uint8).reshape(n, self.PREFIX + DEEPER)
+        self.keys = keys
         self.sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(n, HASHES // 4)
         self.digest = pdf["digest"].to_numpy(dtype=np.int64)
         differ = keys[1:] != keys[:-1]
@@ -166,11 +171,16 @@ class _Region:
                 x, y = a[i : i + 50_000], b[i : i + 50_000]
                 ok = _similar(self.sketch[x], self.sketch[y]) >= floor
                 u, v = self.digest[x[ok]], self.digest[y[ok]]
-                yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+                yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "run": None}).drop_duplicates(["a", "b"])
+
+    def members(self, lo: int, hi: int) -> pd.DataFrame:
+        """The rows of a run, named by the prefix that they share in all partitions."""
+        return pd.DataFrame({"a": self.digest[lo:hi], "b": pd.array([None] * (hi - lo), dtype="Int64"), "run": [self.keys[lo, : self.PREFIX].tobytes()] * (hi - lo)})
 
 
 def _candidates(floor: float):
-    """Candidate pairs of one sorted partition (its size is bounded by the number of partitions)."""
+    """Candidate pairs of one sorted partition (its size is bounded by the number of partitions), and rows (digest, null,
+    run) of the runs that these pairs don't cover: crowded ones, and those at the partition's borders."""
 
     def run(batches):
         frames = list(batches)
@@ -180,6 +190,8 @@ def _candidates(floor: float):
         del frames
         held = 0
         for lo, hi in rows.runs(0, rows.n, rows.PREFIX):
+            if hi - lo > SMALL or lo == 0 or hi == rows.n:
+                yield rows.members(lo, hi)
             if hi - lo > 1:
                 rows.visit(lo, hi)
                 held += hi - lo
@@ -204,7 +216,8 @@ def _sets(k: int):
     def run(batches):
         words = _Words()
         for pdf in batches:
-            yield pd.DataFrame({"digest": pdf["digest"], "items": [shingle_set(t, k, words).tobytes() for t in pdf["text"]]})
+            items = [shingle_set(t, k, words) for t in pdf["text"]]
+            yield pd.DataFrame({"digest": pdf["digest"], "size": [len(s) for s in items], "items": [s.tobytes() for s in items]})
 
     return run
 
@@ -226,6 +239,85 @@ def _confirmed(num: int, den: int):
     return run
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set in x with each in y: frequent items by a product of matrices, others one by one."""
+    (tx, rx), (ty, ry) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (x, y))
+    (ux, nx), (uy, ny) = np.unique(tx, return_counts=True), np.unique(ty, return_counts=True)
+    both, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    often = nx[ix].astype(np.int64) * ny[iy] * 128 > len(x) * len(y)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    frequent = both[often]
+    for i in range(0, len(frequent), 2048):
+        part = frequent[i : i + 2048]
+        sides = []
+        for t, r, n in ((tx, rx, len(x)), (ty, ry, len(y))):
+            at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            ok = part[at] == t
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[r[ok], at[ok]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    rare = both[~often]
+    if len(rare):
+        order = np.argsort(ty, kind="stable")
+        ty, ry = ty[order], ry[order]
+        at = np.minimum(np.searchsorted(rare, tx), len(rare) - 1)
+        ok = rare[at] == tx
+        tx, rx = tx[ok], rx[ok]
+        first = np.searchsorted(ty, tx)
+        many = np.searchsorted(ty, tx, side="right") - first
+        cuts = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()), 4_000_000)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(tx)]):
+            m = many[a:b]
+            place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            cell = np.repeat(rx[a:b], m) * len(y) + ry[np.repeat(first[a:b], m) + place]
+            out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _met(num: int, den: int):
+    """Two blocks of a run (or one with itself) compared set by set; the components that they join, as a forest."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["block"] == k] for k in key[1:]]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"hi": [], "lo": []}, dtype="int64")
+        x, y = ([np.frombuffer(v, dtype=np.uint64) for v in s["items"]] for s in sides)
+        shared = _shared(x, y).astype(np.int64)
+        sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+        i, j = np.nonzero(den * shared >= num * (sizes - shared))
+        u, v = sides[0]["root"].to_numpy()[i], sides[1]["root"].to_numpy()[j]
+        links = pd.DataFrame({"hi": np.maximum(u, v), "lo": np.minimum(u, v)})[u != v].drop_duplicates()
+        return pd.concat([pd.DataFrame({"hi": [], "lo": []}, dtype="int64"), *_local_forest([links])], ignore_index=True)
+
+    return run
+
+
+def _remainder(crowd: DataFrame, stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (hi, lo) between components that rows of one run (run, digest) add to the components found so far."""
+    known = stars.withColumnsRenamed({"node": "digest", "component": "root"})
+    rows = crowd.join(known, "digest", "left").withColumn("root", F.coalesce("root", "digest")).join(sets.select("digest", "size"), "digest")
+    rows = materialize(rows.select("run", "digest", "root", "size"), "crowd")
+    parts = rows.groupBy("run", "root").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    top = F.max(F.struct("m", "s", "root"))
+    runs = parts.groupBy("run").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > top.m")
+
+    def blocks(n, s):
+        return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_ITEMS)))
+
+    runs = runs.select("run", F.col("top.root").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"), blocks(F.col("top.m"), F.col("top.s")).alias("majors"))
+    dealt = rows.join(runs, "run").withColumn("h", F.xxhash64("digest"))
+    is_major = F.col("root") == F.col("major")
+    dealt = dealt.withColumn("block", F.when(is_major, F.col("others") + F.pmod("h", "majors")).otherwise(F.pmod("h", "others")))
+    # rows of the largest component don't meet each other
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_major, F.col("others")).otherwise(F.col("others") + F.col("majors")) - 1)))
+    dealt = dealt.select("digest", "run", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"), "block", "root")
+    met = dealt.join(sets.select("digest", "items"), "digest").groupBy("run", "i", "j").applyInPandas(_met(num, den), "hi long, lo long")
+    more = materialize(met.distinct(), "more")
+    discard(rows)
+    return more
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate groups: a row for each row of `docs`: key, n (set size), component (the group's smallest key), kept.
 
@@ -250,22 +342,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     parts = partitions_for(count * TREES, 150_000, least=min(12, max(1, count // 500)))
     rows = classes.select("digest", "sign").mapInPandas(_orders, "sort binary, digest long, sketch binary")
     sorted_rows = rows.repartitionByRange(parts, "sort", "digest").sortWithinPartitions("sort", "digest")
-    pairs = materialize(sorted_rows.mapInPandas(_candidates(floor), "a long, b long").distinct(), "pairs")
+    met = materialize(sorted_rows.mapInPandas(_candidates(floor), "a long, b long, run binary"), "met")
+    pairs = materialize(met.where("run is null").select("a", "b").distinct(), "pairs")
+    crowd = met.where("run is not null").select("run", F.col("a").alias("digest"))
 
-    # full sets, only of classes that have a candidate: read again from the texts, one text for each class
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+    # full sets, only of classes that have a candidate or are in a crowd: read again from the texts, one text for each class
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(crowd.select("digest")).distinct()
     wanted = wanted.join(classes.select("digest", "place", "rank"), "digest")
     texts = source.where("text is not null").select("place", rank.alias("rank"), "text").join(wanted, ["place", "rank"]).groupBy("digest").agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInPandas(_sets(shingle), "digest long, items binary"), "sets")
+    sets = materialize(texts.mapInPandas(_sets(shingle), "digest long, size long, items binary"), "sets")
     left, right = (sets.select(F.col("digest").alias(a), F.col("items").alias(x)) for a, x in (("a", "x"), ("b", "y")))
     links = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_confirmed(num, den), "a long, b long"), "links")
-    discard(pairs, sets)
-
-    found = components(links).withColumnsRenamed({"node": "digest", "component": "root"})
+    discard(pairs)
+
+    stars = components(links)
+    more = _remainder(crowd, stars, sets, num, den)
+    discard(met, sets)
+    if not more.isEmpty():
+        stars = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = stars.withColumnsRenamed({"node": "digest", "component": "root"})
     labelled = classes.select("digest", "smallest").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
     labels = materialize(labelled.select("digest", "root").join(first, "root").select("digest", "component"), "labels")
-    discard(links, classes)
+    discard(links, more, classes)
     name = F.when(~F.col("nameless"), F.col("key"))
     out = signed.select(name.alias("key"), "n", "digest").join(labels, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component"))
