@@ -177,6 +177,21 @@ def test_words_are_split():
     assert model.score("casinowin.example.net", "/") > 0.5 > model.score("newsblog.example.net", "/docs")
 
 
+def test_url_models_learn_from_tables(spark):
+    """Words in no list: the split comes from texts, the odds from the URLs beside listed words."""
+    texts = [("zorbium quexal glint marrow vantle zorbium quexal marrow vantle " * 3,)] * 40
+    rows = [(f"http://casino-zorbium.example.net/{i}", "<p>glint</p>") for i in range(30)] + [(f"http://blog.quexal.example.net/en/{i}", "<p>glint marrow</p>") for i in range(60)]
+    rows += [(f"http://blog.adult-x.example.net/en/{i}", None) for i in range(10)] + [(None, None)]
+    pages, documents = spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame(texts, "text string")
+    model = urls.train(pages, documents)
+    assert model.split("vantlezorbiummarrow") == ("vantle", "zorbium", "marrow")
+    tried = ["http://vantlezorbium.example.net/", "http://quexalmarrow.example.net/en/1", "http://blog.adult-x.example.net/en/330"]
+    out = {r["url"]: r["verdict"] for r in urls.judge(spark.createDataFrame([(u,) for u in tried], "url string"), model=model).collect()}
+    assert [out[u] for u in tried] == ["block", "allow", "block"]
+    empty = urls.train(pages.limit(0), documents.limit(0))
+    assert empty.split("cheapcasinopills") == ("cheap", "casino", "pills")
+
+
 # toxicity
 
 

@@ -1,49 +1,77 @@
 """URL filter: host rules first, then a classifier over segmented host and path words.
 
 Concatenated host names are split into words by a unigram Viterbi pass; the words of host and path are scored by a
-multinomial naive Bayes model of two classes, allow and block. Both models are small and are made here from the word
-lists below, which are parameters of `UrlModel`. Rules and parsing are Spark columns; only the scores need Python, one
-map over rows without any shuffle, so no host is ever gathered, however common it is.
+multinomial naive Bayes model of two classes, allow and block. `train` learns both from the tables: the Viterbi costs are
+word counts of all pages and documents, and the classifier's are the words of all URLs, labelled by the seed list below
+(a block word anywhere labels a URL as block, others are allow). Without tables a model is made of the lists alone. Rules and parsing are Spark columns; scores are one map over rows without any shuffle, so no host is ever
+gathered, however common it is.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, table
+
 # The rules of the query as (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-# Words of names that are usually blocked, and of ordinary ones; both train the classifier.
+# Words of names that are usually blocked, and of ordinary ones; both label the URLs that train the classifier.
 BLOCK_WORDS = tuple("casino poker slots bet bets betting gamble jackpot win winner lottery roulette bingo pills pill viagra cialis pharmacy meds drugs cheap free discount deal deals spam farm seo clicks click track tracker tracking ads ad adserver popup banner porn xxx sex adult cam cams escort dating nude loan loans payday credit cash money bitcoin crypto forex replica warez crack keygen torrent hack cheats bonus promo offer prize".split())
 ALLOW_WORDS = tuple("www blog news docs doc wiki help support home about page pages article articles post posts archive index shop store mail forum community library science school university research health weather sports travel music art book books history world city local people food recipes garden photo video games software code data open source project tech review reviews guide map maps job jobs events contact team press media today daily times journal review radio family kids house green blue river mountain the and of for my our your best top new all one".split())
 
 _CUT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"(\d+)")
 
+#: Words that each of the two models holds at most, the most frequent ones: they are sent to every worker.
+MODEL_WORDS = 200_000
+
 
 class UrlModel:
     """Unigram word costs for the Viterbi split, and log odds of block against allow for each word."""
 
     def __init__(self, block_words=BLOCK_WORDS, allow_words=ALLOW_WORDS, prior_block: float = 0.2, threshold: float = 0.5, alpha: float = 0.1):
-        block, allow = list(block_words), list(allow_words)
-        vocabulary = sorted(set(block) | set(allow))
-        n = len(block) + len(allow)
-        self.cost = {w: -math.log((block.count(w) + allow.count(w)) / n) for w in vocabulary if len(w) > 1}
-        self.unknown = math.log(n) + 2.0  # a letter that no word covers
-        self.longest = max(map(len, vocabulary))
-        size = alpha * (len(vocabulary) + 1)
-        self.odds = {w: math.log((block.count(w) + alpha) / (len(block) + size)) - math.log((allow.count(w) + alpha) / (len(allow) + size)) for w in vocabulary}
+        self.block_words, self.allow_words = frozenset(block_words), frozenset(allow_words)
+        self.listed = Counter(block_words), Counter(allow_words)
         self.prior = math.log(prior_block / (1 - prior_block))
-        self.threshold = threshold
+        self.threshold, self.alpha = threshold, alpha
+        lists = self.listed[0] + self.listed[1]
+        self.learn_costs(lists, sum(lists.values()))
+        self.learn_odds({}, {})
+
+    def learn_costs(self, counts: dict[str, float], total: float) -> None:
+        """Costs of words from their counts among `total`."""
+        self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) > 1}
+        self.unknown = math.log(total) + 2.0  # a letter that no word covers
+        self.longest = max(map(len, counts))
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def learn_odds(self, block: dict[str, int], allow: dict[str, int], totals: tuple[int, int] = (0, 0)) -> None:
+        """Log odds of words from their counts in the URLs of each class; each seed list counts as one more URL of its class."""
+        b, a = (listed + Counter(counts) for listed, counts in zip(self.listed, (block, allow)))
+        n_b, n_a = (sum(listed.values()) + n for listed, n in zip(self.listed, totals))
+        vocabulary = sorted(set(b) | set(a))
+        size = self.alpha * (len(vocabulary) + 1)
+        self.odds = {w: math.log((b[w] + self.alpha) / (n_b + size)) - math.log((a[w] + self.alpha) / (n_a + size)) for w in vocabulary}
+
+    def label(self, words: list[str]) -> str:
+        """The weak label of a URL's words: a URL without a block word counts as allow, so that words common to both say nothing."""
+        return "allow" if self.block_words.isdisjoint(words) else "block"
 
-    @lru_cache(maxsize=1 << 16)  # noqa: B019  one model for each worker
     def split(self, token: str) -> tuple[str, ...]:
+        if token not in self.known:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            self.known[token] = self._cheapest(token)
+        return self.known[token]
+
+    def _cheapest(self, token: str) -> tuple[str, ...]:
         """The cheapest split of a token into words; letters outside every word are joined into unknown pieces."""
         best, back = [0.0] + [math.inf] * len(token), [0] * (len(token) + 1)
         for end in range(1, len(token) + 1):
@@ -90,6 +118,62 @@ def with_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
+def word_counts(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Words (two to 40 letters a to z) of all pages' texts and all documents, and how often each occurs.
+
+    Host names aren't counted: their run-together words would be words of their own.
+    """
+    page = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    texts = pages.select(page.alias("t")).unionByName(documents.select(F.col("text").alias("t")))
+    words = texts.select(F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).alias("word")).where(F.col("word").rlike("^[a-z]{2,40}$"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _labelled(model: UrlModel):
+    def run(batches):
+        for pdf in batches:
+            found = [model.words(h) + model.words(p) for h, p in zip(pdf["host"], pdf["path"])]
+            rows = [(w, label == "block") for words in found for label in [model.label(words)] for w in words]
+            yield pd.DataFrame({"word": [w for w, _ in rows], "block": [b for _, b in rows]}).astype({"word": object, "block": bool})
+
+    return run
+
+
+def _most(counts: DataFrame, by: str) -> list:
+    """The most frequent words: all of a count or none, so that only these words reach the driver."""
+    held, least = 0, None
+    for r in counts.groupBy(by).agg(F.count("*").alias("words")).orderBy(F.desc(by)).collect():
+        held += r["words"]
+        if held > MODEL_WORDS:
+            break
+        least = r[by]
+    return [] if least is None else counts.where(F.col(by) >= least).collect()
+
+
+def train(pages: DataFrame, documents: DataFrame, url: str = "url", **options) -> UrlModel:
+    """A model learnt from all pages (url, html) and all documents (text); `options` are those of `UrlModel`."""
+    model = UrlModel(**options)
+    counts = materialize(word_counts(pages, documents), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    unigrams = {r["word"]: r["n"] for r in _most(counts, "n")}
+    discard(counts)
+    mean = max(1.0, total / max(distinct, 1))
+    for w in model.block_words | model.allow_words:  # a listed word is as frequent as the mean word at least
+        unigrams[w] = max(unigrams.get(w, 0), mean)
+    model.learn_costs(unigrams, total + mean * len(model.block_words | model.allow_words))
+
+    host, path = parts(F.col("__url"))
+    named = pages.select(F.col(url).alias("__url")).select(host.alias("host"), path.alias("path"))
+    words = named.mapInPandas(_labelled(model), "word string, block boolean")
+    counts = materialize(words.groupBy("word").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")), "words")
+    totals = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    found = _most(counts.withColumn("n", F.col("a") + F.col("b")), "n")
+    discard(counts)
+    model.learn_odds({r["word"]: r["b"] for r in found}, {r["word"]: r["a"] for r in found}, tuple(totals))
+    model.known.clear()
+    return model
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
     """Add host, path, rule, score (probability of block) and verdict (the rule's, else block from `threshold` on).
 
@@ -114,6 +198,6 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | Non
 
 def query(spark, sf_dir: str) -> DataFrame:
     """`op3_url_filter`: every page's URL judged."""
-    from .common import table
-
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+    pages = table(spark, sf_dir, "pages")
+    model = train(pages, table(spark, sf_dir, "documents"))
+    return judge(pages.select("page_id", "url"), model=model).select("page_id", "host", "path", "rule", "verdict", "score")
