@@ -53,6 +53,22 @@ def test_passages_are_found_and_cut(spark):
             assert passages[k % 8] not in t and len(t) < len(text[k])
 
 
+@pytest.mark.parametrize("size", [3, 4, 5])
+def test_passages_of_short_words(size):
+    """51 words of so many bytes, the space included, always share a chunk of their own."""
+    rng = random.Random(size)
+    for _ in range(300):
+        passage = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size - 1)) for _ in range(51))
+        spans = []
+        for _ in range(2):
+            before, after = (filler(rng, rng.randint(1, 40)) for _ in range(2))
+            s, e, digests = substrings.chunks(f"{before} {passage} {after}")
+            at = len(before.encode()) + 1
+            spans.append([(a - at, b - at, d, False) for a, b, d in zip(s.tolist(), e.tolist(), digests)])
+        shared = {d for _, _, d, _ in spans[0]} & {d for _, _, d, _ in spans[1]}
+        assert substrings._spans([(a, b, later) for a, b, d, later in spans[0] if d in shared])
+
+
 def test_boundaries_resist_shifts():
     rng = random.Random(3)
     body = filler(rng, 3000).encode()

@@ -1,10 +1,10 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
+"""Substring dedup by chunks of SPAN bytes at content-defined places (winnowing over a gear rolling hash).
 
-Boundaries are the bytes at which the gear hash of the last sixteen bytes is small; they depend on those bytes only, so an
-insertion moves no boundary behind it. From each boundary a chunk runs to the first boundary at least `LEAST` bytes on;
-chunks of one text may overlap, so a repeated passage is found from its first boundary inside to its last, wherever it
-stands. Chunks are compared by a 64-bit digest: a digest's first holder is the smallest doc_id (in it, the first place).
-Adjoining repeated chunks form spans; spans under `SPAN` bytes are chance and are left alone.
+Of every REACH places in a row, the one whose next sixteen bytes have the least gear hash begins a chunk; that depends on
+the bytes there only, so an insertion moves no place behind it. Every passage of SPAN + REACH - 1 bytes thus holds a whole
+chunk, whatever its words and wherever it stands, and chunks inside a longer one overlap. Chunks are compared by a 64-bit
+digest: a digest's first holder is the smallest doc_id (in it, the first place). Adjoining repeated chunks form spans;
+shorter repeats than a chunk are chance and are left alone.
 
 Only digests and counts are shuffled: counted per digest with partial aggregation, then joined back to the chunks. A
 passage that a third of all documents share is one key of the count, and its side of the join is split.
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, small_batches
 
 WINDOW = 16
-LEAST, SPAN = 48, 88
-MEAN, GAP, NEAR = 32, 128, 16
+SPAN, REACH = 88, 64  # REACH is a power of two
 GEAR = np.random.default_rng(7).integers(0, 2**32, size=256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -37,39 +36,36 @@ def _gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Places at which a chunk may end or begin: after bytes whose hash falls in 1 / MEAN of its range.
+def _sliding(x: np.ndarray, pick) -> np.ndarray:
+    """The least or largest (`pick`) of each REACH values in a row."""
+    step = 1
+    while step < REACH:
+        x, step = pick(x[:-step], x[step:]), step * 2
+    return x
 
-    Where that leaves a gap of over GAP bytes, as in a short phrase said again and again, the least hashes within
-    NEAR bytes to either side are boundaries too: those exist in any content, and depend on it only.
-    """
-    if len(data) < WINDOW:
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Places after the WINDOW bytes whose hash is the least of some REACH in a row; two are never over REACH apart."""
+    if len(data) < WINDOW + REACH - 1:
         return np.zeros(0, np.int64)
-    h = _gear(data)
-    picked = (h >> np.uint32(8)) & np.uint32(0xFF)  # the bits that all of the window's bytes reach
-    cut = WINDOW + np.flatnonzero(picked[WINDOW - 1 :] < 256 // MEAN)
-    around = np.concatenate(([0], cut, [len(data)]))
-    more = []
-    for a, b in zip(around[:-1][np.diff(around) > GAP], around[1:][np.diff(around) > GAP]):
-        lo = max(int(a), WINDOW - 1)
-        part = h[lo:b]
-        if len(part) > 2 * NEAR:
-            least = np.lib.stride_tricks.sliding_window_view(part, 2 * NEAR + 1).min(axis=1)
-            more.append(lo + NEAR + 1 + np.flatnonzero(part[NEAR : len(part) - NEAR] == least))
-    return np.unique(np.concatenate([cut, *more])) if more else cut
+    h = _gear(data)[WINDOW - 1 :]
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    edge = np.zeros(REACH - 1, np.uint32)
+    least = np.concatenate((edge, _sliding(h, np.minimum), edge))  # of the windows that a place is in, the largest least
+    return WINDOW + np.flatnonzero(_sliding(least, np.maximum) == h)
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Starts, ends (bytes) and digests of a text's chunks."""
+    """Starts, ends (bytes) and digests of a text's chunks; a text's ends have one each."""
     raw = text.encode()
     n = len(raw)
-    if n < LEAST:
+    if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    cut = np.unique(np.concatenate(([0], boundaries(np.frombuffer(raw, dtype=np.uint8)), [n])))
-    stop = np.searchsorted(cut, cut + LEAST)
-    starts, ends = cut[stop < len(cut)], cut[stop[stop < len(cut)]]
+    starts = boundaries(np.frombuffer(raw, dtype=np.uint8)) - WINDOW
+    starts = np.unique(np.concatenate(([0, n - SPAN], starts[starts <= n - SPAN])))
     view = memoryview(raw)
-    return starts, ends, [xxhash.xxh3_64_intdigest(view[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist())]
+    return starts, starts + SPAN, [xxhash.xxh3_64_intdigest(view[a : a + SPAN]) - (1 << 63) for a in starts.tolist()]
 
 
 def _chunked(batches):
@@ -116,7 +112,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= LEAST)).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
+    source = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= SPAN)).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
     cut = materialize(source.mapInPandas(_chunked, "key long, place long, digests array<long>, starts array<int>, ends array<int>"), "chunks")
     counted = cut.select("key", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
     rows = cut.select("key", "place", F.explode(F.arrays_zip("digests", "starts", "ends")).alias("c")).select("key", "place", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
