@@ -65,3 +65,11 @@ def test_probe_and_clusters(spark):
 def test_edge_query(spark):
     rows = Q["edge_segments"](spark, SMALL).collect()
     assert rows and all(r["first"] < r["last"] for r in rows)
+
+
+def test_edge_query_takes_every_user(spark):
+    sf = "/root/testdata/sf0.01"
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "value").toPandas().sort_values("event_id")
+    want = sorted((int(u), a, b) for u, g in ev.groupby("user_id") for a, b in models.find_edges(g["value"].to_numpy(dtype=float), models.EdgeOptions(low=1.0)))
+    assert sorted(map(tuple, Q["edge_segments"](spark, sf).collect())) == want
+    assert max(u for u, _, _ in want) >= 50

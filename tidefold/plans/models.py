@@ -13,7 +13,7 @@ from .views import events, table
 @register("edge_segments")
 def edge_segments(spark, d):
     """WN6."""
-    return models.edge_segments(events(spark, d).where("user_id < 50"), "user_id", "event_id", "value", models.EdgeOptions(low=1.0))
+    return models.edge_segments(events(spark, d), "user_id", "event_id", "value", models.EdgeOptions(low=1.0))
 
 
 @register("band_energy")
