@@ -27,3 +27,10 @@ def test_every_query_has_sql():
 def test_flagship_is_not_trivial(spark):
     out = {(r["is_sound"], r["is_artifact"]): r["n"] for r in QUERIES["label_windows"](spark, SMALL).collect()}
     assert 0 < out[True, False] + out.get((True, True), 0) < sum(out.values())
+
+
+def test_window_ids_run_over_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, QUERIES["window_projection_all"](spark, sf).select("row_index", "window_id").collect()))
+    ids = sorted(r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect())
+    assert got == list(enumerate(ids)) and len(ids) == 10_000

@@ -252,8 +252,18 @@ def join_multilabels(spark, d):
 
 @register("window_projection", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev WHERE user_id < 10")
 def window_projection(spark, d):
-    """PRJ1."""
-    ev = running_totals(events(spark, d).where("user_id < 10"), ["event_id"], {"n": F.lit(1)})
+    """PRJ1, of ten users."""
+    return _projected(events(spark, d).where("user_id < 10"))
+
+
+@register("window_projection_all", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev")
+def window_projection_all(spark, d):
+    """PRJ1: every window, with its global row number."""
+    return _projected(events(spark, d))
+
+
+def _projected(ev):
+    ev = running_totals(ev, ["event_id"], {"n": F.lit(1)})
     return ev.select((F.col("n") - 1).alias("row_index"), F.col("event_id").alias("window_id"), F.col("user_id").alias("recording_id"), F.col("t").alias("start_s"), (F.col("t") + 5).alias("end_s"))
 
 
