@@ -13,7 +13,7 @@ from tidefold.llm.common import materialize, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; all labelled rows of the table train the lexicon."""
+    """Documents scored 0.5 or more go; labelled rows of the table, 20,000 or so at most, train the lexicon."""
     small_batches(spark)
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).where(F.col("toxicity") < 0.5).select(*docs.columns)

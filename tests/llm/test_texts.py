@@ -224,6 +224,15 @@ def test_lexicon_exceptions_and_length():
     assert 0 < lex.score(None, machine) == lex.score("", machine) < 0.5
 
 
+def test_rare_terms_outlast_the_beginnings_of_a_common_one(spark):
+    texts = [("common", "vrandolkish filler words", 1)] * 40 + [("rare", "gibbetorium filler words", 1)] * 10 + [("clean", "filler words of no harm", 0)] * 200
+    rows = [(i, t, y) for i, (_, t, y) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), most_terms=4)
+    out = toxicity.score(spark.createDataFrame([("a gibbetorium",), ("some filler",)], "text string"), lexicon).collect()
+    assert out[0]["toxicity"] > 0.5 > out[1]["toxicity"]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(0)
     docs, labels = [], []

@@ -32,7 +32,7 @@ _FOLDED = _INVISIBLE | HOMOGLYPHS
 _ODD = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
 _WORD = re.compile(r"[^\W_]+")
 _LEET = re.compile(r"(?<![^\W_])(?:[a-z]+[0-9@$!|]|[0-9@$!|]+[a-z])[a-z0-9@$!|]*(?<![!|])")
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 PREFIXES = range(3, 9)
 
 
@@ -152,9 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     ratio = F.log((F.col("t") + 0.5) / (n_t + 1.0)) - F.log((F.col("c") + 0.5) / (n_c + 1.0))
     counted = rows.mapInPandas(_counts, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     strong = counted.where((F.col("t") >= least_docs) & (F.col("c") <= 0.02 * F.col("t")) & (ratio > math.log(20))).withColumn("w", ratio)
-    terms = {r["feature"]: (r["w"], r["t"]) for r in strong.orderBy(F.desc("t"), "feature").limit(most_terms).collect()}
-    # a term says nothing new where a shorter beginning of it is in the lexicon
-    keep = {t: w for t, (w, _) in terms.items() if not any(t.rstrip("*")[:k] + "*" in terms for k in PREFIXES if k < len(t.rstrip("*")))}
+    strong = materialize(strong, "strong")
+    # a term says nothing new where a shorter beginning of it is strong; it goes before the limit counts
+    stem = F.regexp_replace("feature", r"\*+$", "")
+    starts = F.array(*[F.when(F.length(stem) > k, F.concat(F.substring(stem, 1, k), F.lit("*"))) for k in PREFIXES])
+    longer = strong.select("feature", F.explode(starts).alias("start")).join(strong.select(F.col("feature").alias("start")), "start", "left_semi")
+    terms = strong.join(longer.select("feature").distinct(), "feature", "left_anti").orderBy(F.desc("t"), "feature").limit(most_terms)
+    keep = {r["feature"]: r["w"] for r in terms.collect()}
+    discard(strong)
     lexicon = Lexicon(keep)
     if keep:
         near = rows.mapInPandas(_neighbours(frozenset(keep)), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
