@@ -115,6 +115,54 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Two hubs with most of the links, which are dealt over tasks, and a flushed forest."""
+    monkeypatch.setattr(common, "FOREST_NODES", 50)
+    rng = random.Random(5)
+    links = [(h, i) for h in (7_000, 3) for i in rng.sample(range(10, 6_000), 900)] + [(9_000 + i, 9_001 + i) for i in range(0, 60, 2)]
+    out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert out == smallest({n for l in links for n in l}, links)
+
+
+@pytest.mark.parametrize("shape", ["chain", "hubs", "pairs"])
+def test_crowds_equal_brute_force(spark, shape):
+    """Over SMALL texts of one prefix region: a chain of edits, two bases with copies, pairs away from the base."""
+    rng = random.Random(shape)
+    words = [f"v{i}" for i in range(3_000)]
+    base = rng.choices(words, k=150)
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return t
+
+    texts = []
+    if shape == "chain":
+        for _ in range(120):
+            texts.append(base)
+            base = edited(base, 2)
+    elif shape == "hubs":
+        other = edited(base, 12)
+        texts = [edited(b, rng.randint(0, 3)) for b in (base, other) for _ in range(60)]
+    else:
+        for _ in range(60):
+            far = edited(base, 7)
+            texts += [far, edited(far, 2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t, 5) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    out = {r["key"]: r["component"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == smallest(range(len(rows)), links)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "one text of many quite different words here"), (1, "one text of many quite different words here"), (1, "another one, with nothing in common at all"), (2, None), (2, ""), (None, "one text of many quite different words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(0), "place": F.lit(0), "many": F.lit(0)})
+    out = minhash.keep_first(df)
+    assert out.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(a), str(b)) for a, b in set(rows))
+
+
 def made_vectors(seed):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((40, 16))
@@ -155,42 +203,83 @@ def test_embeddings_empty(spark):
 
 
 def exact_nearest(rows, asks, k):
+    """By the inner product in double precision, after one scaling by a power of two; ties go to the smaller id."""
+    scale = -np.frexp(max(np.abs(v).max() for _, v in rows))[1]
+    ids, x = np.array([i for i, _ in rows]), np.ldexp(np.array([v for _, v in rows], dtype=np.float64), scale)
     out = {}
-    for i, v in rows:
+    for i, v in zip(ids.tolist(), x):
         if asks(i):
-            scored = sorted((-round(float(np.dot(v, w)), 12), j) for j, w in rows if j != i)
-            out[i] = [j for _, j in scored[:k]]
+            order = np.lexsort((ids, -(x * v).sum(axis=1)))
+            out[i] = [j for j in ids[order].tolist() if j != i][:k]
     return out
 
 
+def found_nearest(out):
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def recall(got, want):
+    return sum(len(set(got[q]) & set(v)) for q, v in want.items()) / sum(map(len, want.values()))
+
+
 def test_nearest_small_and_ties(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(9)]
     odd = [(20, None), (21, [0.0, 0.0]), (None, [1.0, 1.0]), (22, [float("nan"), 1.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    out = nearest.nearest(df, F.col("vec_id") % 4 == 0, k=20).collect()
-    got = {}
-    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    got = found_nearest(nearest.nearest(df, F.col("vec_id") % 4 == 0, k=20))
     assert got == exact_nearest(rows, lambda i: i % 4 == 0, 20)
 
 
+@pytest.mark.parametrize("scale", [1e-200, 1e-7, 1.0, 1e160])
+def test_nearest_at_any_scale(spark, scale):
+    """Small and huge vectors, with near-ties, over several cells."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((800, 16))
+    x[400:] = x[:400] * (1 + 1e-13 * rng.integers(-3, 4, (400, 1)))
+    rows = [(i, (v * scale).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found_nearest(nearest.nearest(df, F.col("vec_id") % 40 == 0, 10)), exact_nearest(rows, lambda i: i % 40 == 0, 10)
+    assert recall(got, want) >= 0.9 and all(len(v) == 10 for v in got.values())
+
+
+@pytest.mark.parametrize("kind", ["clustered", "even", "third"])
+def test_nearest_over_cells(spark, monkeypatch, kind):
+    """Many cells and parts, several rounds and groups of queries; a third of all rows are one vector."""
+    for name, value in (("ROWS", 150), ("QUERIES", 40), ("SAMPLE", 1_000)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4_000, 24))
+    if kind == "clustered":
+        x = rng.standard_normal((25, 24))[rng.integers(0, 25, len(x))] + 0.2 * x
+    if kind == "third":
+        x[:1_300] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found_nearest(nearest.nearest(df, F.col("vec_id") % 50 == 0, 20)), exact_nearest(rows, lambda i: i % 50 == 0, 20)
+    assert recall(got, want) >= 0.9
+    if kind == "third":
+        assert got[0] == want[0] == list(range(1, 21))
+
+
 def test_nearest_recall(spark):
     df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = [(r["vec_id"], np.array(r["embedding"], dtype=np.float64)) for r in df.collect()]
     want = exact_nearest(rows, lambda i: i % 20 == 0, 20)
-    got = {}
-    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    assert sum(len(got[q] & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+    assert recall(found_nearest(nearest.nearest(df, F.col("vec_id") % 20 == 0)), want) >= 0.9
 
 
 def test_nearest_unequal_lengths(spark):
     """Inner products of vectors of very different lengths, over many blocks."""
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(12) * rng.random() * 5) for i in range(3000)]
-    found = nearest.search_block(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), np.arange(0, 3000, 60), np.array([rows[i][1] for i in range(0, 3000, 60)]), max(np.linalg.norm(v) for _, v in rows), 20)
+    x = np.array([v for _, v in rows])
+    asked = np.arange(0, 3000, 60)
+    who, row, _ = nearest.search_part(np.arange(3000), x, asked, x[asked], np.full(len(asked), -np.inf), float(np.linalg.norm(x, axis=1).max()) * 1.000001, 20)
     want = exact_nearest(rows, lambda i: i % 60 == 0, 20)
     got = {}
-    for q, j in zip(found[0].tolist(), found[1].tolist()):
+    for q, j in zip(asked[who].tolist(), row.tolist()):
         got.setdefault(q, set()).add(j)
-    assert sum(len(got[q] & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+    assert recall(got, want) >= 0.9

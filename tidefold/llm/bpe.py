@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, small_batches, table, unused
+
 # White space as the normaliser's regex engine has it, and the word pattern of the vocabulary file.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
@@ -200,7 +202,7 @@ def _little(ids: array.array) -> bytes:
     return ids.tobytes()
 
 
-def _mapped(handle, each, columns: list[str], passed: list[str], most_chars: int = 8 << 20):
+def _mapped(handle, each, columns: list[str], passed: list[str], body: str, most_chars: int = 8 << 20):
     """For mapInPandas: batches are joined up to `most_chars` of text, so that the index is shared by many new words."""
 
     def run(batches):
@@ -208,7 +210,7 @@ def _mapped(handle, each, columns: list[str], passed: list[str], most_chars: int
 
         def flush(held):
             pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            rows = [each(ids, decoded) for ids, decoded in bpe.encode_batch([t or "" for t in pdf["__text"]])]
+            rows = [each(ids, decoded) for ids, decoded in bpe.encode_batch([t or "" for t in pdf[body]])]
             out = pdf[passed].copy()
             for k, c in enumerate(columns):
                 out[c] = [r[k] for r in rows]
@@ -217,7 +219,7 @@ def _mapped(handle, each, columns: list[str], passed: list[str], most_chars: int
         held, chars = [], 0
         for pdf in batches:
             held.append(pdf)
-            chars += int(pdf["__text"].str.len().sum())
+            chars += int(pdf[body].str.len().sum())
             if chars >= most_chars:
                 yield flush(held)
                 held, chars = [], 0
@@ -231,9 +233,10 @@ def _encoded(docs: DataFrame, path: str, text: str, each, added: str, passed: li
     handle = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     columns = [c.split()[0] for c in added.split(", ")]
     passed = [c for c in passed if c not in columns]
-    source = docs.select(*passed, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    body = unused(docs, "body")
+    source = docs.select(*passed, F.coalesce(F.col(text), F.lit("")).alias(body))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + added
-    return source.mapInPandas(_mapped(handle, each, columns, passed), schema)
+    return source.mapInPandas(_mapped(handle, each, columns, passed, body), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -258,7 +261,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """`op9_bpe`: every whole text encoded and decoded."""
     import public_tokenizers
 
-    from .common import small_batches, table
-
-    small_batches(spark)
-    return digests(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    with small_batches(spark):
+        return materialize(digests(docs, public_tokenizers.path("word_bpe_49k.json")), "digests")

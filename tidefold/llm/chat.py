@@ -1,8 +1,8 @@
 """Chat formatting by columnar byte assembly.
 
 Turns are sorted by conversation and turn, then formatted a batch at a time: segment lengths give cumulative offsets,
-offsets give scatter indices, and headers, escaped contents and footers are copied into one preallocated buffer that
-becomes the Arrow column. A conversation may run over many batches; only its own output is ever held.
+offsets give scatter indices, and headers, escaped contents and footers are copied into one preallocated buffer, which
+becomes the Arrow column as it is. A conversation may run over many batches; only its own output is ever held.
 
 Template, with control strings that all begin with ``<`` or ``[``:
 
@@ -52,8 +52,8 @@ def _role_parts(role: str) -> tuple[bytes, bytes]:
     return OTHER_HEADER[0] + _ROLE_ESCAPE.sub(lambda m: m[0] + b"\\", role.encode()) + OTHER_HEADER[1], OTHER_FOOTER
 
 
-def assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Format turns into one byte buffer: (buffer, offsets of turns, starts and ends of the escaped contents)."""
+def assemble(roles: list[str], texts: pa.Array, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Format turns into one byte buffer behind `lead` free bytes: (buffer, offsets of turns, starts and ends of the escaped contents)."""
     n = len(texts)
     heads, feet = zip(*[_role_parts(r) for r in roles]) if n else ((), ())
     data = texts.cast(pa.large_binary())
@@ -65,53 +65,74 @@ def assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     added = np.concatenate(([0], np.cumsum(special)))  # escapes before each byte
     in_len, esc_len = np.diff(at), np.diff(at) + np.diff(added[at])
     head_len, foot_len = np.array([len(h) for h in heads], dtype=np.int64), np.array([len(f) for f in feet], dtype=np.int64)
-    ends = np.cumsum(head_len + esc_len + foot_len)
+    ends = lead + np.cumsum(head_len + esc_len + foot_len)
     starts = ends - head_len - esc_len - foot_len
     begin = starts + head_len
-    out = np.full(int(ends[-1]) if n else 0, ord("\\"), dtype=np.uint8)
+    out = np.full(int(ends[-1]) if n else lead, ord("\\"), dtype=np.uint8)
     where = np.arange(len(content)) - np.repeat(at[:-1], in_len) + np.repeat(begin, in_len) + added[:-1] - np.repeat(added[at[:-1]], in_len)
     out[where] = content
     for parts, lens, first in ((heads, head_len, starts), (feet, foot_len, ends - foot_len)):
         joined = np.frombuffer(b"".join(parts), dtype=np.uint8)
         out[np.repeat(first - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(len(joined))] = joined
-    return out, np.concatenate((starts, ends[-1:])) if n else np.zeros(1, np.int64), begin, begin + esc_len
+    return out, np.concatenate((starts, ends[-1:])) if n else np.full(1, lead, np.int64), begin, begin + esc_len
 
 
 FORMATTED = "conv_id long, formatted binary, loss_starts array<long>, loss_ends array<long>"
 
 
-def _format(batches):
-    """Sorted turns to a row per conversation: its bytes, and where the assistant's contents stand in them."""
-    schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.binary()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
-    key, first, pieces, marks = None, True, [], ([], [])
+SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.binary()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
+
+
+def _rows(keys: list, buffer: np.ndarray, cuts: np.ndarray, marks: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    """Conversations that stand one after another in a buffer: the buffer itself becomes the Arrow column."""
+    formatted = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(buffer)])
+    return pa.record_batch([pa.array(keys, pa.int64()), formatted, *[pa.array([m[k] for m in marks], SCHEMA.field("loss_starts").type) for k in (0, 1)]], schema=SCHEMA)
+
 
-    def row():
-        return pa.record_batch([pa.array([key], pa.int64()), pa.array([b"".join(pieces)], pa.binary()), pa.array([marks[0]], pa.list_(pa.int64())), pa.array([marks[1]], pa.list_(pa.int64()))], schema=schema)
+def _joined(pieces: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
 
+
+def _format(batches):
+    """Sorted turns to a row per conversation: its bytes, and where the assistant's contents stand in them.
+
+    Of a conversation that goes on in the next batch its bytes so far are kept, and copied to the front of the buffer in which it ends.
+    """
+    key, open_, pieces, marks = None, False, [], ([], [])
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        roles = batch.column(1).to_pylist()
-        buffer, starts, begin, end = assemble(roles, batch.column(2))
-        cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
-        done: list[list] = [[], [], [], []]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            if first or ids[lo] != key:
-                if not first:
-                    for col, v in zip(done, (key, b"".join(pieces), *marks)):
-                        col.append(v)
-                key, first, pieces, marks = ids[lo], False, [], ([], [])
-            shift = sum(map(len, pieces)) - int(starts[lo])
-            pieces = [*pieces, buffer[starts[lo] : starts[hi]].tobytes()] if pieces else [buffer[starts[lo] : starts[hi]].tobytes()]
-            for i in range(lo, hi):
-                if roles[i] == "assistant":
-                    marks[0].append(int(begin[i]) + shift)
-                    marks[1].append(int(end[i]) + shift)
-        if done[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(done, schema)], schema=schema)
-    if not first:
-        yield row()
+        n = batch.num_rows
+        if not n:
+            continue
+        ids, roles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        if open_ and ids[0] != key:
+            whole = _joined(pieces)
+            yield _rows([key], whole, np.array([0, len(whole)]), [marks])
+            open_, pieces, marks = False, [], ([], [])
+        firsts = [0, *[i for i in range(1, n) if ids[i] != ids[i - 1]]]
+        ends_here = len(firsts) > 1  # the first conversation ends in this batch
+        lead = sum(map(len, pieces)) if ends_here else 0
+        before = 0 if ends_here else sum(map(len, pieces))
+        buffer, offsets, begin, end = assemble(roles, batch.column(2), lead)
+        if ends_here:
+            buffer[:lead] = _joined(pieces)
+        cuts = offsets[firsts].copy()
+        cuts[0] = 0
+        found = [marks if open_ else ([], []), *[([], []) for _ in firsts[1:]]]
+        at = 0
+        for i in range(n):
+            at += at + 1 < len(firsts) and firsts[at + 1] == i
+            if roles[i] == "assistant":
+                shift = before - int(cuts[at])
+                found[at][0].append(int(begin[i]) + shift)
+                found[at][1].append(int(end[i]) + shift)
+        if ends_here:
+            yield _rows([ids[i] for i in firsts[:-1]], buffer, cuts, found[:-1])
+            pieces = []
+        key, open_, marks = ids[-1], True, found[-1]
+        pieces.append(buffer[cuts[-1] :])
+    if open_:
+        whole = _joined(pieces)
+        yield _rows([key], whole, np.array([0, len(whole)]), [marks])
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -164,12 +185,12 @@ def _digest(batches):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """`op6_chat_format`: every conversation, and one of control strings, read back from the formatted bytes."""
-    from .common import small_batches, table
+    from .common import materialize, small_batches, table
 
-    small_batches(spark)
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return format_conversations(turns.unionByName(planted)).mapInPandas(_digest, DIGESTS)
+    with small_batches(spark):
+        return materialize(format_conversations(turns.unionByName(planted)).mapInPandas(_digest, DIGESTS), "digests")
 
 
 def _duck() -> str:

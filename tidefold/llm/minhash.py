@@ -1,13 +1,15 @@
 """MinHash near-duplicates with an LSH forest.
 
-1. Each text's distinct word shingles become 64-bit hashes; texts with the same set share a digest and are one class.
+1. Each text's distinct word shingles become 64-bit hashes; texts with the same set share a digest of 128 bits and are one
+   class, named by 64 of them (where two classes would share a name they get others).
 2. Each class gets `trees` signature orders: in each, classes are sorted by a sequence of minimum hashes (a range
    partition and a sort, so one crowded region is split over tasks).
 3. Neighbours in an order with a long common prefix are candidates. The depth adapts to the region: a run of classes that
    share the first `depth` hashes is taken whole where it is small; a crowded one is split at deeper prefixes, and what is
    still crowded gives, for each member, its neighbours in the order and the region's centre.
 4. Candidates whose sketches are far below the threshold are dropped (by over four standard deviations), the others are
-   confirmed on the full sets. Components of confirmed links are found in the cluster.
+   confirmed on the full sets: a region's centre is sent once for each LINKS rows that it meets. Components of confirmed
+   links are found in the cluster.
 5. What neighbours and centres leave open is settled exactly: the members of a crowded run, or of one that a partition's
    border cuts, that those components don't join yet meet all others of the run on their full sets, in pairs of blocks
    dealt over tasks. Members of the run's largest component meet the others only, so a group of copies costs nothing.
@@ -26,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _local_forest, components, discard, materialize, partitions_for, small_batches
+from .common import _local_forest, components, discard, join_facts, materialize, partitions_for, scratch, small_batches, unused
 
 TREES, DEPTH, DEEPER = 20, 4, 8
 HASHES = TREES * (DEPTH + 4)
 SMALL, NEAR = 24, 4
 BLOCK, BLOCK_ITEMS = 1_500, 1_000_000  # rows and shingles of a block
+LINKS = 256  # rows that meet one copy of a set
 _SEEDS = np.random.default_rng(20240521).integers(1, 2**32, size=(2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -87,13 +90,15 @@ def _signed(k: int):
     def run(batches):
         words = _Words()
         for pdf in batches:
-            sizes, digests, signs = [], [], []
+            sizes, digests, checks, signs = [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(text, k, words)
                 sizes.append(len(s))
-                digests.append(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)) if len(s) else None)
+                high, low = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
+                digests.append(high if len(s) else None)
+                checks.append(low)
                 signs.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"key": pdf["key"], "nameless": pdf["nameless"], "place": pdf["place"], "n": np.array(sizes, dtype=np.int64), "digest": pd.array(digests, dtype="Int64"), "sign": signs})
+            yield pd.DataFrame({"key": pdf["key"], "nameless": pdf["nameless"], "place": pdf["place"], "n": np.array(sizes, dtype=np.int64), "digest": pd.array(digests, dtype="Int64"), "check": checks, "sign": signs})
 
     return run
 
@@ -144,7 +149,9 @@ class _Region:
 
     def neighbours(self, lo: int, hi: int, reach: int) -> None:
         for step in range(1, min(reach, hi - lo - 1) + 1):
-            self.pairs.append((np.arange(lo, hi - step), np.arange(lo + step, hi)))
+            x, y = np.arange(lo, hi - step), np.arange(lo + step, hi)
+            swap = self.digest[x] > self.digest[y]  # the smaller first, so that all orders give the same pair
+            self.pairs.append((np.where(swap, y, x), np.where(swap, x, y)))
 
     def visit(self, lo: int, hi: int) -> None:
         """A small region gives all its pairs; a crowded one neighbours, its centre with each, and then its deeper parts."""
@@ -170,8 +177,7 @@ class _Region:
             for i in range(0, len(a), 50_000):
                 x, y = a[i : i + 50_000], b[i : i + 50_000]
                 ok = _similar(self.sketch[x], self.sketch[y]) >= floor
-                u, v = self.digest[x[ok]], self.digest[y[ok]]
-                yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "run": None}).drop_duplicates(["a", "b"])
+                yield pd.DataFrame({"a": self.digest[x[ok]], "b": self.digest[y[ok]], "run": None}).drop_duplicates(["a", "b"])
 
     def members(self, lo: int, hi: int) -> pd.DataFrame:
         """The rows of a run, named by the prefix that they share in all partitions."""
@@ -223,22 +229,38 @@ def _sets(k: int):
 
 
 def _confirmed(num: int, den: int):
-    """Pairs whose full sets reach the similarity num / den, in whole numbers."""
+    """Rows sorted by (a, block): the set of `a`, then those of each b; the pairs that reach the similarity num / den, in
+    whole numbers."""
 
     def run(batches):
+        x = None
         for pdf in batches:
             ok = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for first, items in zip(pdf["first"], pdf["items"]):
+                y = np.frombuffer(items, dtype=np.uint64)
+                if first:
+                    x = y
+                    ok.append(False)
+                    continue
                 at = np.searchsorted(y, x)
                 shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 ok.append(den * shared >= num * (len(x) + len(y) - shared))
-            ok = np.array(ok, dtype=bool)
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are links. Each a is dealt into blocks of about LINKS pairs, and its set sent once to each."""
+    facts = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+    dealt = join_facts(pairs, facts, ["a"], pairs.count())
+    dealt = materialize(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / LINKS)).alias("block")), "blocks")
+    heads = dealt.select("a", "block").distinct().join(sets.select(F.col("digest").alias("a"), "items"), "a").select("a", "block", F.lit(True).alias("first"), F.col("a").alias("b"), "items")
+    rest = dealt.join(sets.select(F.col("digest").alias("b"), "items"), "b").select("a", "block", F.lit(False).alias("first"), "b", "items")
+    rows = heads.unionByName(rest).repartition("a", "block").sortWithinPartitions("a", "block", F.desc("first"))
+    return materialize(rows.mapInPandas(_confirmed(num, den), "a long, b long"), "links")
+
+
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set in x with each in y: frequent items by a product of matrices, others one by one."""
     (tx, rx), (ty, ry) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (x, y))
@@ -318,24 +340,24 @@ def _remainder(crowd: DataFrame, stars: DataFrame, sets: DataFrame, num: int, de
     return more
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Near-duplicate groups: a row for each row of `docs`: key, n (set size), component (the group's smallest key), kept.
+def _classes(signed: DataFrame) -> DataFrame:
+    """Of each class one row: its smallest key (null keys last), where its text is, and its signature."""
+    rank = F.when(F.col("nameless"), F.lit(2**63 - 1)).otherwise(F.col("key"))
+    found = signed.where("digest is not null").groupBy("digest").agg(F.min(F.when(~F.col("nameless"), F.col("key"))).alias("smallest"), F.min(rank).alias("rank"), F.min_by("place", rank).alias("place"), F.first("sign").alias("sign"), F.min("check").alias("least"), F.max("check").alias("most"))
+    return materialize(found, "classes")
 
-    Rows are linked where den * |intersection| >= num * |union| of their shingle sets; equal sets always are. A null or
-    empty text, or one without words, has an empty set and is linked with nothing: its component is its own key. Rows
-    with a null key take part and have no key of their own: their component is the group's smallest key, or null in a
-    group without keys, and kept is false; the same key on several rows stands for each of them. Other columns of `docs`
-    are not read. An empty table gives no rows.
-    """
+
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """A row for each row of `docs`: key, place (its text's hash), n, root (its group; null for an empty set), component."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("key"), F.col(key).isNull().alias("nameless"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
-    signed = source.mapInPandas(_signed(shingle), "key long, nameless boolean, place long, n long, digest long, sign binary")
-    signed = materialize(signed, "signed")
-    # of each class one row: its smallest key, null keys last
-    rank = F.when(F.col("nameless"), F.lit(2**63 - 1)).otherwise(F.col("key"))
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.when(~F.col("nameless"), F.col("key"))).alias("smallest"), F.min(rank).alias("rank"), F.min_by("place", rank).alias("place"), F.first("sign").alias("sign"))
-    classes = materialize(classes, "classes")
+    signed = materialize(source.mapInPandas(_signed(shingle), "key long, nameless boolean, place long, n long, digest long, check long, sign binary"), "signed")
+    classes = _classes(signed)
+    twice = classes.where("least < most").select("digest", F.lit(True).alias("twice"))
+    if not twice.isEmpty():  # unequal sets of one name
+        signed = signed.join(twice, "digest", "left").withColumn("digest", F.when(F.col("twice"), F.xxhash64("digest", "check")).otherwise(F.col("digest"))).drop("twice")
+        signed = materialize(signed, "signed")
+        classes = _classes(signed)
     count = classes.count()
 
     floor = num / den - 4.5 * math.sqrt(0.8875 * 0.1125 / HASHES) / 0.75
@@ -349,10 +371,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     # full sets, only of classes that have a candidate or are in a crowd: read again from the texts, one text for each class
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(crowd.select("digest")).distinct()
     wanted = wanted.join(classes.select("digest", "place", "rank"), "digest")
+    rank = F.when(F.col("nameless"), F.lit(2**63 - 1)).otherwise(F.col("key"))
     texts = source.where("text is not null").select("place", rank.alias("rank"), "text").join(wanted, ["place", "rank"]).groupBy("digest").agg(F.first("text").alias("text"))
     sets = materialize(texts.mapInPandas(_sets(shingle), "digest long, size long, items binary"), "sets")
-    left, right = (sets.select(F.col("digest").alias(a), F.col("items").alias(x)) for a, x in (("a", "x"), ("b", "y")))
-    links = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_confirmed(num, den), "a long, b long"), "links")
+    links = _links(pairs, sets, num, den)
     discard(pairs)
 
     stars = components(links)
@@ -363,22 +385,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     found = stars.withColumnsRenamed({"node": "digest", "component": "root"})
     labelled = classes.select("digest", "smallest").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
-    labels = materialize(labelled.select("digest", "root").join(first, "root").select("digest", "component"), "labels")
-    discard(links, more, classes)
-    name = F.when(~F.col("nameless"), F.col("key"))
-    out = signed.select(name.alias("key"), "n", "digest").join(labels, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select("key", "n", component.alias("component")).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
+    labels = labelled.select("digest", "root").join(first, "root")
+    out = signed.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "place", "n", "digest").join(labels, "digest", "left")
+    return out.select("key", "place", "n", "root", F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Near-duplicate groups: a row for each row of `docs`: key, n (set size), component (the group's smallest key), kept.
+
+    Rows are linked where den * |intersection| >= num * |union| of their shingle sets; equal sets always are. A null or
+    empty text, or one without words, has an empty set and is linked with nothing: its component is its own key. Rows
+    with a null key take part and have no key of their own: their component is the group's smallest key, or null in a
+    group without keys, and kept is false; the same key on several rows stands for each of them. A text is read whole by one
+    task, however long. Other columns of `docs` are not read. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    with scratch(spark), small_batches(spark):
+        out = _grouped(docs, shingle, num, den, key, text).select("key", "n", "component", F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
+        return materialize(out, "groups", keep=True)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` that stay: of each group the row with the smallest doc_id, of repeated rows of one id one.
+    """The rows of `docs` that stay: of each group the row with the smallest doc_id; of rows equal in id and text one.
 
-    Rows with a null doc_id all stay, as they can't be told apart.
+    Unlike texts under one id are unlike documents, and all stay. So do rows with a null doc_id, as they can't be told apart.
     """
-    kept = near_duplicates(docs, shingle, num, den).where("kept").select(F.col("key").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    with scratch(spark), small_batches(spark):
+        rows = _grouped(docs, shingle, num, den, "doc_id", "text").where("key is not null")
+        rows = materialize(rows.groupBy("key", "place", "root").agg(F.count("*").alias("n")), "rows")
+        first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "place", "n")).alias("f")).select("f.*")
+        kept = materialize(rows.where("root is null").select("key", "place", "n").unionByName(first), "kept", keep=True)
+    key, place, many = (unused(docs, c) for c in ("key", "place", "many"))
+    named = docs.where("doc_id is not null").withColumns({key: F.col("doc_id").cast("long"), place: F.xxhash64("text")})
+    joined = named.join(kept.withColumnsRenamed({"key": key, "place": place, "n": many}), [key, place])
+    out = joined.where(F.col(many) == 1).select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():  # only repeated rows are shuffled once more
+        out = out.unionByName(joined.where(F.col(many) > 1).dropDuplicates([key, place]).select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 MOST_STRINGS = 64
 
 
@@ -184,12 +186,13 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RUL
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for c in q for s in c for t in s})
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    with_bits = docs.withColumn("__low", F.lower(body)).withColumn("__bits", _postings(F.col("__low"), trigrams)).drop("__low")
+    low, bits = unused(docs, "low"), unused(docs, "bits")
+    with_bits = docs.withColumn(low, F.lower(body)).withColumn(bits, _postings(F.col(low), trigrams)).drop(low)
     found = []
     for k, (rule, query) in enumerate(zip(rules, queries)):
         spans = _spans(body, _maximal(rule), k)
-        found.append(F.when(_holds(F.col("__bits"), query, trigrams), spans).otherwise(none) if query else spans)
-    return with_bits.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop("__bits")
+        found.append(F.when(_holds(F.col(bits), query, trigrams), spans).otherwise(none) if query else spans)
+    return with_bits.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop(bits)
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -2,12 +2,13 @@
 
 Of every REACH places in a row, the one whose next sixteen bytes have the least gear hash begins a chunk; that depends on
 the bytes there only, so an insertion moves no place behind it. Every passage of SPAN + REACH - 1 bytes thus holds a whole
-chunk, whatever its words and wherever it stands, and chunks inside a longer one overlap. Chunks are compared by a 64-bit
+chunk, whatever its words and wherever it stands, and chunks inside a longer one overlap. Chunks are compared by a 128-bit
 digest: a digest's first holder is the smallest doc_id (in it, the first place). Adjoining repeated chunks form spans;
 shorter repeats than a chunk are chance and are left alone.
 
-Only digests and counts are shuffled: counted per digest with partial aggregation, then joined back to the chunks. A
-passage that a third of all documents share is one key of the count, and its side of the join is split.
+Only digests and counts are shuffled: counted per digest with partial aggregation and written, then joined back to the
+chunks. A passage that a third of all documents share is one row after the partial counts, and its chunks are dealt over
+many tasks of the join (`join_facts`). A text is cut by one task, whose memory grows with its longest text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches
+from .common import discard, join_facts, materialize, scratch, small_batches, unused
 
 WINDOW = 16
 SPAN, REACH = 88, 64  # REACH is a power of two
@@ -56,27 +57,23 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return WINDOW + np.flatnonzero(_sliding(least, np.maximum) == h)
 
 
-def chunks(text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Starts, ends (bytes) and digests of a text's chunks; a text's ends have one each."""
+def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (bytes) of a text's chunks, all of SPAN bytes, and their digests as two columns; a text's ends have one each."""
     raw = text.encode()
     n = len(raw)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     starts = boundaries(np.frombuffer(raw, dtype=np.uint8)) - WINDOW
     starts = np.unique(np.concatenate(([0, n - SPAN], starts[starts <= n - SPAN])))
     view = memoryview(raw)
-    return starts, starts + SPAN, [xxhash.xxh3_64_intdigest(view[a : a + SPAN]) - (1 << 63) for a in starts.tolist()]
+    digests = b"".join([xxhash.xxh3_128_digest(view[a : a + SPAN]) for a in starts.tolist()])
+    return starts, np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
 
 
 def _chunked(batches):
     for pdf in batches:
-        rows: dict[str, list] = {"place": [], "digests": [], "starts": [], "ends": []}
-        for text in pdf["text"]:
-            s, e, d = chunks(text)
-            rows["starts"].append(s.astype(np.int32))
-            rows["ends"].append(e.astype(np.int32))
-            rows["digests"].append(np.array(d, dtype=np.int64))
-        yield pd.DataFrame({"key": pdf["key"], "place": pdf["place"], "digests": rows["digests"], "starts": rows["starts"], "ends": rows["ends"]})
+        cut = [chunks(t) for t in pdf["text"]]
+        yield pd.DataFrame({"key": pdf["key"], "place": pdf["place"], "high": [d[:, 0] for _, d in cut], "low": [d[:, 1] for _, d in cut], "starts": [s.astype(np.int32) for s, _ in cut]})
 
 
 def _spans(marked) -> list[tuple[int, int, bool]]:
@@ -96,7 +93,7 @@ def _spans(marked) -> list[tuple[int, int, bool]]:
             if e <= s:
                 continue
         out.append([s, e, later])
-    return [(int(s), int(e), bool(later)) for s, e, later in out if e - s >= SPAN]
+    return [(int(s), int(e), bool(later)) for s, e, later in out if e > s]
 
 
 SPANS = "array<struct<start:int,end:int,later:boolean>>"
@@ -111,29 +108,31 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= SPAN)).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
-    cut = materialize(source.mapInPandas(_chunked, "key long, place long, digests array<long>, starts array<int>, ends array<int>"), "chunks")
-    counted = cut.select("key", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
-    rows = cut.select("key", "place", F.explode(F.arrays_zip("digests", "starts", "ends")).alias("c")).select("key", "place", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
-    hits = rows.join(counted.select("digest", "first"), "digest").select("key", "place", F.struct("start", "end", "digest", (F.col("key") != F.col("first")).alias("later")).alias("c"))
-    found = hits.groupBy("key", "place").agg(F.collect_list("c").alias("c")).mapInPandas(_first_places, f"key long, place long, spans {SPANS}").where(F.size("spans") > 0)
-    out = materialize(found, "spans")
-    discard(cut)
-    return out
+    with scratch(spark), small_batches(spark):
+        cut = source.mapInPandas(_chunked, "key long, place long, high array<long>, low array<long>, starts array<int>")
+        cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "chunks")
+        digests = cut.select("key", F.explode(F.arrays_zip("high", "low")).alias("c")).select("key", "c.high", "c.low")
+        counted = materialize(digests.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1"), "counted")
+        total = cut.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+        rows = cut.select("row", F.explode(F.arrays_zip("high", "low", "starts")).alias("c")).select("row", "c.high", "c.low", F.col("c.starts").alias("start"))
+        hits = join_facts(rows, counted, ["high", "low"], total).groupBy("row").agg(F.collect_list(F.struct("start", "high", "low", "first")).alias("c"))
+        hits = materialize(hits, "hits")
+        discard(counted)
+        found = hits.join(cut.select("row", "key", "place"), "row").select("key", "place", "c").mapInPandas(_first_places, f"key long, place long, spans {SPANS}")
+        return materialize(found.where(F.size("spans") > 0), "spans", keep=True)
 
 
 def _first_places(batches):
     """Merge a text's repeated chunks; in the first holder a digest's first place stays and its other places are later."""
     for pdf in batches:
         spans = []
-        for c in pdf["c"]:
-            rows = sorted({(x["start"], x["end"], x["digest"], bool(x["later"])) for x in c})
-            met: set[int] = set()
+        for key, c in zip(pdf["key"], pdf["c"]):
+            met: set[tuple[int, int]] = set()
             marked = []
-            for s, e, digest, later in rows:
-                marked.append((s, e, later or digest in met))
-                met.add(digest)
+            for s, high, low, first in sorted((x["start"], x["high"], x["low"], x["first"]) for x in c):
+                marked.append((s, s + SPAN, key != first or (high, low) in met))
+                met.add((high, low))
             spans.append([{"start": s, "end": e, "later": l} for s, e, l in _spans(marked)])
         yield pd.DataFrame({"key": pdf["key"], "place": pdf["place"], "spans": spans})
 
@@ -163,12 +162,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     The first occurrence stays. Rows without such a span, with a null doc_id or a null text stay as they are; n_chars, if
     there is such a column, follows a changed text.
     """
-    spans = repeated_spans(docs).where(F.exists("spans", lambda s: s["later"]))
-    named = docs.withColumns({"__place": F.xxhash64("text"), "__key": F.col("doc_id").cast("long")})
-    joined = named.join(spans.withColumnsRenamed({"key": "__key", "place": "__place", "spans": "__spans"}), ["__key", "__place"], "left")
-    changed = joined.withColumn("text", F.pandas_udf(_cut_out, "string")("text", "__spans"))
+    place, key, cut = (unused(docs, c) for c in ("place", "key", "spans"))
+    spans = repeated_spans(docs).where(F.exists("spans", lambda s: s["later"])).withColumnsRenamed({"key": key, "place": place, "spans": cut})
+    named = docs.withColumns({place: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
+    changed = named.join(spans, [key, place], "left").withColumn("text", F.pandas_udf(_cut_out, "string")("text", cut))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        changed = changed.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(*docs.columns)
 
 

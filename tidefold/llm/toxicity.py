@@ -4,7 +4,8 @@ Folding lowers case, strips zero-width characters, maps homoglyphs to Latin lett
 digits and signs to the letters they stand for. The lexicon is learnt from labelled rows: whole words (``idiot``) and word
 beginnings (``vequ*``), each weighted by how much likelier a toxic document is to hold it. Phrases that hold a term and a
 neighbouring word, and that only clean documents hold, are exceptions: a match inside one doesn't count. A document's
-evidence is its matches' weights, normalised by its length in words, through a logistic curve fitted on the same rows.
+evidence is its matches' weights, normalised by the square root of its length in words (a single term says less in a long
+text, but still something), through a logistic curve fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches
+from .common import discard, materialize, scratch, small_batches, table
 
 # Characters that look like Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁɡⅼոυνωαεικορτҽǝ", "aeopcyxijshdglnuvwaeikoptee")
@@ -33,6 +34,7 @@ _ODD = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
 _WORD = re.compile(r"[^\W_]+")
 _LEET = re.compile(r"(?<![^\W_])(?:[a-z]+[0-9@$!|]|[0-9@$!|]+[a-z])[a-z0-9@$!|]*(?<![!|])")
 SAMPLE_ROWS = 20_000
+SHORT = 32
 PREFIXES = range(3, 9)
 
 
@@ -71,7 +73,7 @@ class Lexicon:
         return found
 
     def evidence(self, text: str, machine: ahocorasick.Automaton) -> float:
-        """The strongest match and the sum of all, the latter per word of the text (32 words at least)."""
+        """The sum of all matches over the square root of the text's length, in units of SHORT words (those at least)."""
         words = _WORD.findall(fold(text))
         if not words or not len(machine):
             return 0.0
@@ -86,7 +88,7 @@ class Lexicon:
                 counted[a] = max(counted.get(a, 0.0), w)  # the weightiest term that begins at a word
         if not counted:
             return 0.0
-        return max(counted.values()) + sum(counted.values()) / max(32, len(words))
+        return sum(counted.values()) * math.sqrt(SHORT / max(SHORT, len(words)))
 
     def score(self, text: str | None, machine: ahocorasick.Automaton) -> float:
         x = self.base + self.scale * self.evidence(text or "", machine)
@@ -130,14 +132,19 @@ def _neighbours(terms: frozenset[str]):
     return count
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_terms: int = 2_000, least_docs: int = 5) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, least_docs: int = 5) -> Lexicon:
     """Learn a lexicon from labelled rows: `docs` with doc_id and text, `labels` with doc_id and toxic (0 or 1).
 
     At most about `sample_rows` rows, chosen by a hash of doc_id, are used: the documented bound of the sample, which
-    also bounds what is broadcast and counted; features are counted in the cluster, and at most `most_terms` terms come
-    to the driver. Null labels or ids are ignored; null texts count as empty. Without labels of both kinds the lexicon is
-    empty and scores are the base rate.
+    also bounds what is broadcast, counted and learnt: features are counted in the cluster, and every term and exception
+    that the sample bears out comes to the driver. Null labels or ids are ignored; null texts count as empty; of several
+    labels of one id one counts. Without labels of both kinds the lexicon is empty and scores are the base rate.
     """
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
+        return _learnt(docs, labels, sample_rows, least_docs)
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, sample_rows: int, least_docs: int) -> Lexicon:
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     total = marked.count()
     share = min(1.0, sample_rows / total) if total else 1.0
@@ -153,28 +160,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     counted = rows.mapInPandas(_counts, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     strong = counted.where((F.col("t") >= least_docs) & (F.col("c") <= 0.02 * F.col("t")) & (ratio > math.log(20))).withColumn("w", ratio)
     strong = materialize(strong, "strong")
-    # a term says nothing new where a shorter beginning of it is strong; it goes before the limit counts
+    # a term says nothing new where a shorter beginning of it is strong
     stem = F.regexp_replace("feature", r"\*+$", "")
     starts = F.array(*[F.when(F.length(stem) > k, F.concat(F.substring(stem, 1, k), F.lit("*"))) for k in PREFIXES])
     longer = strong.select("feature", F.explode(starts).alias("start")).join(strong.select(F.col("feature").alias("start")), "start", "left_semi")
-    terms = strong.join(longer.select("feature").distinct(), "feature", "left_anti").orderBy(F.desc("t"), "feature").limit(most_terms)
+    terms = strong.join(longer.select("feature").distinct(), "feature", "left_anti")
     keep = {r["feature"]: r["w"] for r in terms.collect()}
     discard(strong)
     lexicon = Lexicon(keep)
     if keep:
         near = rows.mapInPandas(_neighbours(frozenset(keep)), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        spared = near.where((F.col("c") >= 3) & (F.col("t") == 0)).orderBy(F.desc("c"), "feature").limit(most_terms)
+        spared = near.where((F.col("c") >= 3) & (F.col("t") == 0))
         lexicon.exceptions = frozenset(r["feature"] for r in spared.collect())
 
-    # the curve: evidence in steps of a fifth, a few rows to the driver whatever the sample
+    # the curve: evidence in steps of a tenth, a few rows to the driver whatever the sample
     def steps(batches):
         machine = lexicon.automaton()
         for pdf in batches:
-            yield pd.DataFrame({"x": [round(lexicon.evidence(t, machine) * 5) for t in pdf["text"]], "y": pdf["toxic"]})
+            yield pd.DataFrame({"x": [round(lexicon.evidence(t, machine) * 10) for t in pdf["text"]], "y": pdf["toxic"]})
 
     seen = rows.mapInPandas(steps, "x long, y long").groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
     x, n, y = (np.array([r[k] for r in seen], dtype=float) for k in ("x", "n", "y"))
-    lexicon.scale, lexicon.base = _logistic(x / 5, n, y)
+    lexicon.scale, lexicon.base = _logistic(x / 10, n, y)
     discard(rows)
     return lexicon
 
@@ -191,11 +198,11 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Add `toxicity`, a probability, to every row: one map over whole texts.
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """Add a column `name`, a probability, to every row: one map over whole texts, however long.
 
     Null and empty texts score as texts without a match. Repeated rows are scored each; an empty table stays empty;
-    other columns pass through.
+    other columns pass through, and one called `name` is replaced.
     """
     made: list = []
 
@@ -205,7 +212,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
             made.append(lexicon.automaton())
         return pd.Series([lexicon.score(t, made[0]) for t in texts], dtype="float64")
 
-    return docs.withColumn("toxicity", rate(F.col(text)))
+    return docs.withColumn(name, rate(F.col(text)))
 
 
 def held_out(doc_id) -> F.Column:
@@ -219,10 +226,8 @@ def crc_fold(doc_id: int) -> bool:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """`op7_toxicity`: a score for every document, learnt from the labels outside the held-out fold."""
-    from .common import table
-
-    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     lexicon = train(docs, labels.where(~held_out(F.col("doc_id"))))
     out = score(docs, lexicon).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    with small_batches(spark):
+        return materialize(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "scores")

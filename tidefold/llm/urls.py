@@ -3,8 +3,9 @@
 Concatenated host names are split into words by a unigram Viterbi pass; the words of host and path are scored by a
 multinomial naive Bayes model of two classes, allow and block. `train` learns both from the tables: the Viterbi costs are
 word counts of all pages and documents, and the classifier's are the words of all URLs, labelled by the seed list below
-(a block word anywhere labels a URL as block, others are allow). Without tables a model is made of the lists alone. Rules and parsing are Spark columns; scores are one map over rows without any shuffle, so no host is ever
-gathered, however common it is.
+(a block word anywhere labels a URL as block, others are allow). Without tables a model is made of the lists alone.
+Rules and parsing are Spark columns; scores are one map over rows without any shuffle, so no host is ever gathered,
+however common it is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, table, unused
 
 # The rules of the query as (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -104,7 +105,7 @@ class UrlModel:
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a URL; both are empty where it is null or has no ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
@@ -162,8 +163,8 @@ def train(pages: DataFrame, documents: DataFrame, url: str = "url", **options) -
         unigrams[w] = max(unigrams.get(w, 0), mean)
     model.learn_costs(unigrams, total + mean * len(model.block_words | model.allow_words))
 
-    host, path = parts(F.col("__url"))
-    named = pages.select(F.col(url).alias("__url")).select(host.alias("host"), path.alias("path"))
+    host, path = parts(F.col(url))
+    named = pages.select(host.alias("host"), path.alias("path"))
     words = named.mapInPandas(_labelled(model), "word string, block boolean")
     counts = materialize(words.groupBy("word").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")), "words")
     totals = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
@@ -177,8 +178,9 @@ def train(pages: DataFrame, documents: DataFrame, url: str = "url", **options) -
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
     """Add host, path, rule, score (probability of block) and verdict (the rule's, else block from `threshold` on).
 
-    A null URL, an empty one or one without ``://`` has empty parts, no rule and the model's prior as its score. Repeated
-    rows are judged each; an empty table stays empty; existing columns of the added names are replaced, others stay.
+    A null URL, an empty one or one without ``://`` has empty parts, no rule and the model's prior as its score. A URL is
+    judged whole, however long. Repeated rows are judged each; of rules of one length the later in order wins; an empty
+    table stays empty; existing columns of the added names are replaced, others stay.
     """
     model = model or UrlModel()
 
@@ -187,13 +189,14 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | Non
         return pd.Series([model.score(h, p) for h, p in zip(host, path)], dtype="float64")
 
     made = ("host", "path", "rule", "score", "verdict")
+    host, path = parts(F.col(url))
     kept = [c for c in pages.columns if c not in made]
-    base = pages.select(*kept, F.col(url).alias("__url"))
-    host, path = parts(F.col("__url"))
-    split = base.select("*", host.alias("host"), path.alias("path")).drop("__url")
-    rule, verdict = with_rules(F.col("host"), F.col("path"), rules)
-    scored = split.withColumn("rule", rule).withColumn("__says", verdict).withColumn("score", score("host", "path"))
-    return scored.withColumn("verdict", F.coalesce("__says", F.when(F.col("score") >= model.threshold, "block").otherwise("allow"))).drop("__says")
+    names = {c: unused(pages, c) for c in ("host", "path", "rule", "says", "score", "verdict")}
+    split = pages.withColumns({names["host"]: host, names["path"]: path})
+    rule, verdict = with_rules(F.col(names["host"]), F.col(names["path"]), rules)
+    scored = split.withColumns({names["rule"]: rule, names["says"]: verdict, names["score"]: score(names["host"], names["path"])})
+    verdict = F.coalesce(F.col(names["says"]), F.when(F.col(names["score"]) >= model.threshold, "block").otherwise("allow"))
+    return scored.withColumn(names["verdict"], verdict).select(*kept, *[F.col(names[c]).alias(c) for c in made])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
