@@ -73,7 +73,28 @@ def class_key(path) -> Column:
 def relative_to(path, root: str) -> Column:
     """The path below a root; other paths stay as they are."""
     base = root.rstrip("/") + "/"
-    return F.when(_c(path).startswith(base), F.substring(_c(path), len(base) + 1, 1 << 20)).otherwise(_c(path))
+    return F.when(_c(path).startswith(base), F.substring(_c(path), F.lit(len(base) + 1), F.length(_c(path)))).otherwise(_c(path))
+
+
+def join_url(base: str, href) -> Column:
+    """A link as an absolute URL: whole links stay, those from the root or from the scheme on take the base's, others its folder.
+
+    `.` and `..` steps are resolved, `..` never above the root.
+    """
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*:)//([^/?#]*)([^?#]*)", base)
+    scheme, site, folder = m[1], f"{m[1]}//{m[2]}", m[3].rpartition("/")[0] + "/"
+    h = _c(href)
+    joined = F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.lit(scheme), h)).when(h.startswith("/"), F.concat(F.lit(site), h)).otherwise(F.concat(F.lit(site + folder), h))
+    rest = F.regexp_extract(joined, r"[?#].*$", 0)
+    head = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)", 1)
+    steps = F.split(F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)", 2), "/")
+    last = F.element_at(steps, -1)
+    done = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
+    )
+    path = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(last.isin(".", "..") & (F.size(done) > 0), "/").otherwise(""))
+    return F.when(head == "", joined).otherwise(F.concat(head, F.when(F.size(steps) > 1, path).otherwise(""), rest))
 
 
 def under_base(url, base: str) -> Column:

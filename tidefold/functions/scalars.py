@@ -37,6 +37,18 @@ def sigmoid(x) -> Column:
     return 1.0 / (1.0 + F.exp(-_c(x)))
 
 
+def softmax(array) -> Column:
+    """An array's softmax, by its largest value."""
+    x = F.transform(_c(array), lambda v: F.exp(v.cast("double") - F.array_max(_c(array)).cast("double")))
+    return F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda a, b: a + b))
+
+
+def squared_error(x, y) -> Column:
+    """Mean squared difference of two arrays of one length."""
+    square = F.zip_with(_c(x), _c(y), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    return F.aggregate(square, F.lit(0.0), lambda a, v: a + v) / F.size(_c(x))
+
+
 def focal_loss(p, target, gamma: float = 2.0, alpha: float = 0.25) -> Column:
     """Binary focal loss of a probability."""
     pt = F.when(_c(target) == 1, _c(p)).otherwise(1 - _c(p))
@@ -94,6 +106,46 @@ def loudness_db(array) -> Column:
     return F.greatest(20.0 * F.log10(F.greatest(rms(array), F.lit(1e-12))), F.lit(-100.0))
 
 
+def with_gain(array, db) -> Column:
+    """An array's values raised by so many decibels."""
+    return F.transform(_c(array), lambda v: v.cast("double") * F.pow(F.lit(10.0), _c(db) / 20.0))
+
+
+def sinc_filter(low, high, width: int, rate: float) -> Column:
+    """Band-pass filter of `width` (odd) taps between two frequencies: two sincs' difference under a Hamming window."""
+
+    def sinc(cut: Column, n: Column) -> Column:
+        x = 2 * math.pi * cut * n / rate
+        return 2 * cut / rate * F.when(n == 0, F.lit(1.0)).otherwise(F.sin(x) / x)
+
+    half = width // 2
+    at = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda n: n.cast("double"))
+    return F.transform(at, lambda n: (sinc(_c(high), n) - sinc(_c(low), n)) * (0.54 + 0.46 * F.cos(2 * math.pi * n / (width - 1))))
+
+
+def position_table(pos, dim: int) -> Column:
+    """Sines, then cosines of a position at `dim` / 2 frequencies falling from 1 to 1/10000."""
+    half = dim // 2
+    angle = [_c(pos).cast("double") * (10_000.0 ** (-i / half)) for i in range(half)]
+    return F.array(*[F.sin(a) for a in angle], *[F.cos(a) for a in angle])
+
+
+def alibi_slopes(heads: int) -> list[float]:
+    """Slopes of attention biases for so many heads: powers of 2^(-8/n) for the power of two n up to them, and for others
+    every second slope of twice as many."""
+
+    def powers(n: int) -> list[float]:
+        return [2.0 ** (-8.0 * (i + 1) / n) for i in range(n)]
+
+    n = 1 << (heads.bit_length() - 1)
+    return powers(n) + powers(2 * n)[0::2][: heads - n]
+
+
+def alibi_bias(i, j, slope) -> Column:
+    """Attention bias between two places: the slope times their distance, negative."""
+    return -F.abs(_c(i) - _c(j)) * _c(slope)
+
+
 def mel_points(low: float, high: float, n: int) -> list[float]:
     """n frequencies evenly spaced on the mel scale."""
     a, b = 2595 * math.log10(1 + low / 700), 2595 * math.log10(1 + high / 700)

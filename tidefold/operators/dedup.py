@@ -67,3 +67,11 @@ def shifted_partner(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     total = ranked.agg(F.max("__r").alias("__n"))  # one row
     nxt = ranked.crossJoin(F.broadcast(total)).select(F.col(key).alias("partner"), F.when(F.col("__r") == 1, F.col("__n")).otherwise(F.col("__r") - 1).alias("__r"))
     return ranked.select(key, "__r").join(nxt, "__r").select(key, "partner")
+
+
+def aligned(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
+    """JN12: rows of two tables side by side by an explicit row number; tables of different lengths raise."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows beside {m}")
+    return left.join(right, index)

@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import joins, models, scans, scores, series  # noqa: F401  they register themselves
+    from . import exchange, joins, models, scans, scores, series  # noqa: F401  they register themselves

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import json
 import os
 import re
 import struct
+import urllib.parse
+import urllib.request
 import wave
-from collections.abc import Iterable
-from pathlib import Path
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import sample_count
+from ..operators.scratch import written
+from ..streaming.watch import with_retries
+from .settings import read_settings
+from .storage import names, open_input
 
 # Names by which a manifest's columns are known, compared in lower case without spaces.
 ALIASES = {"filename": ("filename", "file"), "start_s": ("start_s", "start"), "end_s": ("end_s", "end")}
@@ -94,31 +100,52 @@ def read_root_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 class _Rows(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, first: int, count: int, before: int):
+        self.path, self.first, self.count, self.before = path, first, count, before
+
+
+def _npy_header(f) -> tuple[tuple[int, ...], np.dtype]:
+    """Shape and type of an open .npy file, which is left at its first value."""
+    version = np.lib.format.read_magic(f)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if len(shape) != 2 or fortran:
+        raise ValueError(f"a matrix in row order is needed, not {len(shape)} dimensions{' in column order' * fortran}")
+    return shape, dtype
 
 
 class _NpyReader(DataSourceReader):
-    """Row ranges of a two-dimensional .npy file; each task maps the file and reads its own rows."""
+    """Row ranges of a two-dimensional .npy file, or of a folder's files in the order of their names; each task seeks to its
+    own rows and reads them in pieces."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.rows_each = int(options.get("rowseach", "65536"))
 
     def partitions(self):
-        shape = np.load(self.path, mmap_mode="r").shape
-        if len(shape) != 2:
-            raise ValueError(f"{self.path} has {len(shape)} dimensions, not 2")
-        return [_Rows(self.path, i, min(self.rows_each, shape[0] - i)) for i in range(0, shape[0], self.rows_each)] or [_Rows(self.path, 0, 0)]
+        parts, before = [], 0
+        for path in _files(self.path):
+            with open_input(path) as f:
+                rows = _npy_header(f)[0][0]
+            parts += [_Rows(path, i, min(self.rows_each, rows - i), before) for i in range(0, rows, self.rows_each)]
+            before += rows
+        return parts or [_Rows("", 0, 0, 0)]
 
     def read(self, part):
-        data = np.load(part.path, mmap_mode="r")
-        for i in range(part.first, part.first + part.count):
-            yield i, data[i].astype(np.float32).tolist()
+        if not part.count:
+            return
+        with open_input(part.path) as f:
+            shape, dtype = _npy_header(f)
+            width = shape[1] * dtype.itemsize
+            f.seek(f.tell() + part.first * width)
+            for lo in range(0, part.count, 1024):
+                n = min(1024, part.count - lo)
+                data = np.frombuffer(f.read(n * width), dtype=dtype).reshape(n, shape[1]).astype(np.float32)
+                for i, row in enumerate(data):
+                    yield part.before + part.first + lo + i, row.tolist()
 
 
 class NpySource(DataSource):
-    """SRC7: spark.read.format("npy").load(path) -> (row_index, embedding)."""
+    """SRC7: spark.read.format("npy").load(path) of a file or a folder -> (row_index, embedding)."""
 
     @classmethod
     def name(cls):
@@ -139,43 +166,68 @@ def list_files(spark: SparkSession, root: str, extensions: Iterable[str]) -> Dat
 
 
 def find_manifests(root: str, wav_limit: int | None = None) -> list[str]:
-    """SRC16: every manifest.jsonl below a root, depth first; with a limit, a folder with more WAV files ends its branch."""
+    """SRC16: every manifest.jsonl below a local root, depth first; with a limit, a folder with more WAV files ends its branch."""
     found = []
-    for folder, names, files in os.walk(root):
+    for folder, folders, files in os.walk(root):
         if "manifest.jsonl" in files:
             found.append(os.path.join(folder, "manifest.jsonl"))
         if wav_limit is not None and sum(f.lower().endswith(".wav") for f in files) > wav_limit:
-            names.clear()
-        names.sort()
+            folders.clear()
+        folders.sort()
     return sorted(found)
 
 
+def pruned_manifests(files: DataFrame, wav_limit: int, path: str = "path", name: str = "manifest.jsonl") -> DataFrame:
+    """SRC16 over a listing of any size: paths of manifests that have no folder of over `wav_limit` WAV files above their own."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    rows = files.select(path, folder.alias("folder"))
+    full = rows.where(F.lower(path).endswith(".wav")).groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") > wav_limit).select(F.col("folder").alias("above"))
+    found = rows.where(F.substring_index(path, "/", -1) == name)
+    steps = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i - 1), "/"))
+    cut = found.select(path, F.explode(above).alias("above")).join(full, "above", "left_semi").select(path).distinct()
+    return found.select(path).join(cut, path, "left_anti")
+
+
 def _wav(content: bytes) -> tuple[int, int, np.ndarray] | None:
     try:
         with wave.open(io.BytesIO(content)) as w:
             width, channels, rate, frames = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
-            if rate <= 0 or width not in (1, 2, 4):
+            if rate <= 0 or width not in (1, 2, 3, 4):
                 return None
-            raw = np.frombuffer(w.readframes(frames), dtype={1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
-            x = (raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))
+            data = w.readframes(frames)
+            if width == 3:  # to the upper bytes of 32 bits
+                wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+                wide[:, 1:] = np.frombuffer(data[: len(wide) * 3], dtype=np.uint8).reshape(-1, 3)
+                data, width = wide.tobytes(), 4
+            raw = np.frombuffer(data, dtype={1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+            x = ((raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))).astype(np.float32)
             return rate, frames, x.reshape(-1, channels).mean(axis=1)
     except (wave.Error, EOFError, struct.error):
         return None
 
 
-def read_audio(spark: SparkSession, root: str, samples: bool = False) -> DataFrame:
-    """SRC13, SRC14: (path, duration, sample_rate[, samples]) of WAV files; unreadable ones have nulls. Channels are averaged."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "content")
+def decode_audio(df: DataFrame, content: str, samples: bool = True) -> DataFrame:
+    """SRC11, SRC13, SRC14: replace a column of WAV bytes by duration, sample_rate and, if asked, samples (channels averaged).
+
+    What can't be read, or holds no samples, has nulls; other columns pass through.
+    """
+    kept = [f for f in df.schema.fields if f.name != content]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "duration double, sample_rate int" + (", samples array<float>" if samples else "")
 
     def parse(batches):
         for pdf in batches:
-            got = [_wav(bytes(c)) for c in pdf["content"]]
-            out = pd.DataFrame({"path": pdf["path"], "duration": [g[1] / g[0] if g and g[1] else None for g in got], "sample_rate": pd.array([g[0] if g and g[1] else None for g in got], dtype="Int32")})
-            if samples:
-                out["samples"] = [g[2] if g else None for g in got]
-            yield out
+            got = [None if c is None else _wav(bytes(c)) for c in pdf[content]]
+            out = pdf.drop(columns=content).assign(duration=[g[1] / g[0] if g and g[1] else None for g in got], sample_rate=pd.array([g[0] if g and g[1] else None for g in got], dtype="Int32"))
+            yield out.assign(samples=[g[2] if g else None for g in got]) if samples else out
 
-    return files.mapInPandas(parse, "path string, duration double, sample_rate int" + (", samples array<float>" if samples else ""))
+    return df.mapInPandas(parse, schema)
+
+
+def read_audio(spark: SparkSession, root: str, samples: bool = False) -> DataFrame:
+    """SRC13, SRC14: (path, duration, sample_rate[, samples]) of WAV files; unreadable ones have nulls. Channels are averaged."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "content")
+    return decode_audio(files, "content", samples)
 
 
 def zip_slice(content: str = "content", at: str = "at") -> F.Column:
@@ -183,15 +235,129 @@ def zip_slice(content: str = "content", at: str = "at") -> F.Column:
     return F.expr(f"substring({content}, cast(split({at}, ':')[1] as int) + 1, cast(split({at}, ':')[2] as int))")
 
 
+def read_slices(references: DataFrame, at: str = "at") -> DataFrame:
+    """SRC17 for containers of any size: add `bytes`, read by seeking to `offset:length` of each reference's file."""
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in references.schema.fields) + "bytes binary"
+
+    def read(batches):
+        for pdf in batches:
+            out = []
+            for reference in pdf[at]:
+                path, offset, length = reference.rsplit(":", 2)
+                with open_input(path) as f:
+                    f.seek(int(offset))
+                    out.append(f.read(int(length)))
+            yield pdf.assign(bytes=out)
+
+    return references.mapInPandas(read, schema)
+
+
 def read_splits(spark: SparkSession, **paths: str) -> DataFrame:
-    """SRC10, SRC11: Parquet or Arrow splits as one table with a split column."""
-    parts = [spark.read.parquet(p).withColumn("split", F.lit(name)) for name, p in paths.items()]
+    """SRC10, SRC11: Parquet splits, or Arrow files (`.arrow`, `.feather`), as one table with a split column."""
+    parts = []
+    for name, p in paths.items():
+        arrow = p.rstrip("/").endswith((".arrow", ".feather"))
+        parts.append((spark.read.format("arrow_files").load(p) if arrow else spark.read.parquet(p)).withColumn("split", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def _arrow_batches(path: str):
+    import pyarrow as pa
+
+    with open_input(path) as f:
+        data = f.read()
+    try:
+        reader = pa.ipc.open_file(data)
+        yield reader.schema
+        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+    except pa.ArrowInvalid:
+        reader = pa.ipc.open_stream(data)
+        yield reader.schema
+        yield from reader
+
+
+class _ArrowReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        return [InputPartition(p) for p in _files(self.path)]
+
+    def read(self, part):
+        batches = _arrow_batches(part.value)
+        next(batches)
+        yield from batches
+
+
+def _files(path: str) -> list[str]:
+    """A file, or the files of a folder."""
+    return [f"{path.rstrip('/')}/{n}" for n in names(path)] if not os.path.splitext(path)[1] else [path]
+
+
+class ArrowSource(DataSource):
+    """SRC10: spark.read.format("arrow_files").load(path): Arrow files or streams, one task a file, batches as they are."""
+
+    @classmethod
+    def name(cls):
+        return "arrow_files"
+
+    def schema(self):
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        return from_arrow_schema(next(_arrow_batches(_files(self.options["path"])[0])))
+
+    def reader(self, schema):
+        return _ArrowReader(self.options["path"])
+
+
+LABEL_ARRAYS = {"start_time_lbl": "array<float>", "end_time_lbl": "array<float>", "start_frame_lbl": "array<bigint>", "end_frame_lbl": "array<bigint>", "lbl": "array<string>", "lbl_cat": "array<bigint>", "foc": "array<bigint>"}
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """SRC9: a store of label arrays by clip to a row for each label, in order: clip, pos and the arrays' values.
+
+    The store is nested Parquet (`sinks.write_labels`), or a folder of HDF5 files, one a clip, where h5py is installed. A
+    clip without labels has no row.
+    """
+    hdf5 = any(n.lower().endswith((".h5", ".hdf5")) for n in names(path)) if "*" not in path else False
+    stored = _hdf5_labels(spark, path) if hdf5 else spark.read.parquet(path)
+    return stored.select("clip", F.posexplode(F.arrays_zip(*LABEL_ARRAYS)).alias("pos", "z")).select("clip", F.col("pos").cast("long").alias("pos"), "z.*")
+
+
+def _hdf5_labels(spark: SparkSession, path: str) -> DataFrame:
+    importlib.import_module("h5py")  # say so here, not in a task
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{h5,hdf5}").load(path).select("path", "content")
+
+    def parse(batches):
+        import h5py
+
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with h5py.File(io.BytesIO(bytes(content)), "r") as f:
+                    rows.append([os.path.splitext(os.path.basename(name))[0], *[[v.decode() if isinstance(v, bytes) else v for v in f[c][()].tolist()] if c in f else [] for c in LABEL_ARRAYS]])
+            yield pd.DataFrame(rows, columns=["clip", *LABEL_ARRAYS])
+
+    return files.mapInPandas(parse, "clip string, " + ", ".join(f"{c} {t}" for c, t in LABEL_ARRAYS.items()))
+
+
+def read_label_frame(spark: SparkSession, path: str) -> DataFrame:
+    """SRC12: a label frame (Name, AudioFile, StartRelative, EndRelative, Focal), converted to Parquet once, in seconds.
+
+    Times are intervals or numbers. Pickled frames are never loaded here, as that would run whatever they hold.
+    """
+    frame = spark.read.parquet(path)
+
+    def seconds(c: str):
+        kind = frame.schema[c].dataType.typeName()
+        return F.col(c).cast("double") if "interval" not in kind else F.expr(f"extract(DAY FROM {c}) * 86400D + extract(HOUR FROM {c}) * 3600D + extract(MINUTE FROM {c}) * 60D + extract(SECOND FROM {c})").cast("double")
+
+    return frame.select(F.col("Name").alias("name"), F.col("AudioFile").alias("audio_file"), seconds("StartRelative").alias("start_s"), seconds("EndRelative").alias("end_s"), F.col("Focal").alias("focal"))
+
+
 def read_windows(spark: SparkSession, store: str) -> DataFrame:
     """SRC8: a vector store of three tables: windows with their recording's name and their vector."""
     windows, recordings, vectors = (spark.read.parquet(f"{store}/{t}") for t in ("windows", "recordings", "vectors"))
@@ -199,9 +365,8 @@ def read_windows(spark: SparkSession, store: str) -> DataFrame:
 
 
 def read_json_or(path: str, default):
-    """SRC23: a small result file, or a default where it is missing."""
-    p = Path(path)
-    return json.loads(p.read_text()) if p.exists() else default
+    """SRC23: a small result file, JSON or YAML, or a default where it is missing."""
+    return read_settings(path if path.endswith((".json", ".yaml", ".yml")) else f"{path}.json", default)
 
 
 def configured_sources(spark: SparkSession, given: list[dict] | None, defaults: list[dict], prefixes: list[str] | None = None) -> DataFrame:
@@ -213,25 +378,82 @@ def configured_sources(spark: SparkSession, given: list[dict] | None, defaults:
     return spark.createDataFrame([(i, *k) for i, k in enumerate(kept)], "pos int, bucket string, prefix string")
 
 
+def saved_pages(options: dict) -> Callable[[str, str, str, str], str]:
+    """Pages from a folder: `bucket-prefix-kind-token`, or without the kind; the first page's token is 0."""
+    folder = options["pages"]
+
+    def fetch(kind: str, bucket: str, prefix: str, token: str) -> str:
+        stem = f"{bucket}-{prefix.strip('/').replace('/', '-')}"
+        there = names(folder)
+        for name in (f"{stem}-{kind}-{token or 0}", f"{stem}-{token or 0}"):
+            if name in there:
+                with open_input(f"{folder.rstrip('/')}/{name}") as f:
+                    return f.read().decode()
+        raise FileNotFoundError(f"{stem}-{kind}-{token or 0}")
+
+    return fetch
+
+
+def web_pages(options: dict) -> Callable[[str, str, str, str], str]:
+    """Pages over HTTP from the templates `json_url` and `xml_url`, which name {bucket}, {prefix} and {token}, with retries."""
+
+    def fetch(kind: str, bucket: str, prefix: str, token: str) -> str:
+        if not options.get(f"{kind}_url"):
+            raise FileNotFoundError(f"no {kind}_url")
+        quoted = {k: urllib.parse.quote(v, safe="") for k, v in (("bucket", bucket), ("prefix", prefix), ("token", token))}
+
+        def get() -> str:
+            with urllib.request.urlopen(options[f"{kind}_url"].format(**quoted), timeout=60) as f:
+                return f.read().decode()
+
+        return with_retries(get)
+
+    return fetch
+
+
 class _ListingReader(DataSourceReader):
-    """Pages of object listings, one task for each prefix; what fetches a page is an option, so it can be a stub."""
+    """One task for each prefix. Pages follow each other by their tokens; where the JSON listing fails, the XML one is read."""
 
     def __init__(self, options):
-        self.bucket, self.prefixes, self.pages = options["bucket"], options.get("prefixes", "").split(","), options["pages"]
+        self.options = dict(options)
+        self.bucket, self.prefixes = options["bucket"], options.get("prefixes", "").split(",")
+        self.extensions = tuple(e.strip().lower() for e in options.get("extensions", "").split(",") if e.strip())
 
     def partitions(self):
         return [InputPartition(p) for p in self.prefixes]
 
+    def _listed(self, fetch, kind: str, prefix: str) -> Iterator[tuple[str, int]]:
+        token, seen = "", set()
+        while token not in seen:
+            seen.add(token)
+            page = fetch(kind, self.bucket, prefix, token)
+            if kind == "json":
+                json.loads(page)  # an error page isn't a listing
+            yield from parse_listing(page)
+            token = next_token(page)
+            if not token:
+                return
+        raise ValueError(f"the listing of {prefix} comes back to {token}")
+
     def read(self, part):
-        folder = Path(self.pages)
-        for page in sorted(folder.glob(f"{self.bucket}-{part.value.strip('/').replace('/', '-')}-*")):
-            for key, size in parse_listing(page.read_text()):
-                if not key.endswith("/"):
-                    yield self.bucket, key, size
+        module, _, name = self.options.get("fetch", f"{__name__}:{'saved_pages' if 'pages' in self.options else 'web_pages'}").partition(":")
+        fetch = getattr(importlib.import_module(module), name)(self.options)
+        try:
+            found = list(self._listed(fetch, "json", part.value))
+        except (OSError, ValueError, KeyError):
+            found = list(self._listed(fetch, "xml", part.value))
+        for key, size in found:
+            if not key.endswith("/") and key.lower().endswith(self.extensions or ("",)):
+                yield self.bucket, key, size
 
 
 class ListingSource(DataSource):
-    """SRC18-SRC20: spark.read.format("listing") over saved pages of bucket listings, JSON or XML -> (bucket, key, size)."""
+    """SRC18-SRC20: spark.read.format("listing"): pages of bucket listings, JSON or XML -> (bucket, key, size).
+
+    Options: bucket, prefixes (comma-separated), extensions (those to keep), and where pages come from: `pages` (a folder of
+    saved ones), `json_url` and `xml_url` (templates), or `fetch` (`module:function`, called with the options, giving a
+    function of kind, bucket, prefix and token).
+    """
 
     @classmethod
     def name(cls):
@@ -244,6 +466,25 @@ class ListingSource(DataSource):
         return _ListingReader(self.options)
 
 
+def month_prefixes(template: str, years: Iterable[int], months: Iterable[int | str] | None = None) -> list[str]:
+    """SRC20: prefixes of the wanted months, so that others are never listed: a template with {year} and {month}."""
+    return [template.format(year=int(y), month=f"{int(m):02d}") for y in years for m in (months or range(1, 13))]
+
+
+def next_token(page: str) -> str:
+    """The token of the page after this one; empty after the last."""
+    try:
+        return str(json.loads(page).get("nextPageToken") or "")
+    except ValueError:
+        import xml.etree.ElementTree as ET
+
+        values = {e.tag.rpartition("}")[2]: (e.text or "") for e in ET.fromstring(page)}
+        if values.get("IsTruncated", "").strip().lower() != "true":
+            return ""
+        keys = [k for k, _ in parse_listing(page)]
+        return values.get("NextContinuationToken") or values.get("NextMarker") or (keys[-1] if keys else "")
+
+
 def parse_listing(page: str) -> list[tuple[str, int]]:
     """(name, size) of one page: JSON with `items`, else XML with Contents of Key and Size."""
     try:
@@ -260,21 +501,53 @@ def parse_listing(page: str) -> list[tuple[str, int]]:
         return out
 
 
-def crawl(pages: DataFrame, start: str, base: str, rounds: int = 100) -> DataFrame:
+def crawl(pages: DataFrame, start: str, base: str, folders: list[str] | None = None, extensions: Iterable[str] | None = None) -> DataFrame:
     """SRC21: URLs reachable from `start` below `base`, over a table of saved pages (url, links): frontiers by joins.
 
-    Each round joins the frontier with the pages and takes away what was seen; it ends when nothing new is found.
+    Links ending in a slash that name none of `folders`, if given, aren't followed; of the URLs found those with one of the
+    `extensions`, if given, are returned. Each round joins the frontier with the pages and takes away what was seen; it ends
+    when nothing new is found, which it must, as every round adds URLs of the table.
     """
     spark = pages.sparkSession
     seen = frontier = spark.createDataFrame([(start,)], "url string")
-    for _ in range(rounds):
-        fresh = pages.join(frontier, "url").select(F.explode("links").alias("url")).where(F.col("url").startswith(base)).distinct().join(seen, "url", "left_anti").checkpoint()
+    allowed = F.col("url").startswith(base)
+    if folders:
+        allowed = allowed & (~F.col("url").endswith("/") | F.element_at(F.split("url", "/"), -2).isin(*folders))
+    while True:
+        fresh = written(pages.join(frontier, "url").select(F.explode("links").alias("url")).where(allowed).distinct().join(seen, "url", "left_anti"))
         if fresh.isEmpty():
             break
-        seen, frontier = seen.unionByName(fresh).checkpoint(), fresh
+        seen, frontier = written(seen.unionByName(fresh)), fresh
+    if extensions:
+        seen = seen.where(F.lower("url").rlike(r"\.(" + "|".join(re.escape(e.lstrip(".").lower()) for e in extensions) + ")$"))
     return seen
 
 
 def archive_params(defaults: dict, shared: dict, target: dict, core: dict) -> dict:
     """SRC22: parameters of an archive request: defaults, then shared, then the target's extras, then core fields; nulls drop."""
     return {k: v for k, v in {**defaults, **shared, **target, **core}.items() if v is not None}
+
+
+def archive_requests(spark: SparkSession, targets: list[dict], defaults: dict, shared: dict, token: str | None = None, token_variable: str | None = None) -> DataFrame:
+    """SRC22: a row for each target: (target, params), its extras over shared parameters over defaults, its core fields over all.
+
+    A target has `name`, `core` and `extra`. The token is the one given, else that of the environment variable; without
+    either it raises.
+    """
+    secret = token or (os.environ.get(token_variable) if token_variable else None)
+    if not secret:
+        raise ValueError("no token: give one, or name an environment variable that holds it")
+    rows = [(t["name"], {k: str(v) for k, v in archive_params(defaults, shared, t.get("extra", {}), t["core"] | {"token": secret}).items()}) for t in targets]
+    return spark.createDataFrame(rows, "target string, params map<string,string>")
+
+
+def fetch_archives(requests: DataFrame, fetch: Callable[[dict], Iterable[tuple[str, int]]]) -> DataFrame:
+    """SRC22: (target, file, size) of what `fetch` lists for each request, with retries; tasks fetch side by side."""
+
+    def run(batches):
+        for pdf in batches:
+            for target, params in zip(pdf["target"], pdf["params"]):
+                found = with_retries(lambda: list(fetch(dict(params))))  # noqa: B023
+                yield pd.DataFrame({"target": [target] * len(found), "file": [f for f, _ in found], "size": [n for _, n in found]}).astype({"file": object, "size": "int64"})
+
+    return requests.mapInPandas(run, "target string, file string, size bigint")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import json
+import re
+import uuid
 import wave
-from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import running_totals
+from .files import LABEL_ARRAYS
+from .settings import dump_yaml, read_settings
+from .storage import write_bytes
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """SNK1."""
@@ -23,9 +30,31 @@ def union_of_keys(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def selection_tables(events: DataFrame, files: DataFrame, path: str) -> None:
-    """SNK3: a table of Begin Time, End Time and Annotation for each file; a file without events has a header only."""
-    rows = files.select("fn").join(events, "fn", "left").select("fn", F.col("start_s").alias("Begin Time (s)"), F.col("end_s").alias("End Time (s)"), F.col("label").alias("Annotation"))
-    rows.repartition("fn").sortWithinPartitions("fn", "Begin Time (s)").write.mode("overwrite").partitionBy("fn").csv(path, header=True, sep="\t")
+    """SNK3: a file `fn.txt` of Begin Time, End Time and Annotation for each file; one without events has a header only.
+
+    Rows are sorted by file within partitions, so that a task holds one file's lines at a time.
+    """
+    rows = files.select("fn").distinct().join(events.select("fn", "start_s", "end_s", "label"), "fn", "left")
+    head = "Begin Time (s)\tEnd Time (s)\tAnnotation\n"
+
+    def save(rows):
+        name, lines = None, []
+        for r in rows:
+            if name is not None and r["fn"] != name:
+                write_bytes(f"{path}/{safe_name(name)}.txt", (head + "".join(lines)).encode())
+                lines = []
+            name = r["fn"]
+            if r["start_s"] is not None:
+                lines.append(f"{r['start_s']}\t{r['end_s']}\t{r['label']}\n")
+        if name is not None:
+            write_bytes(f"{path}/{safe_name(name)}.txt", (head + "".join(lines)).encode())
+
+    rows.repartition("fn").sortWithinPartitions("fn", "start_s", "end_s", "label").foreachPartition(save)
+
+
+def safe_name(name: str) -> str:
+    """A file name without separators and other odd characters."""
+    return re.sub(r"[^\w.\-]", "_", str(name)).lstrip(".") or "_"
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -47,47 +76,153 @@ def fan_out(df: DataFrame, route: Column, path: str) -> None:
 
 
 def write_sharded(df: DataFrame, order: str, per_folder: int, path: str) -> None:
-    """SNK8: folders shard_000000, ... of `per_folder` rows by the order."""
-    shard = F.floor((F.row_number().over(W.orderBy(order)) - 1) / per_folder)
-    df.withColumn("shard", F.concat(F.lit("shard_"), F.lpad(shard.cast("string"), 6, "0"))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    """SNK8: folders shard_000000, ... of `per_folder` rows by the order, which must be total; numbered without one task for all."""
+    numbered = running_totals(df, [order], {"__row": F.lit(1).cast("long")})
+    shard = F.floor((F.col("__row") - 1) / per_folder)
+    named = numbered.withColumn("shard", F.concat(F.lit("shard_"), F.lpad(shard.cast("string"), 6, "0")))
+    named.drop("__row").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def _npy(rows: list) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.array(rows, dtype=np.float32) if rows else np.zeros((0, 0), np.float32))
+    return out.getvalue()
+
 
+def write_npy(df: DataFrame, path: str, index: str = "row_index", vector: str = "embedding", rows_each: int = 65_536, name: Column | None = None) -> None:
+    """SNK9: a folder of .npy parts, sorted by index within ranges of it; each task writes its own parts, of `rows_each` rows.
 
-def write_npy(df: DataFrame, path: str, index: str = "row_index", vector: str = "embedding") -> None:
-    """SNK9: a folder of .npy parts, sorted by index within ranges of it; each task writes its own part."""
-    Path(path).mkdir(parents=True, exist_ok=True)
+    With `name` one file for each row, called by it. An empty table gives one file of no rows.
+    """
+    if name is not None:
+
+        def each(rows):
+            for r in rows:
+                write_bytes(f"{path}/{safe_name(r[1])}.npy", _npy(r[0]))
+
+        df.select(vector, name.cast("string")).foreachPartition(each)
+        return
 
     def save(rows):
         first, data = None, []
         for r in rows:
             first = r[0] if first is None else first
             data.append(r[1])
+            if len(data) == rows_each:
+                write_bytes(f"{path}/part-{first:012d}.npy", _npy(data))
+                first, data = None, []
         if data:
-            np.save(Path(path) / f"part-{first:012d}.npy", np.array(data, dtype=np.float32))
+            write_bytes(f"{path}/part-{first:012d}.npy", _npy(data))
 
+    if df.isEmpty():
+        write_bytes(f"{path}/part-{0:012d}.npy", _npy([]))
     df.select(index, vector).repartitionByRange(index).sortWithinPartitions(index).foreachPartition(save)
 
 
+def wav_bytes(samples, rate: int) -> bytes:
+    """A 16-bit mono WAV file."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(np.asarray(samples, dtype=np.float64), -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def write_wav(df: DataFrame, path: str, name: str = "name", samples: str = "samples", rate: int = 16_000) -> None:
-    """SNK11: a 16-bit mono WAV file for each row."""
-    Path(path).mkdir(parents=True, exist_ok=True)
+    """SNK11: a 16-bit mono WAV file for each row, in folders as its name says."""
 
     def save(rows):
         for r in rows:
-            out = Path(path) / f"{r[0]}.wav"
-            out.parent.mkdir(parents=True, exist_ok=True)
-            with wave.open(str(out), "wb") as w:
-                w.setnchannels(1)
-                w.setsampwidth(2)
-                w.setframerate(rate)
-                w.writeframes((np.clip(np.array(r[1]), -1, 1) * 32767).astype("<i2").tobytes())
+            write_bytes(f"{path}/{r[0]}.wav", wav_bytes(r[1], rate))
 
     df.select(name, samples).foreachPartition(save)
 
 
 def empty_labels(clips: DataFrame) -> DataFrame:
     """SNK10: label rows without labels, for clips that have none."""
-    kinds = {"start_time_lbl": "array<float>", "end_time_lbl": "array<float>", "start_frame_lbl": "array<bigint>", "end_frame_lbl": "array<bigint>", "lbl": "array<string>", "lbl_cat": "array<bigint>", "foc": "array<bigint>"}
-    return clips.select("clip", *[F.array().cast(t).alias(c) for c, t in kinds.items()])
+    return clips.select("clip", *[F.array().cast(t).alias(c) for c, t in LABEL_ARRAYS.items()])
+
+
+def write_labels(events: DataFrame, clips: DataFrame, path: str, rate: int, categories: list[str]) -> None:
+    """SNK10: a store of label arrays by clip, in time order: times, frames at `rate`, names, categories (their place in the
+    list, null for others) and focal marks. Clips without events have empty arrays.
+
+    `events` has clip, start_s, end_s, label and focal (boolean). A clip's events are one row, as the format asks.
+    """
+    category = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("label"))
+    event = F.struct("start_s", "end_s", "label", F.when(category > 0, category - 1).alias("category"), F.coalesce(F.col("focal").cast("long"), F.lit(0)).alias("foc"))
+    grouped = events.groupBy("clip").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    parts = {
+        "start_time_lbl": lambda e: e["start_s"], "end_time_lbl": lambda e: e["end_s"], "start_frame_lbl": lambda e: F.floor(e["start_s"] * rate), "end_frame_lbl": lambda e: F.floor(e["end_s"] * rate),
+        "lbl": lambda e: e["label"], "lbl_cat": lambda e: e["category"], "foc": lambda e: e["foc"],
+    }
+    rows = clips.select("clip").distinct().join(grouped, "clip", "left").withColumn("e", F.coalesce("e", F.array().cast(grouped.schema["e"].dataType)))
+    rows.select("clip", *[F.transform("e", parts[c]).cast(t).alias(c) for c, t in LABEL_ARRAYS.items()]).write.mode("overwrite").parquet(path)
+
+
+def replace_table(df: DataFrame, path: str, least_rows: int = 0) -> int:
+    """SNK7: a Parquet table that is replaced as a whole: written beside its place, counted, then moved there; its rows.
+
+    Readers see the old table or the new one but for the moment between two renames. A result of under `least_rows` raises
+    and leaves the old table.
+    """
+    spark = df.sparkSession
+    part, old = f"{path}.{uuid.uuid4().hex}.part", f"{path}.{uuid.uuid4().hex}.old"
+    where = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, part, old)}
+    system = where[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(part)
+        rows = spark.read.schema(df.schema).parquet(part).count()
+        if rows < least_rows:
+            raise ValueError(f"{rows} rows instead of {least_rows} at least")
+        if system.exists(where[path]):
+            system.rename(where[path], where[old])
+        if not system.rename(where[part], where[path]):
+            system.rename(where[old], where[path])
+            raise OSError(f"{part} can't be moved to {path}")
+        return rows
+    finally:
+        system.delete(where[part], True)
+        system.delete(where[old], True)
+
+
+def save_bundle(model, labels: list[str], path: str) -> None:
+    """SNK15: a fitted pipeline with its label names."""
+    model.write().overwrite().save(f"{path}/model")
+    write_bytes(f"{path}/labels.json", json.dumps(labels).encode())
+
+
+def load_bundle(path: str):
+    """The pipeline and label names that `save_bundle` wrote."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), read_settings(f"{path}/labels.json")
+
+
+def write_yaml(value: dict, path: str) -> None:
+    """SNK18: a small configuration file."""
+    write_bytes(path, (dump_yaml(value) + "\n").encode())
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """SRC10's counterpart: an Arrow file for each partition, in a folder."""
+
+    def save(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        held = list(batches)
+        if held:
+            out = io.BytesIO()
+            with pa.ipc.new_file(out, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            write_bytes(f"{path}/part-{TaskContext.get().partitionId():05d}.arrow", out.getvalue())
+        yield pa.record_batch({"rows": pa.array([sum(b.num_rows for b in held)], pa.int64())})
+
+    df.mapInArrow(save, "rows long").agg(F.sum("rows")).collect()
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -46,11 +46,81 @@ def best_sink(path: str):
     return sink
 
 
-def only_new(stream: DataFrame, key: str) -> DataFrame:
-    """ST4: rows of a stream whose key was not seen before."""
+def composite(best: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """ST2: one row, the weighted mean of the best scores of all named tasks; null where one is missing."""
+    named = best.where(F.col("task").isin(*weights)).groupBy().agg(F.count("*").alias("n"), F.sum(F.col("score") * F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("task")]).alias("s"))
+    return named.select(F.when(F.col("n") == len(weights), F.col("s") / sum(weights.values())).alias("composite"))
+
+
+def only_new(stream: DataFrame, key: str, within: tuple[str, str] | None = None) -> DataFrame:
+    """ST4: rows of a stream whose key was not seen before.
+
+    The state holds every key; `within` (a time column and a span) lets keys be forgotten once they are that old. For keys
+    without a bound in time, `new_sink` keeps them in a table instead of the state.
+    """
+    if within:
+        return stream.withWatermark(*within).dropDuplicatesWithinWatermark([key])
     return stream.dropDuplicates([key])
 
 
+def new_sink(path: str, key: str):
+    """ST4: a sink that appends the rows whose key no earlier batch had, one of each key; the table itself is the memory."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number > 0:
+            old = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
+            fresh = fresh.join(old.select(key), key, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def run_until_idle(stream: DataFrame, sink, checkpoint: str, empty_polls: int = 3, poll_s: float = 10.0, sleep=None) -> int:
+    """ST3: poll the source until `empty_polls` polls in a row bring nothing, then stop; the number of batches run."""
+    import time
+
+    batches: list[int] = []
+
+    def counted(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        batches.append(number)
+
+    idle = 0
+    while idle < empty_polls:
+        before = len(batches)
+        drain(stream, counted, checkpoint)
+        idle = 0 if len(batches) > before else idle + 1
+        if idle < empty_polls:
+            (sleep or time.sleep)(poll_s)
+    return len(batches)
+
+
+def bounded_map(df: DataFrame, work, result: str, workers: int = 8) -> DataFrame:
+    """ST7: `work` (a function of a row as a dict, giving a dict of `result` columns) over all rows, for calls that wait.
+
+    Each task runs `workers` of them side by side and has twice as many pending at most; rows come in the order of
+    completion, so give them a key.
+    """
+
+    def run(batches):
+        from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+
+        import pandas as pd
+
+        with ThreadPoolExecutor(workers) as pool:
+            pending: set = set()
+            for row in (r for pdf in batches for r in pdf.to_dict("records")):
+                pending.add(pool.submit(work, row))
+                if len(pending) >= 2 * workers:
+                    done, pending = wait(pending, return_when=FIRST_COMPLETED)
+                    yield pd.DataFrame([f.result() for f in done], dtype=object)
+            if pending:
+                yield pd.DataFrame([f.result() for f in wait(pending).done], dtype=object)
+
+    return df.mapInPandas(run, result)
+
+
 def with_retries(task, attempts: int = 5, longest_s: float = 10.0, sleep=None):
     """ST8: call `task` until it succeeds, waiting 1, 2, 4, ... seconds, `longest_s` at most."""
     import time
