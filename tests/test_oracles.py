@@ -31,6 +31,27 @@ def test_flagship_is_not_trivial(spark):
 
 def test_window_ids_run_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
-    got = sorted(map(tuple, QUERIES["window_projection_all"](spark, sf).select("row_index", "window_id").collect()))
+    got = sorted(map(tuple, QUERIES["window_projection"](spark, sf).select("row_index", "window_id").collect()))
     ids = sorted(r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect())
     assert got == list(enumerate(ids)) and len(ids) == 10_000
+
+
+def test_entry_hides_no_error(tmp_path):
+    """Without the subpackage the other queries are there; with it, an error inside it comes out."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tidefold", tmp_path / "tidefold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    say = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"]
+    run = lambda: subprocess.run(say, cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+    assert run().stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+    (tmp_path / "tidefold" / "llm" / "__pycache__").mkdir(parents=True)
+    assert run().returncode == 0
+    (tmp_path / "tidefold" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tidefold" / "llm" / "queries.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "no_such_module" in run().stderr

@@ -2,27 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import written
 
+#: Rows of a group up to which one task may sort it; larger groups are ordered over all tasks.
+GROUP_ROWS = 1_000_000
+
 
 def running_totals(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
     """Add running sums, this row included, over one order of the whole table, without gathering it in one task.
 
-    Rows are range-partitioned by the order (which must be total) and written; each partition sums its own rows, and the
-    totals of the partitions before it, one row a partition, are added. The number of a row is the running sum of 1.
+    Rows are range-partitioned and sorted by the order (which must be total) and summed as they are written, a partition
+    each: one shuffle. The totals of the partitions before it, one row a partition, are added when the table is read. The
+    number of a row is the running sum of 1; a null adds nothing.
     """
-    values = {f"__v_{name}": value for name, value in sums.items()}
-    placed = written(df.withColumns(values).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    kinds = {name: "bigint" if isinstance(df.select(value).schema[0].dataType, T.IntegralType) else "double" for name, value in sums.items()}
+    values = {f"__v_{name}": F.coalesce(value.cast(kinds[name]), F.lit(0).cast(kinds[name])) for name, value in sums.items()}
+    placed = df.withColumns(values).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*placed.schema.fields, *[T.StructField(f"__r_{name}", placed.schema[f"__v_{name}"].dataType) for name in sums]])
+
+    added_to = list(values)  # names only: columns can't go to workers
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        carry = dict.fromkeys(added_to, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            added = []
+            for v in added_to:
+                total = pc.add(pc.cumulative_sum(batch.column(v)), pa.scalar(carry[v], batch.column(v).type))
+                carry[v] = total[-1].as_py()
+                added.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *[f"__r_{v[4:]}" for v in added_to]])
+
+    placed = written(placed.mapInArrow(run, schema).withColumn("__p", F.spark_partition_id()))
     totals = placed.groupBy("__p").agg(*[F.sum(v).alias(v) for v in values])
-    earlier = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("__p", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__o_{name}") for name, v in zip(sums, values)])
-    here = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(offsets), "__p")  # a row for each partition
-    return out.select(*df.columns, *[(F.col(f"__o_{name}") + F.sum(f"__v_{name}").over(here)).alias(name) for name in sums])
+    earlier = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    offsets = totals.select("__p", *[F.coalesce(F.sum(f"__v_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums])
+    out = placed.join(F.broadcast(offsets), "__p")
+    return out.select(*df.columns, *[(F.col(f"__o_{name}") + F.col(f"__r_{name}")).alias(name) for name in sums])
+
+
+def running_in_groups(df: DataFrame, group: list[str], order: list, sums: dict[str, Column], counts: str | None = None) -> DataFrame:
+    """Add running sums, this row included, within each group; with `counts` also the group's number of rows.
+
+    Groups of up to GROUP_ROWS rows are windows. Where one is larger, the running sums of the whole table by group and order
+    are taken, less where the group starts: its rows then stand in many tasks, and only one row a group is joined back.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    if largest <= GROUP_ROWS:
+        over = W.partitionBy(*group)
+        out = df.withColumns({name: F.coalesce(F.sum(v).over(over.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) for name, v in sums.items()})
+        return out.withColumn(counts, F.count("*").over(over)) if counts else out
+    keyed = df.withColumns({f"__k_{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)} | {f"__x_{n}": F.coalesce(v, F.lit(0)) for n, v in sums.items()})
+    keys = [f"__k_{i}" for i in range(len(order))]
+    total = running_totals(keyed, [*group, *keys], {name: F.col(f"__x_{name}") for name in sums})
+    least = F.struct(*keys)
+    starts = total.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(F.count("*").alias("__n"), *[F.min_by(F.col(n) - F.col(f"__x_{n}"), least).alias(f"__s_{n}") for n in sums])
+    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
+    out = total.join(written(starts), same)
+    return out.select(*df.columns, *[(F.col(n) - F.col(f"__s_{n}")).alias(n) for n in sums], *([F.col("__n").alias(counts)] if counts else []))
 
 
 def islands(frames: DataFrame, key: str, index: str, value: str) -> DataFrame:
@@ -42,53 +92,87 @@ def moving(value: str, key: str, index: str, width: int, kind: str = "avg") -> C
 def ema(df: DataFrame, key: str, index: str, value: str, weight: float) -> DataFrame:
     """Exponential moving average at the end of each key's series: acc = w x + (1 - w) acc, from its first value.
 
-    A key's series is one row while it is folded; keys are meant to be clips.
+    It is a weighted sum: a value `back` places before the end counts w (1 - w)^back, the first one (1 - w)^back. So it is
+    aggregated like any sum, over any number of tasks. A null counts nothing.
     """
-    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda s: s[value].cast("double")).alias("xs"))
-    first = F.element_at("xs", 1)
-    return rows.select(key, F.aggregate(F.slice("xs", 2, F.size("xs")), first, lambda a, x: x * weight + a * (1 - weight)).alias("ema"))
-
-
-def running_before(value: str, key: str | list[str], *order) -> Column:
-    """Sum of the rows before this one in the order; 0 for the first."""
-    over = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(over), F.lit(0))
+    ranked = running_in_groups(df.select(key, index, value), [key], [index], {"__i": F.lit(1)}, counts="__m")
+    kept = F.pow(F.lit(1 - weight), F.col("__m") - F.col("__i"))
+    return ranked.groupBy(key).agg(F.sum(F.col(value).cast("double") * kept * F.when(F.col("__i") == 1, 1.0).otherwise(weight)).alias("ema"))
 
 
 def take_until(df: DataFrame, key: str | list[str], order: list, size: str, target: int) -> DataFrame:
     """Rows in the order until their sizes reach the target; the row that crosses it is kept."""
-    return df.withColumn("__before", running_before(size, key, *order)).where(F.col("__before") < target).drop("__before")
+    run = running_in_groups(df, [key] if isinstance(key, str) else key, order, {"__run": F.col(size)})
+    return run.where(F.col("__run") - F.coalesce(size, F.lit(0)) < target).drop("__run")
 
 
-def greedy_budget(df: DataFrame, key: str, order: str, size: str, target: float) -> DataFrame:
-    """A row for each key: how many rows a greedy pass takes and their total.
+def _folded(df: DataFrame, key: str, order: str, size: str, fold, added: str) -> DataFrame:
+    """A sequential pass over each key's sizes in order, a row at a time: its memory doesn't grow with a key's rows.
 
-    A row is skipped where it is larger than what remains, that is under half of it, and something was taken before. The
-    pass is sequential by nature: a key's sizes are one row while it is folded.
+    `fold` makes for each key a function of the next size, giving a value for the row, and one that gives the row at the end.
     """
-    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, size))), lambda s: s[size].cast("double")).alias("xs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
 
-    def step(a: Column, x: Column) -> Column:
-        left = F.lit(float(target)) - a["total"]
-        skip = (left <= 0) | ((x > left) & (left < x / 2) & (a["n"] > 0))
-        return F.struct(F.when(skip, a["n"]).otherwise(a["n"] + 1).alias("n"), F.when(skip, a["total"]).otherwise(a["total"] + x).alias("total"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state, started = None, None, False
+        for pdf in batches:
+            rows = []
+            for k, o, n in zip(pdf[key], pdf[order], pdf[size]):
+                if not started or k != name:
+                    if started:
+                        rows += state.end(name)
+                    name, state, started = k, fold(), True
+                rows += state.next(k, o, n)
+            yield pd.DataFrame(rows, columns=columns)
+        if started:
+            yield pd.DataFrame(state.end(name), columns=columns)
 
-    return rows.withColumn("r", F.aggregate("xs", start, step)).select(key, F.col("r.n").cast("long").alias("taken"), F.col("r.total").alias("total"))
+    schema = added.format(key=f"`{key}` {kinds[key]}", order=f"`{order}` {kinds[order]}")
+    columns = [c.split()[0].strip("`") for c in schema.split(", ")]
+    placed = df.select(key, order, size).repartition(key).sortWithinPartitions(key, order)
+    return placed.mapInPandas(run, schema)
 
 
-def shard_align(df: DataFrame, key: str, order: str, size: str, shard: int) -> DataFrame:
-    """Offsets at which each row starts, moved to the next shard where it would straddle two; sequential within a key."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias("__n")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+class _Greedy:
+    def __init__(self, target: float):
+        self.target, self.taken, self.total = target, 0, 0.0
+
+    def next(self, key, order, size) -> list:
+        left = self.target - self.total
+        if not (left <= 0 or (size > left and left < size / 2 and self.taken > 0)):
+            self.taken, self.total = self.taken + 1, self.total + float(size)
+        return []
 
-    def step(a: Column, x: Column) -> Column:
-        room = F.lit(shard) - F.pmod(a["at"], F.lit(shard))
-        begin = F.when((x["__n"] > room) & (x["__n"] <= shard), a["at"] + room).otherwise(a["at"])
-        return F.struct((begin + x["__n"]).cast("long").alias("at"), F.concat(a["out"], F.array(begin.cast("long"))).alias("out"))
+    def end(self, key) -> list:
+        return [(key, self.taken, self.total)]
 
-    found = rows.withColumn("begin", F.aggregate("xs", start, step)["out"])
-    return found.select(key, F.explode(F.arrays_zip(F.col("xs").alias("x"), F.col("begin").alias("b"))).alias("z")).select(key, F.col(f"z.x.{order}").alias(order), F.col("z.b").alias("begin"))
+
+class _Aligned:
+    def __init__(self, shard: int):
+        self.shard, self.at = shard, 0
+
+    def next(self, key, order, size) -> list:
+        room = self.shard - self.at % self.shard
+        begin = self.at + room if room < size <= self.shard else self.at
+        self.at = begin + int(size)
+        return [(key, order, begin)]
+
+    def end(self, key) -> list:
+        return []
+
+
+def greedy_budget(df: DataFrame, key: str, order: str, size: str, target: float) -> DataFrame:
+    """A row for each key: how many rows a greedy pass takes and their total.
+
+    A row is skipped where it is larger than what remains, that is under half of it, and something was taken before. The
+    pass is sequential by nature: a key is one task's, row by row. Rows without a size are left out.
+    """
+    return _folded(df.where(F.col(size).isNotNull()), key, order, size, lambda: _Greedy(target), "{key}, taken bigint, total double")
+
+
+def shard_align(df: DataFrame, key: str, order: str, size: str, shard: int) -> DataFrame:
+    """Offsets at which each row starts, moved to the next shard where it would straddle two; sequential within a key, row by row."""
+    return _folded(df.where(F.col(size).isNotNull()), key, order, size, lambda: _Aligned(shard), "{key}, {order}, begin bigint")
 
 
 def patience(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Joins of time intervals, and what follows from them: labels of windows, clipped labels, matches by overlap.
 
 All are equi-joins on a recording key with a range residual. Where one recording can hold very many events, `bucket_s`
-adds a time bucket to the key: both sides are put into every bucket they touch, so a hot recording is many join keys, and
-a pair is kept only in the first bucket that both touch.
+adds a time bucket to the key, so that a hot recording is many join keys: a window is in the bucket of its start only, and an
+event in every bucket in which a window that it overlaps can start. A window thus stays one row, whatever the kind of join.
 """
 
 from __future__ import annotations
@@ -23,28 +23,25 @@ def overlap_join(windows: DataFrame, events: DataFrame, key: str, min_overlap_s:
     """Windows (key, start_s, end_s, ...) with events (key, event_start, event_end, ...) of the same key.
 
     A pair matches where the event starts no later than the window ends and they overlap by `min_overlap_s` or more.
-    `how` is inner, left_semi or left_anti.
+    `how` is inner, left_semi or left_anti. Buckets suit windows that are about as long as a bucket, or shorter.
     """
     hit = (F.col("e.event_start") <= F.col("w.end_s")) & (overlap("w.start_s", "w.end_s", "e.event_start", "e.event_end") >= min_overlap_s)
+    same = F.col(f"w.{key}") == F.col(f"e.{key}")
     if bucket_s is None:
-        return windows.alias("w").join(events.alias("e"), (F.col(f"w.{key}") == F.col(f"e.{key}")) & hit, how)
-    if how != "inner":
-        raise ValueError("time buckets are for inner joins")
+        return windows.alias("w").join(events.alias("e"), same & hit, how)
+    longest = windows.agg(F.max(F.col("end_s") - F.col("start_s"))).first()[0] or 0.0
+    reach = max(0.0, float(longest)) + max(0.0, -min_overlap_s) + 1e-3
+    first, last = F.floor((F.col("event_start") - reach) / bucket_s), F.floor((F.greatest("event_start", "event_end") + reach - float(longest)) / bucket_s)
+    e = events.withColumn("__bucket", F.explode(F.sequence(first, last)))
+    w = windows.withColumn("__bucket", F.floor(F.col("start_s") / bucket_s))
+    out = w.alias("w").join(e.alias("e"), same & (F.col("w.__bucket") == F.col("e.__bucket")) & hit, how)
+    return out.drop("__bucket")
 
-    def spread(df: DataFrame, start: str, end: str) -> DataFrame:
-        first, last = F.floor(F.col(start) / bucket_s), F.floor(F.greatest(start, end) / bucket_s)
-        return df.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
 
-    w, e = spread(windows, "start_s", "end_s").alias("w"), spread(events, "event_start", "event_end").alias("e")
-    same = (F.col(f"w.{key}") == F.col(f"e.{key}")) & (F.col("w.__bucket") == F.col("e.__bucket"))
-    once = F.col("w.__bucket") == F.greatest("w.__first", "e.__first")
-    return w.join(e, same & once & hit, "inner").drop("__bucket", "__first")
-
-
-def label_windows(windows: DataFrame, events: DataFrame, key: str, min_overlap_s: float, sound: str = "sound", artifact: str = "artifact") -> DataFrame:
+def label_windows(windows: DataFrame, events: DataFrame, key: str, min_overlap_s: float, sound: str = "sound", artifact: str = "artifact", bucket_s: float | None = None) -> DataFrame:
     """Add is_sound and is_artifact: whether any event of that label overlaps the window. One join, one aggregate."""
     w = windows.withColumn("__id", F.struct(key, "start_s", "end_s"))
-    pairs = overlap_join(w, events.where(F.col("label").isin(sound, artifact)), key, min_overlap_s).select("w.__id", "e.label")
+    pairs = overlap_join(w, events.where(F.col("label").isin(sound, artifact)), key, min_overlap_s, bucket_s).select("w.__id", "e.label")
     flags = pairs.groupBy("__id").agg(F.bool_or(F.col("label") == sound).alias("is_sound"), F.bool_or(F.col("label") == artifact).alias("is_artifact"))
     out = w.join(flags, "__id", "left")
     return out.select(*windows.columns, F.coalesce("is_sound", F.lit(False)).alias("is_sound"), F.coalesce("is_artifact", F.lit(False)).alias("is_artifact"))
@@ -73,23 +70,23 @@ def iou(a0, a1, b0, b1) -> Column:
     return F.try_divide(shared, (F.col(a1) - F.col(a0)) + (F.col(b1) - F.col(b0)) - shared)
 
 
-def match_by_iou(truth: DataFrame, predicted: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
+def match_by_iou(truth: DataFrame, predicted: DataFrame, key: str, threshold: float = 0.0, bucket_s: float | None = None) -> DataFrame:
     """Counts for each key of truth (key, id, t0, t1) against predictions (key, id, p0, p1): tp, fp, fn, splits, mergers.
 
     An overlap with IoU above `threshold` is a true positive, any other overlap and an unmatched prediction a false
     positive, truth without any overlap a false negative. A split is truth that several predictions overlap; a merger a
-    prediction that overlaps several truths.
+    prediction that overlaps several truths. The pairs are joined once, and counted by both their ends in one aggregate.
     """
-    t, p = truth.alias("t"), predicted.alias("p")
-    pairs = t.join(p, (F.col(f"t.{key}") == F.col(f"p.{key}")) & (F.col("t.t0") < F.col("p.p1")) & (F.col("p.p0") < F.col("t.t1")))
-    pairs = pairs.select(F.col(f"t.{key}").alias(key), F.col("t.id").alias("tid"), F.col("p.id").alias("pid"), iou("t0", "t1", "p0", "p1").alias("iou"))
-    hit = pairs.groupBy(key).agg(F.count_if(F.col("iou") > threshold).alias("tp"), F.count_if(~(F.col("iou") > threshold)).alias("low"))
-    by_t = pairs.groupBy(key, "tid").count().groupBy(key).agg(F.count("*").alias("t_hit"), F.count_if(F.col("count") > 1).alias("splits"))
-    by_p = pairs.groupBy(key, "pid").count().groupBy(key).agg(F.count("*").alias("p_hit"), F.count_if(F.col("count") > 1).alias("mergers"))
+    t = truth.withColumnsRenamed({"id": "tid", "t0": "start_s", "t1": "end_s"})
+    p = predicted.withColumnsRenamed({"id": "pid", "p0": "event_start", "p1": "event_end"})
+    pairs = overlap_join(t, p, key, 0.0, bucket_s).where("start_s < event_end and event_start < end_s")
+    hit = iou("start_s", "end_s", "event_start", "event_end") > threshold
+    ends = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("tid").cast("string").alias("id")), F.struct(F.lit("p").alias("side"), F.col("pid").cast("string").alias("id")))).alias("x")
+    by_end = pairs.select(F.col(f"w.{key}").alias(key), hit.alias("hit"), ends).groupBy(key, "x.side", "x.id").agg(F.count("*").alias("n"), F.count_if("hit").alias("tp"), F.count_if(~F.coalesce("hit", F.lit(False))).alias("low"))
+    is_t = F.col("side") == "t"
+    found = by_end.groupBy(key).agg(F.sum(F.when(is_t, F.col("tp"))).alias("tp"), F.sum(F.when(is_t, F.col("low"))).alias("low"), F.count_if(is_t).alias("t_hit"), F.count_if(~is_t).alias("p_hit"), F.count_if(is_t & (F.col("n") > 1)).alias("splits"), F.count_if(~is_t & (F.col("n") > 1)).alias("mergers"))
     totals = truth.groupBy(key).agg(F.count("*").alias("n_t")).join(predicted.groupBy(key).agg(F.count("*").alias("n_p")), key, "full")
-    out = totals
-    for part in (hit, by_t, by_p):
-        out = out.join(part, key, "left")
+    out = totals.join(found, key, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(key, z("tp").alias("tp"), (z("low") + z("n_p") - z("p_hit")).alias("fp"), (z("n_t") - z("t_hit")).alias("fn"), z("splits").alias("splits"), z("mergers").alias("mergers"))
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import hash_order
+from .sampling import ranked
+from .scratch import written
 
 
 @dataclass(frozen=True)
@@ -165,14 +166,31 @@ def embed(windows: DataFrame, samples: str, load: Callable[[], Callable[[np.ndar
 def multilabel_split(df: DataFrame, key: str, labels: str, fraction: float, seed: int | str) -> DataFrame:
     """SO10: add is_valid so that every combination of labels gives round(n * fraction) rows, half to even, in hash order.
 
-    Stratified by combination, so each label's share follows; combinations are few, and the ranks are a window by them.
+    Stratified by combination, so each label's share follows. Rare combinations may leave a label out; `iterative_split` doesn't.
     """
-    from pyspark.sql import Window as W
-
     combo = F.array_join(F.array_sort(F.array_distinct(labels)), "|")
-    part = W.partitionBy(combo)
-    rank = F.row_number().over(part.orderBy(hash_order(seed, key), key))
-    return df.withColumn("is_valid", rank <= F.bround(F.count("*").over(part) * fraction))
+    rows = ranked(df.withColumn("__combo", combo), "__combo", key, seed)
+    return rows.withColumn("is_valid", F.col("__rn") <= F.bround(F.col("__n") * fraction)).drop("__combo", "__rn", "__n")
+
+
+def iterative_split(df: DataFrame, key: str, labels: str, fraction: float, seed: int | str) -> DataFrame:
+    """SO10: add is_valid, label by label from the rarest on: of the rows of a label that are still open, so many are valid
+    in hash order that the label has round(n * fraction) valid rows in all (half to even), the others aren't.
+
+    So rare labels get their share, in whatever combinations they come. One pass over the open rows a label (labels are a
+    set of names, rows without any are the last); equal frequencies go by name. Only counts and names reach the driver.
+    """
+    found = df.select(F.explode(F.array_distinct(labels)).alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label")
+    rows = df.withColumn("is_valid", F.lit(None).cast("boolean"))
+    for name in [r["label"] for r in found.collect()] + [None]:
+        has = F.coalesce(F.array_contains(labels, name), F.lit(False)) if name is not None else F.lit(True)
+        here = has if name is not None else F.col("is_valid").isNull()
+        n, valid = rows.where(here).agg(F.count("*"), F.count_if("is_valid")).first()
+        want = max(0, round(n * fraction) - valid)
+        open_ = has & F.col("is_valid").isNull()
+        picked = ranked(rows.where(open_), None, key, seed).withColumn("is_valid", F.col("__rn") <= want).drop("__rn", "__n")
+        rows = written(rows.where(~open_).unionByName(picked))
+    return rows
 
 
 def logistic_probe(vectors: DataFrame, vector: str, label: str, fold: str, held: int) -> DataFrame:

@@ -10,6 +10,8 @@ from ..operators.frames import running_totals
 from .registry import register
 from .views import ANN, EV, WIN, annotations, events, table, windows
 
+HOUR = 3600.0
+
 _HIT = "a.event_start <= w.end_s AND least(w.end_s, a.event_end) - greatest(w.start_s, a.event_start) >= 0.1"
 _FLAGS = f"""fl AS (SELECT w.user_id, w.start_s, w.end_s,
   coalesce(bool_or(a.label = 'sound'), false) AS is_sound, coalesce(bool_or(a.label = 'artifact'), false) AS is_artifact
@@ -18,7 +20,7 @@ _FLAGS = f"""fl AS (SELECT w.user_id, w.start_s, w.end_s,
 
 def _labelled(spark, d):
     ev = events(spark, d)
-    return intervals.label_windows(windows(ev), annotations(ev), "user_id", 0.1)
+    return intervals.label_windows(windows(ev), annotations(ev), "user_id", 0.1, bucket_s=HOUR)
 
 
 @register("label_windows", f"WITH {EV}, {WIN}, {ANN}, {_FLAGS} SELECT is_sound, is_artifact, count(*) AS n, min(start_s) AS first_s FROM fl WHERE NOT is_artifact OR is_sound GROUP BY ALL")
@@ -48,14 +50,14 @@ for _name, _how, _not in (("overlap_semi", "left_semi", ""), ("overlap_anti", "l
     def _overlap(spark, d, how=_how):
         """JN1, JN8: windows with, or without, an overlapping sound."""
         ev = events(spark, d)
-        return intervals.overlap_join(windows(ev), annotations(ev).where("label = 'sound'"), "user_id", 0.1, how=how)
+        return intervals.overlap_join(windows(ev), annotations(ev).where("label = 'sound'"), "user_id", 0.1, bucket_s=HOUR, how=how)
 
 
 @register("overlap_bucketed", f"WITH {EV}, {WIN}, {ANN} SELECT w.user_id, w.start_s, a.event_id FROM win w JOIN ann a ON a.user_id = w.user_id AND a.label = 'sound' AND {_HIT}")
 def overlap_bucketed(spark, d):
     """JN1 with time buckets in the key, for recordings that hold very many events."""
     ev = events(spark, d)
-    pairs = intervals.overlap_join(windows(ev), annotations(ev).where("label = 'sound'"), "user_id", 0.1, bucket_s=3600.0)
+    pairs = intervals.overlap_join(windows(ev), annotations(ev).where("label = 'sound'"), "user_id", 0.1, bucket_s=HOUR)
     return pairs.select("w.user_id", "w.start_s", "e.event_id")
 
 
@@ -76,7 +78,7 @@ SELECT user_id, event_id, round(greatest(s - a, 0), 4) AS clip_start, round(leas
     def _clip(spark, d, strict=_strict):
         """JN4, SF17: labels clipped to their segments, in seconds and in frames of 200 a second."""
         ev = events(spark, d)
-        pairs = intervals.overlap_join(windows(ev), annotations(ev), "user_id")
+        pairs = intervals.overlap_join(windows(ev), annotations(ev), "user_id", bucket_s=HOUR)
         pairs = pairs.select("w.user_id", "e.event_id", F.col("w.start_s").alias("seg_start"), F.col("w.end_s").alias("seg_end"), "e.event_start", "e.event_end")
         out = intervals.clip_to_segment(pairs, strict, 200.0)
         return out.select("user_id", "event_id", F.round("clip_start", 4).alias("clip_start"), F.round("clip_end", 4).alias("clip_end"), F.col("frame_start").cast("long").alias("frame_start"), F.col("frame_end").cast("long").alias("frame_end"))
@@ -96,7 +98,7 @@ def iou_match(spark, d):
     ev = events(spark, d)
     truth = ev.where("event_type = 'error'").select("user_id", F.col("event_id").alias("id"), F.col("t").alias("t0"), (F.col("t") + F.col("value")).alias("t1"))
     pred = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("id"), (F.col("t") - 1800).alias("p0"), (F.col("t") + 1800).alias("p1"))
-    return intervals.match_by_iou(truth, pred, "user_id", 0.0005)
+    return intervals.match_by_iou(truth, pred, "user_id", 0.0005, bucket_s=HOUR)
 
 
 @register("iou_histogram", f"""WITH {EV}, j AS (SELECT (least(a.t + a.value, b.t + 1800) - greatest(a.t, b.t - 1800)) / (a.value + 3600 - (least(a.t + a.value, b.t + 1800) - greatest(a.t, b.t - 1800))) AS iou
@@ -105,11 +107,12 @@ SELECT least(floor(iou * 10000), 99)::BIGINT AS bin, count(*) AS n FROM j WHERE
 def iou_histogram(spark, d):
     """AG29: histogram of non-zero overlaps."""
     ev = events(spark, d)
-    a = ev.where("event_type = 'error'").select("user_id", F.col("t").alias("t0"), (F.col("t") + F.col("value")).alias("t1"), "value")
-    b = ev.where("event_type = 'click'").select("user_id", (F.col("t") - 1800).alias("p0"), (F.col("t") + 1800).alias("p1"))
-    shared = F.least("t1", "p1") - F.greatest("t0", "p0")
+    a = ev.where("event_type = 'error'").select("user_id", F.col("t").alias("start_s"), (F.col("t") + F.col("value")).alias("end_s"), "value")
+    b = ev.where("event_type = 'click'").select("user_id", (F.col("t") - 1800).alias("event_start"), (F.col("t") + 1800).alias("event_end"))
+    shared = F.least("end_s", "event_end") - F.greatest("start_s", "event_start")
     iou = shared / (F.col("value") + 3600 - shared)
-    j = a.join(b, "user_id").where("t0 < p1 and p0 < t1").select(iou.alias("iou")).where("iou > 0")
+    pairs = intervals.overlap_join(a, b, "user_id", bucket_s=HOUR).where("start_s < event_end and event_start < end_s")
+    j = pairs.select(iou.alias("iou")).where("iou > 0")
     return j.groupBy(F.least(F.floor(F.col("iou") * 10000), F.lit(99)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -248,13 +251,14 @@ def null_guard(spark, d):
     return dedup.assert_not_null(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "source").agg(F.count("*").alias("n"))
 
 
-@register("common_root", """WITH p AS (SELECT string_split(min(url), '/') AS a, string_split(max(url), '/') AS b FROM pages WHERE url LIKE 'https://blog.%')
-SELECT array_to_string([a[i] for i in range(1, len(a) + 1) if len([j for j in range(1, i + 1) if a[j] IS DISTINCT FROM b[j]]) = 0], '/') AS root FROM p""")
+@register("common_root", """WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, string_split(min(url), '/') AS a, string_split(max(url), '/') AS b FROM pages GROUP BY 1)
+SELECT host, array_to_string([a[i] for i in range(1, len(a) + 1) if len([j for j in range(1, i + 1) if a[j] IS DISTINCT FROM b[j]]) = 0], '/') AS root FROM h""")
 def common_root(spark, d):
-    """AG23: the common path of all paths is that of the least and the greatest one."""
-    p = table(spark, d, "pages").where("url like 'https://blog.%'").agg(F.split(F.min("url"), "/").alias("a"), F.split(F.max("url"), "/").alias("b"))
+    """AG23: the common path of each host's URLs is that of the least and the greatest one."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host")
+    p = table(spark, d, "pages").groupBy(host).agg(F.split(F.min("url"), "/").alias("a"), F.split(F.max("url"), "/").alias("b"))
     same = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: F.slice("a", 1, i) == F.slice("b", 1, i))
-    return p.select(F.array_join(F.slice("a", 1, F.size(same)), "/").alias("root"))
+    return p.select("host", F.array_join(F.slice("a", 1, F.size(same)), "/").alias("root"))
 
 
 @register("same_origin", "SELECT page_id, url LIKE 'https://blog.%' AND regexp_matches(url, '^https://blog\\.ththan\\.example\\.net/en/') AS under FROM pages")

@@ -62,6 +62,18 @@ def multilabel_split(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+_ROUNDED = "round_even((SELECT count(*) FROM l WHERE {0}) * 0.2, 0)"
+
+
+@register("iterative_split", f"""WITH l AS (SELECT doc_id, quality = 1 AS q, toxic = 1 AS t, md5('3:' || doc_id) AS h FROM labels),
+a AS (SELECT *, CASE WHEN t THEN row_number() OVER (PARTITION BY t ORDER BY h, doc_id) <= {_ROUNDED.format('t')} END AS v FROM l),
+b AS (SELECT *, CASE WHEN v IS NULL AND q THEN row_number() OVER (PARTITION BY v IS NULL AND q ORDER BY h, doc_id) <= {_ROUNDED.format('q')} - (SELECT count(*) FROM a WHERE q AND v) ELSE v END AS w FROM a)
+SELECT doc_id, CASE WHEN w IS NULL THEN row_number() OVER (PARTITION BY w IS NULL ORDER BY h, doc_id) <= {_ROUNDED.format('NOT q AND NOT t')} ELSE w END AS is_valid FROM b""")
+def iterative_split(spark, d):
+    """SO10: stratified label by label, the rarest (toxic) first."""
+    return models.iterative_split(_labels(spark, d), "doc_id", "labels", 0.2, 3).select("doc_id", "is_valid")
+
+
 @register("few_shot", " UNION ALL ".join(f"SELECT * FROM ({_COMBO.format(seed=9)} SELECT {f} AS fraction, doc_id FROM r WHERE rn <= round_even(n * {f}, 0))" for f in ("0.01::DOUBLE", "0.1::DOUBLE", "0.25::DOUBLE", "0.5::DOUBLE", "0.75::DOUBLE")))
 def few_shot(spark, d):
     """SO10: nested training shares, each stratified."""

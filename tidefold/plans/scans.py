@@ -80,7 +80,7 @@ def chunk_suffix(spark, d):
 @register("relative_path", "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS path FROM pages")
 def relative_path(spark, d):
     """SF11."""
-    return table(spark, d, "pages").select("page_id", F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 20)).otherwise(F.col("url")).alias("path"))
+    return table(spark, d, "pages").select("page_id", F.when(F.col("url").startswith("https://"), F.substring("url", F.lit(9), F.length("url"))).otherwise(F.col("url")).alias("path"))
 
 
 @register("candidate_keys", f"SELECT page_id, CASE WHEN {_BASE} IN ('', url) THEN url ELSE url || '|' || {_BASE} END AS keys FROM pages")
@@ -250,20 +250,10 @@ def join_multilabels(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.array("l_returnflag", "l_linestatus"), ";").alias("label"))
 
 
-@register("window_projection", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev WHERE user_id < 10")
+@register("window_projection", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev")
 def window_projection(spark, d):
-    """PRJ1, of ten users."""
-    return _projected(events(spark, d).where("user_id < 10"))
-
-
-@register("window_projection_all", f"WITH {EV} SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id AS window_id, user_id AS recording_id, t AS start_s, t + 5 AS end_s FROM ev")
-def window_projection_all(spark, d):
     """PRJ1: every window, with its global row number."""
-    return _projected(events(spark, d))
-
-
-def _projected(ev):
-    ev = running_totals(ev, ["event_id"], {"n": F.lit(1)})
+    ev = running_totals(events(spark, d), ["event_id"], {"n": F.lit(1)})
     return ev.select((F.col("n") - 1).alias("row_index"), F.col("event_id").alias("window_id"), F.col("user_id").alias("recording_id"), F.col("t").alias("start_s"), (F.col("t") + 5).alias("end_s"))
 
 

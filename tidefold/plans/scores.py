@@ -204,9 +204,12 @@ def label_encode(spark, d):
 @register("standardize", "WITH l AS (SELECT vec_id, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim) SELECT vec_id, dim, round((v - m) / s, 5) AS z FROM l JOIN s USING (dim)")
 def standardize(spark, d):
     """ML1: by statistics of each dimension, one row a dimension."""
-    long = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
-    stats = long.groupBy("dim").agg(F.avg(F.col("v").cast("double")).alias("m"), F.stddev_pop(F.col("v").cast("double")).alias("s"))
-    return long.join(stats, "dim").select("vec_id", F.col("dim").cast("long").alias("dim"), F.round((F.col("v").cast("double") - F.col("m")) / F.col("s"), 5).alias("z"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    stats = rows.select(F.posexplode("e").alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    facts = stats.groupBy().agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("f"))  # one row, an entry a dimension
+    z = F.zip_with("e", "f", lambda v, f: F.round((v - f["m"]) / f["s"], 5))
+    out = rows.crossJoin(F.broadcast(facts)).select("vec_id", F.posexplode(z).alias("dim", "z"))
+    return out.select("vec_id", F.col("dim").cast("long").alias("dim"), "z")
 
 
 @register("zscore_array", "WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_avg(embedding::DOUBLE[]) AS m FROM embeddings), s AS (SELECT vec_id, e, m, sqrt(list_avg([(v - m) * (v - m) for v in e])) AS s FROM x) SELECT vec_id, round(list_max([(v - m) / s for v in e]), 6) AS peak FROM s")

@@ -90,13 +90,15 @@ def annealed_rate(spark, d):
 @register("output_offset", "SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_n FROM documents")
 def output_offset(spark, d):
     """WN10."""
-    return table(spark, d, "documents").select("doc_id", frames.running_before("n_chars", "source", "doc_id").cast("long").alias("offset_n"))
+    rows = frames.running_in_groups(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], {"n": F.col("n_chars")})
+    return rows.select("doc_id", (F.col("n") - F.coalesce("n_chars", F.lit(0))).cast("long").alias("offset_n"))
 
 
 @register("shard_assign", "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS shard FROM documents")
 def shard_assign(spark, d):
     """SNK8."""
-    return table(spark, d, "documents").select("doc_id", "source", F.floor((F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1) / 10).alias("shard"))
+    rows = frames.running_in_groups(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], {"n": F.lit(1)})
+    return rows.select("doc_id", "source", F.floor((F.col("n") - 1) / 10).alias("shard"))
 
 
 @register("shard_align", """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
@@ -134,8 +136,8 @@ def sample_per_group(spark, d):
 SELECT o_orderkey, ym FROM o QUALIFY row_number() OVER (PARTITION BY ym ORDER BY {_MD5.format(seed=3, key='o_orderkey')}, o_orderkey) <= greatest(1, round_even(n / 20.0, 0))""")
 def hours_per_month(spark, d):
     """SO4: a share of each month's files, at least one."""
-    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym")).withColumn("n", F.count("*").over(W.partitionBy("ym")))
-    return sampling.per_group(o, "ym", "o_orderkey", F.greatest(F.lit(1), F.bround(F.col("n") / 20.0)), 3).select("o_orderkey", "ym")
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"))
+    return sampling.per_group(o, "ym", "o_orderkey", F.greatest(F.lit(1), F.bround(F.col("__n") / 20.0)), 3).select("o_orderkey", "ym")
 
 
 @register("per_class_cap", f"SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_MD5.format(seed=4, key='vec_id')}, vec_id) <= 20")
