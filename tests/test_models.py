@@ -55,11 +55,43 @@ def test_edges():
     assert all(b - a <= 40 for a, b in long)
 
 
-def test_probe_and_clusters(spark):
+def test_probe_finds_classes_and_nothing_else(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 600)
+    x = rng.standard_normal((600, 6)) + 4 * np.eye(3, 6)[y]
+    rows = [(v.tolist(), int(c), int(c) if i % 2 else int(rng.integers(0, 3)), i % 5) for i, (v, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "v array<double>, y int, noise int, fold int")
+    hits = lambda label: models.logistic_probe(df, "v", label, "fold", 0).selectExpr("avg(cast(truth = predicted as int))").first()[0]
+    # against the nearest of the class means of the other folds, which is near the best rule here
+    held = np.arange(600) % 5 == 0
+    means = np.array([x[~held & (y == c)].mean(axis=0) for c in range(3)])
+    nearest = np.square(x[held][:, None] - means).sum(axis=2).argmin(axis=1)
+    assert abs(hits("y") - (nearest == y[held]).mean()) <= 0.02 and hits("y") > 0.95
+    assert hits("noise") < 0.85
+
+
+def test_clusters_equal_numpy(spark):
+    """Groups far apart, so that any k-means finds them: the silhouette and the cost as their formulas give them."""
+    rng = np.random.default_rng(6)
+    y = np.repeat(np.arange(4), 50)
+    x = rng.standard_normal((200, 5)) + 40 * np.eye(4, 5)[y]
+    out = models.cluster_quality(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v", 4).first()
+    d = np.square(x[:, None] - x[None]).sum(axis=2)
+    mean = np.array([[d[i][y == c].sum() / ((y == c).sum() - (c == y[i])) for c in range(4)] for i in range(200)])
+    a = mean[np.arange(200), y]
+    mean[np.arange(200), y] = np.inf
+    b = mean.min(axis=1)
+    assert out["silhouette"] == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()), abs=0.01)
+    assert out["cost"] == pytest.approx(sum(float(np.square(x[y == c] - x[y == c].mean(axis=0)).sum()) for c in range(4)), rel=1e-6)
+
+
+def test_probe_and_cluster_queries(spark):
+    """Accuracy is a share of the whole held-out fold; the cost lies below that of one cluster."""
     r = Q["logreg_probe"](spark, SMALL).first()
-    assert 0 <= r["accuracy"] <= 1 and 0 <= r["macro_f1"] <= 1
     c = Q["cluster_quality"](spark, SMALL).first()
-    assert -1 <= c["silhouette"] <= 1 and c["k"] == 10
+    t, x = vectors()
+    assert 0 <= r["macro_f1"] <= 1 and r["accuracy"] * (t.vec_id % 5 == 0).sum() == pytest.approx(round(r["accuracy"] * (t.vec_id % 5 == 0).sum()), abs=0.02)
+    assert c["k"] == 10 and 0 < c["cost"] <= float(np.square(x - x.mean(axis=0)).sum())
 
 
 def test_edge_query(spark):
