@@ -1,17 +1,24 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Vectors are scaled to unit length and projected on many random lines. On each line values are cut into cells; a seed group
-takes LINES lines together, and vectors that stand in the same cells of one seed group meet. For each pair that meets,
-collisions are counted on COUNTED further lines: those on which one falls into the window centred on the other. A pair
-whose count reaches the calibrated bound is verified by its cosine in double precision.
-
-Calibration, for a pair exactly at cosine 0.95 (distance 0.316): two values fall in one cell of width 2 with probability
-0.874, so a seed group holds the pair with probability 0.152 and GROUPS of them miss it with 4e-4, less above 0.95. The
-window's half-width is that distance, so a line counts it with probability 0.683, and the bound lies 4.5 deviations below
-the mean count (1 in 300,000 is missed). Pairs at right angles meet with probability 4e-5 in a group.
-
-Equal vectors are one node with a weight. A bucket over BLOCK rows is dealt to several tasks as pairs of blocks. Tasks emit
-counts for each node and a spanning forest of their links, not the links, so a group of thousands of copies stays linear.
+Vectors are scaled to unit length and projected on many random lines. For each pair that meets, collisions are counted on
+COUNTED lines: those on which one falls into the window centred on the other. A pair whose count reaches the calibrated
+bound is verified by its cosine in double precision.
+
+Which pairs meet is not left to single lines. On one line a window that holds pairs at cosine 0.95 with probability p1 holds
+any two unlike vectors with p2, and p2 / p1 is never under 0.22 however narrow the window; so to meet each link three times
+on some line, over 0.3 n^2 pairs have to be counted, whatever the number of lines. Lines are therefore grouped: on each line
+values are cut into cells, a seed group takes several lines together, and vectors that stand in the same cells of one group
+meet. The number of lines in a group grows with the logarithm of the table, so that a vector meets about two unlike ones in
+each group at any size; the number of groups follows from the recall (`seed_groups`).
+
+Calibration, for a pair exactly at the cosine: its distance gives the probability to share a cell of width WIDTH, hence a
+group; groups are so many that all of them miss it with MISSED at most, less above it. The window's half-width is that
+distance, so a line counts it with probability 0.683, and the bound lies 4.5 deviations below the mean count (1 in 300,000
+is missed).
+
+Equal vectors are one node with a weight. A bucket over BLOCK rows is dealt to several tasks as pairs of blocks. Tasks hold
+a few buckets at a time, and emit counts for each node and spanning forests of their links, not the links, so a group of
+thousands of copies stays linear.
 """
 
 from __future__ import annotations
@@ -23,56 +30,79 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import components, discard, materialize, partitions_for, scratch, small_batches
 
-GROUPS, LINES, WIDTH, COUNTED = 48, 14, 2.0, 64
+WIDTH, COUNTED, MISSED = 2.0, 64, 4e-4
 BLOCK = 4096
+#: Rows that a task holds before it works on its whole buckets, links that it holds before it passes them on, rows of a partition.
+PIECE, HELD, ROWS = 16_384, 500_000, 400_000
 
 
 def _lines(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
 
+def _one_cell(distance: float) -> float:
+    """Probability that two points at a distance fall into one cell of a line."""
+    r = WIDTH / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def seed_groups(rows: int, cosine: float) -> tuple[int, int]:
+    """How many groups, and lines in each, for so many vectors."""
+    near, far = _one_cell(math.sqrt(max(2 - 2 * cosine, 1e-6))), _one_cell(math.sqrt(2))
+    lines = max(4, math.ceil(math.log(max(rows, 2) / 2) / -math.log(far)))
+    return math.ceil(math.log(MISSED) / math.log(1 - near**lines)), lines
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(unit: np.ndarray) -> np.ndarray:
+def _keys(unit: np.ndarray, seeds: tuple[int, int]) -> np.ndarray:
     """A 64-bit key for each row and seed group: its cells, hashed."""
+    groups, lines = seeds
     dim = unit.shape[1]
-    shift = np.random.default_rng([11, dim]).random(GROUPS * LINES) * WIDTH
-    cells = np.floor((unit @ _lines(dim, GROUPS * LINES, 1) + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(-1, GROUPS, LINES)
-    h = np.full(cells.shape[:2], dim, dtype=np.uint64) + np.arange(GROUPS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
-    for k in range(LINES):
+    shift = np.random.default_rng([11, dim]).random(groups * lines) * WIDTH
+    cells = np.floor((unit @ _lines(dim, groups * lines, 1) + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(-1, groups, lines)
+    h = np.full(cells.shape[:2], dim, dtype=np.uint64) + np.arange(groups, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    for k in range(lines):
         h = (h ^ cells[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def _seeds(batches):
+def _seeds(seeds: tuple[int, int]):
     """A row for each node and seed group: key, node, weight and the vector's bytes, as floats where those are exact."""
-    for pdf in batches:
-        sizes = pdf["vector"].map(len).to_numpy()
-        for dim in np.unique(sizes):
-            part = pdf[sizes == dim]
-            x = np.array(part["vector"].tolist(), dtype=np.float64)
-            keys = _keys(_unit(x))
-            with np.errstate(over="ignore"):
-                short = x.astype(np.float32)
-            wide = (short.astype(np.float64) != x).any(axis=1)
-            raw = np.array([(v if w else f).tobytes() for v, f, w in zip(x, short, wide)], dtype=object)
-            for lo in range(0, len(part), 256):
-                rows = slice(lo, lo + 256)
-                each = lambda column: np.repeat(column[rows], GROUPS)  # noqa: B023, E731
-                yield pd.DataFrame({"key": keys[rows].ravel(), "node": each(part["node"].to_numpy()), "weight": each(part["weight"].to_numpy()), "wide": each(wide), "raw": each(raw)})
-
-
-def _only_keys(batches):
-    for pdf in batches:
-        sizes = pdf["vector"].map(len).to_numpy()
-        for dim in np.unique(sizes):
-            yield pd.DataFrame({"key": _keys(_unit(np.array(pdf["vector"][sizes == dim].tolist(), dtype=np.float64))).ravel()})
+
+    def run(batches):
+        for pdf in batches:
+            sizes = pdf["vector"].map(len).to_numpy()
+            for dim in np.unique(sizes):
+                part = pdf[sizes == dim]
+                x = np.array(part["vector"].tolist(), dtype=np.float64)
+                keys = _keys(_unit(x), seeds)
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                wide = (short.astype(np.float64) != x).any(axis=1)
+                raw = np.array([(v if w else f).tobytes() for v, f, w in zip(x, short, wide)], dtype=object)
+                for lo in range(0, len(part), 256):
+                    rows = slice(lo, lo + 256)
+                    each = lambda column: np.repeat(column[rows], seeds[0])  # noqa: B023, E731
+                    yield pd.DataFrame({"key": keys[rows].ravel(), "node": each(part["node"].to_numpy()), "weight": each(part["weight"].to_numpy()), "wide": each(wide), "raw": each(raw)})
+
+    return run
+
+
+def _only_keys(seeds: tuple[int, int]):
+    def run(batches):
+        for pdf in batches:
+            sizes = pdf["vector"].map(len).to_numpy()
+            for dim in np.unique(sizes):
+                yield pd.DataFrame({"key": _keys(_unit(np.array(pdf["vector"][sizes == dim].tolist(), dtype=np.float64)), seeds).ravel()})
+
+    return run
 
 
 def _bound(cosine: float) -> tuple[float, int]:
@@ -82,7 +112,7 @@ def _bound(cosine: float) -> tuple[float, int]:
     return half, math.floor(COUNTED * p - 4.5 * math.sqrt(COUNTED * p * (1 - p)))
 
 
-def _linked(cosine: float):
+def _linked(cosine: float, seeds: tuple[int, int]):
     half, least = _bound(cosine)
 
     def pairs_of(lo: int, hi: int, side: np.ndarray):
@@ -96,13 +126,41 @@ def _linked(cosine: float):
                 yield x[ok], y[ok]
 
     def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        del frames
+        """Sorted rows to counts and forests; whole buckets are worked on as soon as PIECE rows are there."""
+        links: dict[int, int] = {}
+        parent: dict[int, int] = {}
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held) < PIECE:
+                continue
+            new = (held["key"].to_numpy()[1:] != held["key"].to_numpy()[:-1]) | (held["part"].to_numpy()[1:] != held["part"].to_numpy()[:-1])
+            if new.any():
+                cut = int(np.flatnonzero(new)[-1]) + 1
+                work(held.iloc[:cut], links, parent)
+                held = held.iloc[cut:].reset_index(drop=True)
+            if len(links) > HELD:
+                yield from flush(links, parent)
+        if held is not None and len(held):
+            work(held, links, parent)
+        yield from flush(links, parent)
+
+    def find(parent: dict[int, int], x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def flush(links: dict[int, int], parent: dict[int, int]):
+        if links:
+            nodes = np.fromiter(links, dtype=np.int64, count=len(links))
+            yield pd.DataFrame({"node": nodes, "other": nodes, "links": np.fromiter(links.values(), dtype=np.int64, count=len(links))})
+            yield pd.DataFrame({"node": nodes, "other": np.array([find(parent, int(n)) for n in nodes], dtype=np.int64), "links": np.zeros(len(nodes), dtype=np.int64)})
+        links.clear()
+        parent.clear()
+
+    def work(pdf: pd.DataFrame, links: dict[int, int], parent: dict[int, int]) -> None:
         key, part, node, weight, side = (pdf[c].to_numpy(dtype=np.int64) for c in ("key", "part", "node", "weight", "side"))
-        raw, wide = pdf["raw"].to_numpy(), pdf["wide"].to_numpy(dtype=bool)
+        raw, wide = pdf["raw"].to_numpy(copy=True), pdf["wide"].to_numpy(dtype=bool)
         if wide.any():  # all as doubles
             for i in np.flatnonzero(~wide):
                 raw[i] = np.frombuffer(raw[i], dtype=np.float32).astype(np.float64).tobytes()
@@ -113,14 +171,6 @@ def _linked(cosine: float):
         ends = np.concatenate((starts[1:], [len(pdf)]))
         shared = ends - starts > 1
         starts, ends = starts[shared], ends[shared]
-        del pdf
-        links: dict[int, int] = {}
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
 
         def settle(x: np.ndarray, y: np.ndarray, unit: np.ndarray, lines: np.ndarray, base: int) -> None:
             """Count, verify and note the pairs of one piece."""
@@ -135,7 +185,7 @@ def _linked(cosine: float):
             if not len(u):
                 return
             rows, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-            keys = _keys(unit[rows])
+            keys = _keys(unit[rows], seeds)
             a, b = at[: len(u)], at[len(u) :]
             first = np.empty(len(u), dtype=np.int64)
             for i in range(0, len(u), 65_536):
@@ -147,7 +197,7 @@ def _linked(cosine: float):
                 for n, w in pd.Series(weight[q]).groupby(node[p]).sum().items():
                     links[n] = links.get(n, 0) + int(w)
             for p, q in zip(node[u].tolist(), node[v].tolist()):
-                rp, rq = find(p), find(q)
+                rp, rq = find(parent, p), find(parent, q)
                 if rp != rq:
                     parent[max(rp, rq)] = min(rp, rq)
 
@@ -175,10 +225,6 @@ def _linked(cosine: float):
                 ok = (side[p] != side[q]) | (side[p] == 0)
                 settle(p[ok], q[ok], unit, lines, lo)
             i = j
-        if links:
-            nodes = np.fromiter(links, dtype=np.int64, count=len(links))
-            yield pd.DataFrame({"node": nodes, "other": nodes, "links": np.fromiter(links.values(), dtype=np.int64, count=len(links))})
-            yield pd.DataFrame({"node": nodes, "other": np.array([find(int(n)) for n in nodes], dtype=np.int64), "links": np.zeros(len(nodes), dtype=np.int64)})
 
     return run
 
@@ -191,35 +237,39 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     stands for each of its rows. Rows with a null key take part; kept is false for them. Vectors of different lengths
     never link. Other columns aren't read; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).cast("long").alias("key"), sound.alias("sound"), v.alias("vector"))
     rows = rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumn("node", F.when(F.col("sound"), F.xxhash64("vector")))
-    nodes = rows.where("sound").groupBy("node").agg(F.count("*").alias("weight"), F.min("key").alias("smallest"), F.first("vector").alias("vector"))
-    nodes = materialize(nodes, "nodes")
-    seeds = nodes.select("node", "weight", "vector").mapInPandas(_seeds, "key long, node long, weight long, wide boolean, raw binary")
-    crowded = nodes.select("vector").mapInPandas(_only_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    crowded = materialize(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
-    plain = seeds.withColumns({"part": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
-    if not crowded.isEmpty():
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-        dealt = seeds.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        plain = dealt.select("key", "node", "weight", "wide", "raw", (low * F.col("blocks") + high).alias("part"), F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") == low, 1).otherwise(2).cast("long").alias("side"))
-    found = plain.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_linked(cosine), "node long, other long, links long")
-    found = materialize(found, "found")
-    discard(crowded)
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.where("node <> other"), "node", "other").withColumnRenamed("component", "root")
-    labelled = nodes.select("node", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
-    labels = labelled.join(first, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
-    labels = materialize(labels, "labels")
-    discard(nodes, found)
-    out = rows.select("key", "node").join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component")).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
+    with scratch(spark), small_batches(spark):
+        nodes = rows.where("sound").groupBy("node").agg(F.count("*").alias("weight"), F.min("key").alias("smallest"), F.first("vector").alias("vector"))
+        nodes = materialize(nodes, "nodes")
+        count = nodes.count()
+        plan = seed_groups(count, cosine)
+        seeds = nodes.select("node", "weight", "vector").mapInPandas(_seeds(plan), "key long, node long, weight long, wide boolean, raw binary")
+        crowded = nodes.select("vector").mapInPandas(_only_keys(plan), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        crowded = materialize(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
+        plain = seeds.withColumns({"part": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
+        if not crowded.isEmpty():
+            mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+            dealt = seeds.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+            low, high = F.least("mine", "other"), F.greatest("mine", "other")
+            plain = dealt.select("key", "node", "weight", "wide", "raw", (low * F.col("blocks") + high).alias("part"), F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") == low, 1).otherwise(2).cast("long").alias("side"))
+        parts = partitions_for(count * plan[0], ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = plain.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_linked(cosine, plan), "node long, other long, links long")
+        found = materialize(found, "found")
+        discard(crowded)
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        roots = components(found.where("node <> other"), "node", "other").withColumnRenamed("component", "root")
+        labelled = nodes.select("node", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
+        labels = labelled.join(first, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
+        out = rows.select("key", "node").join(materialize(labels, "labels"), "node", "left")
+        component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
+        out = out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component")).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
+        return materialize(out, "groups", keep=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
