@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.functions import paths, scalars
-from tidefold.operators import annotations, audio, dedup, frames, intervals, models, sampling
+from tidefold.operators import annotations, audio, dedup, frames, intervals, models, nested, sampling
 from tidefold.sources import files, settings, sinks, storage
 from tidefold.streaming import watch
 
@@ -212,3 +212,7 @@ def test_pruned_walk(spark):
     names = ["r/manifest.jsonl", "r/1.wav", "r/2.WAV", "r/s/manifest.jsonl", "r/s/t/manifest.jsonl", "q/manifest.jsonl", "q/s/manifest.jsonl", "q/1.wav"]
     df = spark.createDataFrame([("/x/" + n,) for n in names], "path string")
     assert sorted(r[0] for r in files.pruned_manifests(df, 1).collect()) == ["/x/q/manifest.jsonl", "/x/q/s/manifest.jsonl", "/x/r/manifest.jsonl"]
+
+
+def test_leaves():
+    assert list(nested.leaves({"a": {"b": 1, "c": None, "d": {}}, "e": "x", "f": [1], "g": True})) == [("a.b", "1"), ("e", "x"), ("f", "[1]"), ("g", "true")]

@@ -9,7 +9,7 @@ from tidefold.plans import registry
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
-NO_SQL = {"edge_segments", "band_energy", "band_occlusion", "embed_windows", "logreg_probe", "cluster_quality"}
+NO_SQL = {"edge_segments", "embed_windows", "logreg_probe", "cluster_quality"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))

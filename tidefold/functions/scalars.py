@@ -12,6 +12,11 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once: inside a function over an array, a plain expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def nullish(value) -> Column:
     """Null for null, `none`, `null` and blank strings in any case."""
     t = F.trim(_c(value))
@@ -39,8 +44,9 @@ def sigmoid(x) -> Column:
 
 def softmax(array) -> Column:
     """An array's softmax, by its largest value."""
-    x = F.transform(_c(array), lambda v: F.exp(v.cast("double") - F.array_max(_c(array)).cast("double")))
-    return F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda a, b: a + b))
+    x = F.transform(_c(array), lambda v: v.cast("double"))
+    powers = let(x, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(p, lambda v: v / total)))
 
 
 def squared_error(x, y) -> Column:
@@ -87,13 +93,16 @@ def mix_share(gain_a, gain_b, share: float = 0.5) -> Column:
     return 1.0 / (1.0 + F.pow(F.lit(10.0), (_c(gain_a) - _c(gain_b)) / 20.0) * (1 - share) / share)
 
 
+def moments(x: Column, use) -> Column:
+    """`use` of an array's mean and population deviation, each computed once."""
+    total = lambda f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+    return let(F.try_divide(total(lambda v: v), F.size(x)), lambda mean: let(F.sqrt(F.try_divide(total(lambda v: (v - mean) * (v - mean)), F.size(x))), lambda std: use(mean, std)))
+
+
 def zscore(array) -> Column:
     """An array less its mean, over its population deviation (0 where that is 0)."""
     x = F.transform(_c(array), lambda v: v.cast("double"))
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    std = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-    return F.transform(x, lambda v: F.coalesce(F.try_divide(v - mean, std), F.lit(0.0)))
+    return let(x, lambda x: moments(x, lambda mean, std: F.transform(x, lambda v: F.coalesce(F.try_divide(v - mean, std), F.lit(0.0)))))
 
 
 def rms(array) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 
 def first_wins(df: DataFrame, key: str | list[str], order: list, value: str) -> DataFrame:
     """The first row of each key in the order, with how many duplicates it had and how many of them had another value.
@@ -47,15 +49,16 @@ def reject_reason(samples: str, frames: int, std_min: float, rms_min: float, pea
 
     Order: wrong_frame_count, non_finite, std_lt, rms_lt, peak_lt. The deviation is that of the population.
     """
-    x = F.transform(F.col(samples), lambda v: v.cast("double"))
-    n = F.size(x)
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    total = lambda f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
-    mean = F.try_divide(total(lambda v: v), n)
-    std = F.sqrt(F.try_divide(F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v), n))
-    rms = F.sqrt(F.try_divide(total(lambda v: v * v), n))
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.when(n != frames, "wrong_frame_count").when(~finite, "non_finite").when(std < std_min, "std_lt").when(rms < rms_min, "rms_lt").when(peak < peak_min, "peak_lt")
+
+    def judged(x: Column) -> Column:
+        finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+        rms = F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v), F.size(x)))
+        peak = F.greatest(F.array_max(x), -F.array_min(x))
+        levels = F.when(rms < rms_min, "rms_lt").when(peak < peak_min, "peak_lt")
+        spread = scalars.moments(x, lambda mean, std: F.when(std < std_min, "std_lt"))
+        return F.when(F.size(x) != frames, "wrong_frame_count").when(~finite, "non_finite").otherwise(F.coalesce(spread, levels))
+
+    return scalars.let(F.transform(F.col(samples), lambda v: v.cast("double")), judged)
 
 
 def shifted_partner(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
-from ..operators import annotations, audio, dedup
+from ..operators import annotations, audio, dedup, nested
 from ..operators.scratch import folder
 from ..sources import files, settings, sinks
 from ..sources.storage import write_bytes
@@ -514,3 +514,12 @@ def aligned_rows(spark, d):
     """JN12: two tables row by row; their lengths are compared first."""
     docs = table(spark, d, "documents")
     return dedup.aligned(docs.select("doc_id", "n_chars"), docs.select("doc_id", F.length("text").cast("long").alias("length")), "doc_id")
+
+
+@register("json_leaves", """SELECT event_id, 'a.b.type' AS path, event_type AS value FROM events WHERE event_id % 5 > 0 UNION ALL SELECT event_id, 'a.n', event_id::VARCHAR FROM events WHERE event_id % 5 > 0
+UNION ALL SELECT event_id, 'list', '[1, 2]' FROM events WHERE event_id % 5 > 0""")
+def json_leaves(spark, d):
+    """PRJ4: documents of any depth; bad ones have no rows."""
+    e = F.col("event_id")
+    doc = F.when(e % 5 == 0, "{bad").otherwise(F.concat(F.lit('{"a":{"b":{"type":"'), "event_type", F.lit('","none":null},"n":'), e.cast("string"), F.lit('},"list":[1,2],"empty":{}}')))
+    return nested.flatten_json(table(spark, d, "events").select("event_id", doc.alias("doc")), "event_id", "doc")

@@ -16,7 +16,12 @@ def edge_segments(spark, d):
     return models.edge_segments(events(spark, d), "user_id", "event_id", "value", models.EdgeOptions(low=1.0))
 
 
-@register("band_energy")
+_POWER = """f AS (SELECT vec_id, label, k, pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2) AS p
+FROM (SELECT vec_id, label, unnest(range(0, 64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings), range(0, 33) r(k) GROUP BY ALL),
+b AS (SELECT vec_id, label, CASE WHEN k < 5 THEN 0 ELSE (k - 1) // 4 END AS band, sum(p) AS p, sum(p * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) AS whole FROM f GROUP BY ALL)"""
+
+
+@register("band_energy", f"WITH {_POWER} SELECT label, band, round(avg(share), 6) AS share FROM (SELECT label, band, p / (sum(p) OVER (PARTITION BY vec_id) + 1e-9) AS share FROM b) GROUP BY ALL")
 def band_energy(spark, d):
     """AG24: mean share of each frequency band by class."""
     rows = table(spark, d, "embeddings")
@@ -28,7 +33,7 @@ def _mean_power(m: np.ndarray) -> np.ndarray:
     return (m * m).mean(axis=1)
 
 
-@register("band_occlusion")
+@register("band_occlusion", f"WITH {_POWER} SELECT label, band, round(avg(whole / 4096), 9) AS drop FROM b GROUP BY ALL")
 def band_occlusion(spark, d):
     """ML5: with a signal's power as the score."""
     out = models.occlusion(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 8, _mean_power)
