@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions_for, scratch, small_batches
+from .common import materialize, partitions_for, small_batches
 
 CAPACITY, SHARD, SHARD_BYTES = 2048, 4096, 32 << 20
 SEPARATOR = "\n"
@@ -133,20 +133,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: s
     body = F.coalesce(F.col(text), F.lit(""))
     group = F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)) if cluster else F.xxhash64(body)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("key"), F.col(key).isNull().alias("nameless"), F.col(source).cast("string").alias("source"), group.cast("string").alias("cluster"), body.alias("text"))
-    with scratch(spark), small_batches(spark):
+    with small_batches(spark):
         pieces = rows.mapInPandas(_pieces(capacity), "key long, nameless boolean, source string, cluster string, piece long, size long, text string")
-        pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-        part = pieces.where(F.col("size") < capacity)
-        facts = part.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        shards = max(partitions_for(facts[0], SHARD), partitions_for(facts[1], SHARD_BYTES))
-        dealt = part.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-        packed = dealt.groupBy("shard").applyInPandas(_packed(capacity, separator), BINS)
-        one = lambda c: F.array(c)
-        length = F.length("text").cast("long")
-        alone = pieces.where(F.col("size") == capacity).select(F.lit(-1).cast("long").alias("shard"), F.col("row").alias("bin"), one(F.when(~F.col("nameless"), F.col("key"))).alias("doc_ids"), one("piece").alias("pieces"), one("size").alias("words"), one(F.lit(0).cast("long")).alias("starts"), one(length).alias("lengths"), "text")
-        out = materialize(packed.unionByName(alone), "sequences", keep=True)
-        discard(pieces)
-        return out
+        pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # the result reads it
+    part = pieces.where(F.col("size") < capacity)
+    facts = part.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(partitions_for(facts[0], SHARD), partitions_for(facts[1], SHARD_BYTES))
+    dealt = part.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).repartition(shards, "shard")
+    packed = dealt.groupBy("shard").applyInPandas(_packed(capacity, separator), BINS)
+    one = lambda c: F.array(c)
+    length = F.length("text").cast("long")
+    alone = pieces.where(F.col("size") == capacity).select(F.lit(-1).cast("long").alias("shard"), F.col("row").alias("bin"), one(F.when(~F.col("nameless"), F.col("key"))).alias("doc_ids"), one("piece").alias("pieces"), one("size").alias("words"), one(F.lit(0).cast("long")).alias("starts"), one(length).alias("lengths"), "text")
+    return packed.unionByName(alone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
