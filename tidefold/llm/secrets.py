@@ -142,6 +142,30 @@ def _holds(bits: Column, query: list[list[list[str]]], trigrams: list[str]) -> C
     return whole
 
 
+#: Elements of an array that one fold goes over at least; longer arrays are folded in blocks of about their root.
+BLOCK = 64
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _blocks(rows: Column, total, merge, body) -> Column:
+    """For each block of an array in order `body(block, before)`: `before` is what `merge` makes of the `total`s of the blocks before.
+
+    A fold that appends copies what it has; over blocks of about the root of the length that is n ** 1.5 in all.
+    """
+    width = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(rows).cast("double"))).cast("int"))
+
+    def split(n: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / n).cast("int")), lambda i: F.slice(rows, i * n + 1, n))
+        return _bound(parts, lambda p: _bound(F.aggregate(F.slice(p, 1, F.size(p) - 1), F.array(F.lit(0)), lambda a, block: F.concat(a, F.array(merge(F.element_at(a, -1), total(block))))), lambda before: F.zip_with(p, before, body)))
+
+    return F.when(F.size(rows) > 0, _bound(width, split))
+
+
 def _spans(text: Column, rule: Rule, kind: int) -> Column:
     """Leftmost non-overlapping matches as structs (start, kind, end) in code points, failing ones dropped.
 
@@ -151,8 +175,7 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     checked = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.group else whole
     pieces = F.split(text, rule.java, -1)
     rows = F.zip_with(F.slice(pieces, 1, F.size(whole)), F.zip_with(whole, checked, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), lambda p, x: F.struct(F.length(p).alias("p"), x["m"].alias("m"), x["g"].alias("g")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    empty = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["p"]
@@ -160,7 +183,11 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
         found = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def inside(block: Column, before: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    length = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["p"] + x["m"])
+    return _bound(rows, lambda r: F.coalesce(F.flatten(_blocks(r, length, lambda a, n: a + n, inside)), empty))
 
 
 def _maximal(rule: Rule) -> Rule:
@@ -175,24 +202,24 @@ def _maximal(rule: Rule) -> Rule:
     return rule
 
 
-def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES) -> DataFrame:
-    """Add `secret_spans`, an array of (start, kind, end) sorted by start, then by the order of `rules`.
+def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES, name: str = "secret_spans") -> DataFrame:
+    """Add a column `name`, an array of (start, kind, end) sorted by start, then by the order of `rules`.
 
-    Places are code points of the whole text, the end exclusive. A null or empty text has no spans; repeated rows are
-    scanned each; an empty table stays empty. Other columns pass through; a column of that name is replaced. Matches of
-    different kinds may overlap.
+    Places are code points of the whole text, the end exclusive. A null or empty text has no spans; a text is scanned whole
+    by one task, however long; repeated rows are scanned each; an empty table stays empty. Other columns pass through; a
+    column called `name` is replaced. Matches of different kinds may overlap.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for c in q for s in c for t in s})
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(f"array<{SPAN}>")
     low, bits = unused(docs, "low"), unused(docs, "bits")
     with_bits = docs.withColumn(low, F.lower(body)).withColumn(bits, _postings(F.col(low), trigrams)).drop(low)
     found = []
     for k, (rule, query) in enumerate(zip(rules, queries)):
         spans = _spans(body, _maximal(rule), k)
         found.append(F.when(_holds(F.col(bits), query, trigrams), spans).otherwise(none) if query else spans)
-    return with_bits.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop(bits)
+    return with_bits.withColumn(name, F.array_sort(F.concat(*found))).drop(bits)
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -201,17 +228,31 @@ def spans_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES, mark: str = "[SECRET]") -> DataFrame:
-    """Replace every span, overlapping ones merged, by `mark`. Null texts stay null; rows without spans stay as they are."""
-    scanned = scan(docs, text, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """Replace every span, overlapping and adjoining ones merged, by `mark`.
+
+    Null texts stay null; rows without spans stay as they are; repeated rows are redacted each; an empty table stays empty.
+    """
+    spans = unused(docs, "spans")
+    scanned = scan(docs, text, rules, spans)
+
+    def inside(block: Column, before: Column) -> Column:
+        last = F.aggregate(block, before, lambda a, s: F.greatest(a, s["end"]))
+        start = F.struct(before.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def cut(part: Column) -> Column:  # the text of this block's spans alone, so that places in it are near
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substring(part, acc["at"] - before + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+                fresh = (s["start"] >= acc["at"]) & ~((s["start"] == acc["at"]) & (acc["at"] > 0))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block, start, step, lambda acc: acc["out"]), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = (s["start"] >= acc["at"]) & ~((s["start"] == acc["at"]) & (acc["at"] > 0))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        return _bound(F.substring(F.col(text), before + 1, last - before), cut)
 
-    clean = F.aggregate(F.col("secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(F.col(text))).drop("secret_spans")
+    ends = lambda block: F.aggregate(block, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    last = ends(F.col(spans))
+    clean = F.concat(F.array_join(_blocks(F.col(spans), ends, lambda a, n: F.greatest(a, n), inside), ""), F.substring(F.col(text), last + 1, F.length(text)))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop(spans)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
