@@ -89,7 +89,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Nodes that a worker holds at most while it joins the edges of its partition.
+#: Nodes that a worker holds at most while it joins the edges of its partition. Half as many edges are joined by one worker.
 FOREST_NODES = 1_000_000
 
 
@@ -159,20 +159,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table of long ids: rows (node, component), component = smallest node.
 
     Alternating large-star and small-star rounds over tables; each partition first shrinks its own edges to spanning
-    forests. Links, nodes and components stay in the cluster; only counts and a checksum reach the driver. The links of a
-    hub are dealt over tasks (`join_facts`). Nulls and self-links are ignored; repeated links count once; no links give no rows.
+    forests. The links of a hub are dealt over tasks (`join_facts`). Rounds go on until nothing changes, or until the edges
+    that are left, FOREST_NODES / 2 at most, are a bounded task for one worker. Links, nodes and components stay in the
+    cluster; only counts and a checksum reach the driver. Nulls and self-links are ignored; repeated links count once; no
+    links give no rows.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi is not null and lo is not null and hi <> lo")
     with scratch(spark):
         edges = materialize(edges.mapInPandas(_local_forest, "hi long, lo long"), "edges")
-        state = None
-        while True:
+        state, count = None, edges.count()
+        while count > FOREST_NODES // 2:
             sym = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
             least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
             least = materialize(least.withColumn("m", F.least("u", "m")), "least")
-            total = 2 * edges.count()
-            large = join_facts(sym.where("v > u"), least, ["u"], total).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+            large = join_facts(sym.where("v > u"), least, ["u"], 2 * count).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
             large = materialize(large, "large")
             lowest = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "lowest")
             joined = join_facts(large, lowest, ["hi"], large.count())
@@ -183,7 +184,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             now = edges.distinct().agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
             if now == state:
                 break
-            state = now
+            state, count = now, edges.count()
+        else:
+            edges = materialize(edges.coalesce(1).mapInPandas(_local_forest, "hi long, lo long"), "edges")
         stars = edges.distinct()
         roots = stars.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
         return materialize(stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots), "components", keep=True)
