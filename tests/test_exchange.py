@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.functions import paths, scalars
-from tidefold.operators import annotations, audio, dedup, frames, intervals, models, nested, sampling
+from tidefold.operators import annotations, audio, dedup, filters, frames, intervals, models, nested, sampling
 from tidefold.sources import files, settings, sinks, storage
 from tidefold.streaming import watch
 
@@ -216,3 +216,23 @@ def test_pruned_walk(spark):
 
 def test_leaves():
     assert list(nested.leaves({"a": {"b": 1, "c": None, "d": {}}, "e": "x", "f": [1], "g": True})) == [("a.b", "1"), ("e", "x"), ("f", "[1]"), ("g", "true")]
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(1, 16_000, 5.0, "a/MBF01.wav"), (2, 8_000, None, "b/x_mbf01.wav"), (3, None, 0.5, "mbf01/y.wav")], "id int, rate int, d double, name string")
+    ids = lambda out: sorted(r["id"] for r in out.collect())
+    assert ids(filters.exact_length(df, "rate", 8_000)) == [2] and ids(filters.at_least(df, rate=8_000)) == [1, 2]
+    assert ids(filters.duration_between(df, "d", 1)) == [1] and ids(filters.duration_between(df, "d", high=1)) == [3]
+    assert ids(filters.without_any(df, "name", ["a/", "y"])) == [2] and ids(filters.with_any(df, "name", ["a/", "y"])) == [1, 3]
+    assert ids(filters.of_individual(df, "name", "Mbf01").where("is_individual")) == [1, 2]
+    lookup = spark.createDataFrame([("x_", "file_Q9_1"), ("zz", "file_Q8")], "RandomizedName string, OriginalName string")
+    assert ids(filters.of_individual(df, "name", "Q9", lookup).where("is_individual")) == [2]
+    sizes = spark.createDataFrame([(1, 0), (2, 9)], "id int, label_size int")
+    assert ids(filters.labelled_enough(df.fillna(0), sizes, "id", "rate", "label_size", 0)) == [2]
+
+
+def test_running_sums_backwards_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(frames, "GROUP_ROWS", 5)
+    df = spark.range(60).select((F.col("id") % 2).alias("g"), "id")
+    out = {r["id"]: r["n"] for r in frames.running_in_groups(df, ["g"], [F.desc("id")], {"n": F.lit(1)}).collect()}
+    assert out == {i: 30 - i // 2 for i in range(60)}

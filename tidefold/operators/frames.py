@@ -65,11 +65,9 @@ def running_in_groups(df: DataFrame, group: list[str], order: list, sums: dict[s
         over = W.partitionBy(*group)
         out = df.withColumns({name: F.coalesce(F.sum(v).over(over.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) for name, v in sums.items()})
         return out.withColumn(counts, F.count("*").over(over)) if counts else out
-    keyed = df.withColumns({f"__k_{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)} | {f"__x_{n}": F.coalesce(v, F.lit(0)) for n, v in sums.items()})
-    keys = [f"__k_{i}" for i in range(len(order))]
-    total = running_totals(keyed, [*group, *keys], {name: F.col(f"__x_{name}") for name in sums})
-    least = F.struct(*keys)
-    starts = total.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(F.count("*").alias("__n"), *[F.min_by(F.col(n) - F.col(f"__x_{n}"), least).alias(f"__s_{n}") for n in sums])
+    keyed = df.withColumns({f"__x_{n}": F.coalesce(v, F.lit(0)) for n, v in sums.items()})
+    total = running_totals(keyed, [*group, *order], {name: F.col(f"__x_{name}") for name in sums} | {"__i": F.lit(1)})
+    starts = total.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(F.count("*").alias("__n"), *[F.min_by(F.col(n) - F.col(f"__x_{n}"), "__i").alias(f"__s_{n}") for n in sums])
     same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
     out = total.join(written(starts), same)
     return out.select(*df.columns, *[(F.col(n) - F.col(f"__s_{n}")).alias(n) for n in sums], *([F.col("__n").alias(counts)] if counts else []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
-from ..operators import dedup
+from ..operators import dedup, filters
 from ..operators.frames import running_totals
 from .registry import register
 from .views import EV, events, table
@@ -154,19 +154,19 @@ def reject_report(spark, d):
 @register("exact_length", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 10")
 def exact_length(spark, d):
     """FIL1: pushed down to the scan."""
-    return table(spark, d, "lineitem").where(F.col("l_quantity") == 10).select("l_orderkey", "l_linenumber")
+    return filters.exact_length(table(spark, d, "lineitem"), "l_quantity", 10).select("l_orderkey", "l_linenumber")
 
 
 @register("duration_range", "SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 2000")
 def duration_range(spark, d):
     """FIL4."""
-    return table(spark, d, "documents").where(F.col("n_chars").between(500, 2000)).select("doc_id")
+    return filters.duration_between(table(spark, d, "documents"), "n_chars", 500, 2000).select("doc_id")
 
 
 @register("min_rate", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 40 AND l_tax >= 0.05")
 def min_rate(spark, d):
     """FIL3."""
-    return table(spark, d, "lineitem").where("l_quantity >= 40 and l_tax >= 0.05").select("l_orderkey", "l_linenumber")
+    return filters.at_least(table(spark, d, "lineitem"), l_quantity=40, l_tax=0.05).select("l_orderkey", "l_linenumber")
 
 
 @register("ext_filter", rf"SELECT page_id FROM pages WHERE lower(regexp_extract({_BASE}, '.(\.[^.]+)$', 1)) IN ('.html', '.htm')")
@@ -178,38 +178,38 @@ def ext_filter(spark, d):
 @register("substring_exclude", "SELECT page_id FROM pages WHERE NOT contains(url, 'utm_') AND NOT contains(url, '#top')")
 def substring_exclude(spark, d):
     """FIL6."""
-    return table(spark, d, "pages").where(~F.contains("url", F.lit("utm_")) & ~F.contains("url", F.lit("#top"))).select("page_id")
+    return filters.without_any(table(spark, d, "pages"), "url", ["utm_", "#top"]).select("page_id")
 
 
 @register("array_filter", "SELECT vec_id, len([x for x in embedding if x > 0.1])::BIGINT AS n FROM embeddings WHERE len([x for x in embedding if x > 0.1]) > 0")
 def array_filter(spark, d):
-    """FIL7, FIL16: elements are filtered before they are exploded or counted; rows that keep none go."""
-    return table(spark, d, "embeddings").select("vec_id", F.size(F.filter("embedding", lambda x: x > F.lit(0.1).cast("double"))).cast("long").alias("n")).where("n > 0")
+    """FIL16: elements are filtered before they are exploded or counted; rows that keep none go."""
+    kept = filters.with_entries(table(spark, d, "embeddings"), "embedding", lambda x: x > F.lit(0.1).cast("double"))
+    return kept.select("vec_id", F.size("embedding").cast("long").alias("n"))
 
 
 @register("degenerate_filter", f"WITH {EV} SELECT event_id FROM ev WHERE t + value - 10 > t")
 def degenerate_filter(spark, d):
     """FIL8."""
-    return events(spark, d).where(F.col("t") + F.col("value") - 10 > F.col("t")).select("event_id")
+    return filters.proper_intervals(events(spark, d), "t", F.col("t") + F.col("value") - 10).select("event_id")
 
 
 @register("route_labels", "SELECT CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'background' END AS route, count(*) AS n FROM events GROUP BY 1")
 def route_labels(spark, d):
     """FIL9."""
-    return table(spark, d, "events").groupBy(F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).otherwise("background").alias("route")).agg(F.count("*").alias("n"))
+    return table(spark, d, "events").groupBy(filters.label_route("event_type", ["error", "signup", "view"], ["view"]).alias("route")).agg(F.count("*").alias("n"))
 
 
 @register("min_label_size", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars >= 300 AND coalesce(quality, 0) > 0")
 def min_label_size(spark, d):
     """FIL12."""
-    sizes = table(spark, d, "labels").select("doc_id", "quality")
-    return table(spark, d, "documents").where("n_chars >= 300").join(sizes, "doc_id", "left").where("coalesce(quality, 0) > 0").select("doc_id")
+    return filters.labelled_enough(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "n_chars", "quality", 300).select("doc_id")
 
 
 @register("path_contains", "SELECT page_id FROM pages WHERE contains(url, '/en/')")
 def path_contains(spark, d):
     """FIL13."""
-    return table(spark, d, "pages").where(F.contains("url", F.lit("/en/"))).select("page_id")
+    return filters.with_any(table(spark, d, "pages"), "url", ["/en/"]).select("page_id")
 
 
 @register("class_prefix", "SELECT s_suppkey FROM supplier WHERE s_name LIKE 'Supplier#00000001%' OR s_name = 'noise'")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import frames, sampling
+from ..operators import filters, frames, sampling
 from .registry import register
 from .views import EV, events, seconds, table
 
@@ -64,8 +64,8 @@ def chunk_array(spark, d):
 @register("suffix_scan", f"WITH {EV} SELECT event_id, sum((value > 5)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS n FROM ev")
 def suffix_scan(spark, d):
     """WN14."""
-    over = W.partitionBy("user_id").orderBy("event_id").rowsBetween(0, W.unboundedFollowing)
-    return events(spark, d).select("event_id", F.sum((F.col("value") > 5).cast("int")).over(over).alias("n"))
+    marked = events(spark, d).select("event_id", "user_id", (F.col("value") > 5).cast("int").alias("v"))
+    return frames.running_in_groups(marked, ["user_id"], [F.desc("event_id")], {"n": F.col("v")}).select("event_id", "n")
 
 
 @register("patience_counter", f"""WITH {EV}, r AS (SELECT event_id, user_id, value, row_number() OVER w AS rn, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, max(value) OVER w AS best FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -78,7 +78,8 @@ def patience_counter(spark, d):
 @register("per_run_order", f"WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS step FROM ev")
 def per_run_order(spark, d):
     """WN13."""
-    return events(spark, d).select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy("value", "event_id")).cast("long").alias("step"))
+    rows = frames.running_in_groups(events(spark, d).select("event_id", "user_id", "value"), ["user_id"], ["value", "event_id"], {"step": F.lit(1)})
+    return rows.select("event_id", F.col("step").cast("long").alias("step"))
 
 
 @register("annealed_rate", "SELECT event_id, round(CASE WHEN event_id >= 5000 THEN 0.9999 ELSE 0.9999 - (0.9999 - 0.99) * (1 - event_id / 5000.0) END, 8) AS rate FROM events")
@@ -185,7 +186,8 @@ def leave_p_out(spark, d):
 @register("split_by_individual", "SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'valid' ELSE 'train' END AS split FROM part")
 def split_by_individual(spark, d):
     """SO12."""
-    return table(spark, d, "part").select("p_partkey", F.when(F.contains("p_name", F.lit("red")), "valid").otherwise("train").alias("split"))
+    found = filters.of_individual(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "red")
+    return found.select("p_partkey", F.when(F.col("is_individual"), "valid").otherwise("train").alias("split"))
 
 
 @register("random_mask", f"SELECT vec_id, i - 1 AS pos, row_number() OVER (PARTITION BY vec_id ORDER BY md5('7:' || (vec_id * 64 + i - 1))) <= 16 AS kept FROM embeddings, range(1, 65) r(i)")
