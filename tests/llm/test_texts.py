@@ -214,7 +214,7 @@ def test_chat_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     df = spark.range(40).select((F.col("id") % 2).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("t<"), "id").alias("text"))
     out = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for c in (0, 1):
         raw = bytes(out[c]["formatted"])
         want = [f"t<{i}" for i in range(c, 40, 2)]
@@ -222,6 +222,20 @@ def test_chat_over_batches(spark):
         assert [chat.unescape(raw[a:b]).decode() for a, b in zip(out[c]["loss_starts"], out[c]["loss_ends"])] == want
 
 
+def test_chat_long_and_repeated(spark):
+    """A text of 300,000 characters that all need escapes, beside short ones, over small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    long = "<[\\" * 100_000
+    rows = [(1, 1, "assistant", long), (1, 2, "user", "x"), (1, 3, "assistant", long), (2, 1, "user", "q"), (2, 1, "user", "q"), (3, 1, "odd [role]", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss_starts", F.lit(1))
+    out = {r["conv_id"]: r for r in chat.format_conversations(df.coalesce(1)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    raw = bytes(out[1]["formatted"])
+    assert chat.parse(raw) == [("assistant", long), ("user", "x"), ("assistant", long)]
+    assert [chat.unescape(raw[a:b]).decode() == long for a, b in zip(out[1]["loss_starts"], out[1]["loss_ends"])] == [True, True]
+    assert chat.parse(bytes(out[2]["formatted"])) == [("user", "q")] * 2 and chat.parse(bytes(out[3]["formatted"])) == [("odd [role]", "")]
+
+
 # URLs
 
 
@@ -244,6 +258,14 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_long_repeated_and_clashing(spark):
+    long = "http://" + "casino" * 300 + ".net/" + "win/" * 5_000
+    df = spark.createDataFrame([(long, 1, "v"), (long, 2, "v"), ("http://x.org/" + "a" * 100_000, 3, "v")], "url string, says int, verdict string").withColumn("path", F.lit(0))
+    out = sorted(urls.judge(df).collect(), key=lambda r: r["says"])
+    assert [r["verdict"] for r in out] == ["block", "block", "allow"] and out[0]["score"] == out[1]["score"]
+    assert len(out[2]["path"]) == 100_001 and sorted(out[0].asDict()) == ["host", "path", "rule", "says", "score", "url", "verdict"]
+
+
 def test_words_are_split():
     model = urls.UrlModel()
     assert model.split("cheapcasinopills") == ("cheap", "casino", "pills")
@@ -328,6 +350,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(d.limit(0), none).count() == 0 and not none.weights
 
 
+def test_toxicity_long_repeated_and_clashing(spark):
+    lex = toxicity.Lexicon({"oaf": 9.0, "gru*": 3.0}, frozenset({"kind oaf"}), 1.0, -3.0)
+    long = "word " * 200_000
+    df = spark.createDataFrame([(1, long + "oaf"), (2, "oaf"), (2, "oaf"), (3, "kind oaf"), (4, "grub " * 60_000)], "doc_id long, text string").withColumns({"score": F.lit(1), "toxicity": F.lit("x")})
+    out = toxicity.score(df, lex).collect()
+    want = {i: 1 / (1 + 2.718281828459045 ** -max(-60.0, min(60.0, lex.base + lex.scale * naive_evidence(t, lex)))) for i, t in {r["doc_id"]: r["text"] for r in out}.items()}
+    assert len(out) == 5 and all(abs(r["toxicity"] - want[r["doc_id"]]) < 1e-9 and r["score"] == 1 for r in out)
+    assert out[0]["toxicity"] < 0.5 < out[1]["toxicity"] == out[2]["toxicity"] and out[4]["toxicity"] > 0.5
+
+
 # BPE
 
 
@@ -360,6 +392,25 @@ def test_bpe_rows(spark, library):
     assert sum(r["ids_sha256"] == want for r in sums) == 2 and bpe.encode(df.limit(0), path).count() == 0
 
 
+def test_bpe_query_equals_the_library(spark, library):
+    """Every whole document, as the library encodes and decodes it."""
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        shown = library.decode(ids, skip_special_tokens=False)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.query(spark, SMALL).collect())) == sorted(want)
+
+
+def test_bpe_long(spark, library):
+    texts = ["word " * 60_000, "ab" * 40_000, "🎉" * 5_000]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("body", F.lit(1))
+    out = {r["doc_id"]: r for r in bpe.encode(df, path).collect()}
+    for i, t in enumerate(texts):
+        assert out[i]["ids"] == library.encode(t, add_special_tokens=False).ids and out[i]["body"] == 1
+
+
 # secrets
 
 BASE = {
@@ -567,3 +618,31 @@ def test_pipeline_packing(stages):
         if k == k and list(before["doc_id"]).count(k) == 1:
             assert "".join(p for _, p in sorted(texts[k])) == (t or "")
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    """No document, no label: no sequence. Settings and scratch tables are as before."""
+    from tidefold.operators import scratch as scratch_tables
+
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert not common._SCOPES and scratch_tables.folder(spark)
+
+
+def test_scratch_is_deleted_after_failures(spark):
+    import os
+
+    from tidefold.operators import scratch as scratch_tables
+
+    at = scratch_tables.folder(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        common.materialize(spark.range(3), "x")
+        kept = common.materialize(spark.range(4), "y", keep=True)
+        1 / 0
+    left = [p for p in set(os.listdir(at)) - before if os.listdir(f"{at}/{p}")]
+    assert kept.count() == 4 and len(left) == 1
+    common.discard(kept)

@@ -138,7 +138,7 @@ def _format(batches):
 def format_conversations(turns: DataFrame) -> DataFrame:
     """A row for each conversation: `conv_id`, its bytes `formatted`, `loss_starts` and `loss_ends` in bytes.
 
-    Input columns conv_id, turn, role, text; others are ignored. Rows stand by turn, null turns first, ties by role and
+    Input columns conv_id, turn, role, text; others are ignored. A text is assembled whole, however long. Rows stand by turn, null turns first, ties by role and
     text; repeated rows stay. A null text or role counts as empty; rows with a null conv_id form one conversation with a
     null id. An empty table gives no rows. The loss mask covers assistant contents, still escaped.
     """
