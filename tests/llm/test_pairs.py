@@ -115,6 +115,31 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """Keys with half and a quarter of all rows, null keys' rows left out, one row of facts each."""
+    rows = spark.range(4_000).select(F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 4 == 1, 2).otherwise(F.col("id")).alias("k"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, -1)], "k long, id long"))
+    facts = common.materialize(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")), "facts")
+    out = common.join_facts(rows, facts, ["k"], 4_001)
+    assert out.columns == ["k", "id", "n", "first"] and out.count() == out.select("id").distinct().count() == 4_000
+    assert {(r["k"], r["n"], r["first"]) for r in out.where("k < 3").distinct().collect()} == {(1, 2_000, 0), (2, 1_000, 1)}
+
+
+def test_a_third_equal(spark):
+    """A third of all texts and vectors are one: a class whose rows are dealt over tasks."""
+    text = "one text that a third of all rows share word for word"
+    rows = [(i, text if i % 3 == 0 else f"text number {i} with words of its own n{i} m{i} k{i}") for i in range(300)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["key"]: r["component"] for r in out} == {i: 0 if i % 3 == 0 else i for i, _ in rows}
+    rng = np.random.default_rng(1)
+    same = rng.standard_normal(8).tolist()
+    vectors = [(i, same if i % 3 == 0 else rng.standard_normal(8).tolist()) for i in range(300)]
+    found = {r["key"]: r for r in embeddings.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in vectors])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [found[i]["n_links"] for i in range(300)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_components_of_hubs(spark, monkeypatch):
     """Two hubs with most of the links, which are dealt over tasks, and a flushed forest."""
     monkeypatch.setattr(common, "FOREST_NODES", 50)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, partitions_for, scratch, small_batches
+from .common import components, discard, join_facts, materialize, partitions_for, scratch, small_batches
 
 WIDTH, COUNTED, MISSED = 2.0, 64, 4e-4
 BLOCK = 4096
@@ -265,10 +265,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
         roots = components(found.where("node <> other"), "node", "other").withColumnRenamed("component", "root")
         labelled = nodes.select("node", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
-        labels = labelled.join(first, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
-        out = rows.select("key", "node").join(materialize(labels, "labels"), "node", "left")
-        component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
-        out = out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component")).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
+        labels = labelled.join(first, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component", F.col("weight").alias("n"))
+        named = rows.select("key", "node")
+        joined = join_facts(named.where("node is not null"), materialize(labels, "labels"), ["node"], named.count()).select("key", F.col("n_links").cast("long").alias("n_links"), "component")
+        alone = named.where("node is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+        out = joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
         return materialize(out, "groups", keep=True)
 
 

@@ -343,7 +343,7 @@ def _remainder(crowd: DataFrame, stars: DataFrame, sets: DataFrame, num: int, de
 def _classes(signed: DataFrame) -> DataFrame:
     """Of each class one row: its smallest key (null keys last), where its text is, and its signature."""
     rank = F.when(F.col("nameless"), F.lit(2**63 - 1)).otherwise(F.col("key"))
-    found = signed.where("digest is not null").groupBy("digest").agg(F.min(F.when(~F.col("nameless"), F.col("key"))).alias("smallest"), F.min(rank).alias("rank"), F.min_by("place", rank).alias("place"), F.first("sign").alias("sign"), F.min("check").alias("least"), F.max("check").alias("most"))
+    found = signed.where("digest is not null").groupBy("digest").agg(F.min(F.when(~F.col("nameless"), F.col("key"))).alias("smallest"), F.min(rank).alias("rank"), F.min_by("place", rank).alias("place"), F.first("sign").alias("sign"), F.count("*").alias("rows"), F.min("check").alias("least"), F.max("check").alias("most"))
     return materialize(found, "classes")
 
 
@@ -383,11 +383,12 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text:
     if not more.isEmpty():
         stars = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     found = stars.withColumnsRenamed({"node": "digest", "component": "root"})
-    labelled = classes.select("digest", "smallest").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    labelled = classes.select("digest", "smallest", "rows").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
-    labels = labelled.select("digest", "root").join(first, "root")
-    out = signed.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "place", "n", "digest").join(labels, "digest", "left")
-    return out.select("key", "place", "n", "root", F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    labels = materialize(labelled.join(first, "root").select("digest", "root", "component", F.col("rows").alias("n")), "labels")
+    out = signed.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "place", F.col("n").alias("size"), "digest")
+    joined = join_facts(out.where("digest is not null"), labels, ["digest"], signed.count()).select("key", "place", F.col("size").alias("n"), "root", "component")
+    return joined.unionByName(out.where("digest is null").select("key", "place", F.col("size").alias("n"), F.lit(None).cast("long").alias("root"), F.col("key").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
