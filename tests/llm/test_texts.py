@@ -629,7 +629,7 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
-    assert not common._SCOPES and scratch_tables.folder(spark)
+    assert not common._scopes() and scratch_tables.folder(spark)
 
 
 def test_scratch_is_deleted_after_failures(spark):

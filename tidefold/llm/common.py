@@ -7,6 +7,7 @@ run again. `scratch` deletes what was written inside it, also after a failure; w
 
 from __future__ import annotations
 
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -16,7 +17,13 @@ from pyspark.sql import functions as F
 
 from ..operators.scratch import delete, folder
 
-_SCOPES: list[list[str]] = []
+_HERE = threading.local()  # the open scopes of this thread, the innermost last
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_HERE, "scopes"):
+        _HERE.scopes = []
+    return _HERE.scopes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables that `materialize` writes inside are deleted at the end, but for those that it is told to keep."""
-    _SCOPES.append([])
+    open_ = _scopes()
+    open_.append([])
     try:
         yield
     finally:
-        delete(spark, *_SCOPES.pop())
+        delete(spark, *open_.pop())
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it again; `keep` leaves it to the scope around."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}/{name}"
-    scopes = _SCOPES[: -1 if keep else None]
+    scopes = _scopes()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
