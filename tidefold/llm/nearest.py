@@ -229,7 +229,11 @@ def _projected(exponent: int, longest: float):
             for _, at in _by_size(pdf["vector"]):
                 part = pdf.iloc[at]
                 x = _matrix(part["vector"])
-                yield part.assign(place=list(project(np.ldexp(x, -exponent), longest)), aim=[a if asks else None for a, asks in zip(aim(x, longest), part["asks"])])
+                asks = np.flatnonzero(part["asks"].to_numpy(dtype=bool))
+                aims = pd.Series([None] * len(part), index=part.index, dtype=object)
+                if len(asks):
+                    aims.iloc[asks] = list(aim(x[asks], longest))
+                yield part.assign(place=list(project(np.ldexp(x, -exponent), longest)), aim=aims)
 
     return run
 
@@ -275,6 +279,9 @@ def _routed(low: np.ndarray, high: np.ndarray, parts: np.ndarray, first: np.ndar
     return run
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row for which the column `is_query` holds, its k nearest other rows: query_id, rank, vec_id, score.
 
@@ -290,12 +297,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.when(sound, v).alias("vector")).where("vector is not null")
     with scratch(spark):
-        largest = rows.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))).first()[0]
-        exponent = int(np.frexp(largest or 1.0)[1])
-        half = -exponent // 2  # two factors, as 2 ** -exponent may be out of range
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * F.lit(2.0**half) * F.lit(2.0 ** (-exponent - half)) * x * F.lit(2.0**half) * F.lit(2.0 ** (-exponent - half))))
-        facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(length).alias("longest")).first()
-        longest = float(facts["longest"] or 1.0) * (1 + 1e-9)
+        # lengths as logarithms, from each vector over its largest component: nothing leaves the range of doubles
+        largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+        sized = rows.select("asks", "vector", largest.alias("m"))
+        length = F.log2("m") + F.log2(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("m")) * (x / F.col("m")))) / 2
+        facts = sized.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max("m").alias("most"), F.max(length).alias("length")).first()
+        if not facts["q"]:
+            return spark.createDataFrame([], RESULT)
+        exponent = int(np.frexp(facts["most"])[1])
+        longest = 2.0 ** (facts["length"] - exponent) * (1 + 1e-9)
         with small_batches(spark):
             placed = materialize(rows.withColumn("ask", F.monotonically_increasing_id()).mapInPandas(_projected(exponent, longest), "id long, asks boolean, vector array<double>, ask long, place array<double>, aim array<double>"), "placed")
         # splits from a bounded sample: about SAMPLE rows, chosen by a hash
@@ -309,26 +319,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         first = np.cumsum(parts) - parts
         number = spark.createDataFrame(list(zip(cells["cell"].tolist(), parts.tolist(), first.tolist())), "cell long, parts long, first long")
         columns = ["id", "asks", "vector", "ask", "aim"]
-        dealt = placed.mapInPandas(_dealt(splits, columns), "id long, asks boolean, vector array<double>, ask long, aim array<double>, cell long")
-        dealt = dealt.join(F.broadcast(number), "cell").withColumn("part", F.col("first") + F.pmod(F.xxhash64("ask"), F.col("parts")))
-        dealt = materialize(dealt.select(*columns, "part"), "dealt")
-        discard(placed)
+        if int(parts.sum()) == 1:
+            dealt = placed.select(*columns, F.lit(0).cast("long").alias("part"))
+        else:
+            dealt = placed.mapInPandas(_dealt(splits, columns), "id long, asks boolean, vector array<double>, ask long, aim array<double>, cell long")
+            dealt = dealt.join(F.broadcast(number), "cell").withColumn("part", F.col("first") + F.pmod(F.xxhash64("ask"), F.col("parts")))
+            dealt = materialize(dealt.select(*columns, "part"), "dealt")
+            discard(placed)
         asked = dealt.where("asks").select("ask", "id", "vector", "aim")
         groups = partitions_for(facts["q"], QUERIES)
         rank = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("near"), "vec_id"))
-        best = materialize(spark.createDataFrame([], "ask long, vec_id long, near double, score double"), "best")
-        done, upto = 0, 1
+        best, done, upto = None, 0, 1
         while done < len(cells):
-            full = best.groupBy("ask").agg(F.count("*").alias("held"), F.min("near").alias("kth")).where(F.col("held") >= k).select("ask", "kth")
-            open_ = asked.join(full, "ask", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+            open_ = asked.withColumn("kth", F.lit(float("-inf")))
+            if best is not None:
+                full = best.groupBy("ask").agg(F.count("*").alias("held"), F.min("near").alias("kth")).where(F.col("held") >= k).select("ask", "kth")
+                open_ = asked.join(full, "ask", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
             visits = materialize(open_.mapInPandas(_routed(low, high, parts, first, done, upto, groups, longest), "part long, group long, ask long, id long, vector array<double>, kth double"), "visits")
-            if visits.isEmpty():
+            if best is not None and visits.isEmpty():
                 break
             pairs = visits.select(F.col("part").alias("visited"), F.col("group").alias("by")).distinct()
             read = dealt.join(pairs, F.col("part") == F.col("visited")).select("visited", "by", "id", "vector")
             found = read.groupBy("visited", "by").cogroup(visits.groupBy("part", "group")).applyInPandas(_searched(exponent, longest, k), "ask long, vec_id long, near double, score double")
-            after = materialize(best.unionByName(found).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
-            discard(visits, best)
+            both = found if best is None else best.unionByName(found)
+            after = materialize(both.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
+            discard(visits, *([best] if best is not None else []))
             best, done, upto = after, upto, min(len(cells), upto * 4)
         out = best.withColumn("rank", rank).join(asked.select("ask", F.col("id").alias("query_id")), "ask")
         return materialize(out.select("query_id", "rank", "vec_id", "score"), "nearest", keep=True)
