@@ -322,13 +322,13 @@ def _remainder(crowd: DataFrame, stars: DataFrame, sets: DataFrame, num: int, de
     rows = materialize(rows.select("run", "digest", "root", "size"), "crowd")
     parts = rows.groupBy("run", "root").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     top = F.max(F.struct("m", "s", "root"))
-    runs = parts.groupBy("run").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > top.m")
+    runs = parts.groupBy("run").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > top.m").withColumn("n", F.col("m"))
 
     def blocks(n, s):
         return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_ITEMS)))
 
-    runs = runs.select("run", F.col("top.root").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"), blocks(F.col("top.m"), F.col("top.s")).alias("majors"))
-    dealt = rows.join(runs, "run").withColumn("h", F.xxhash64("digest"))
+    runs = runs.select("run", "n", F.col("top.root").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"), blocks(F.col("top.m"), F.col("top.s")).alias("majors"))
+    dealt = join_facts(rows, materialize(runs, "runs"), ["run"], rows.count()).withColumn("h", F.xxhash64("digest"))
     is_major = F.col("root") == F.col("major")
     dealt = dealt.withColumn("block", F.when(is_major, F.col("others") + F.pmod("h", "majors")).otherwise(F.pmod("h", "others")))
     # rows of the largest component don't meet each other
