@@ -16,6 +16,7 @@ MODULES = {
     "op8_nearest": "nearest",
     "op9_bpe": "bpe",
     "op10_secret_scan": "secrets",
+    "op11_order_minhash": "fingerprints",
 }
 
 
