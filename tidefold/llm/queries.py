@@ -17,6 +17,8 @@ MODULES = {
     "op9_bpe": "bpe",
     "op10_secret_scan": "secrets",
     "op11_order_minhash": "fingerprints",
+    "op12_vector_codes": "codes",
+    "op13_centroids": "centroids",
 }
 
 
