@@ -169,8 +169,67 @@ def greedy_budget(df: DataFrame, key: str, order: str, size: str, target: float)
 
 
 def shard_align(df: DataFrame, key: str, order: str, size: str, shard: int) -> DataFrame:
-    """Offsets at which each row starts, moved to the next shard where it would straddle two; sequential within a key, row by row."""
-    return _folded(df.where(F.col(size).isNotNull()), key, order, size, lambda: _Aligned(shard), "{key}, {order}, begin bigint")
+    """Offsets at which each row starts, moved to the next shard where it would straddle two: (key, order, begin).
+
+    A row larger than a shard isn't moved. Rows without a size are left out; the order is total within a key. Keys of up to
+    GROUP_ROWS rows are one task each, row by row; beyond that the rows of a key stand in many tasks (`_aligned_wide`).
+    """
+    rows = df.where(F.col(size).isNotNull())
+    largest = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= GROUP_ROWS:
+        return _folded(rows, key, order, size, lambda: _Aligned(shard), "{key}, {order}, begin bigint")
+    return _aligned_wide(rows, key, order, size, shard)
+
+
+def _aligned_wide(rows: DataFrame, key: str, order: str, size: str, shard: int) -> DataFrame:
+    """`shard_align` without going through a key's rows one by one.
+
+    If a row starts a shard, running sums say which row of its key is the first that doesn't fit any more and starts the
+    next one: a pointer for each row. Pointers are followed from each key's first row by doubling: with those over 1, 2, 4,
+    ... steps the known starts reach as many more, so the rounds are the logarithm of the shards of a key. A row then
+    begins as far after the last start before it as the sizes between them say.
+
+    A row that is larger than a shard stays where it is, so that search goes on behind it, from the shard's end that
+    follows the next smaller row: a round for each such stretch that a shard's end meets.
+    """
+    named = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
+    small = (F.col("n") <= shard).cast("int")
+    placed = running_totals(named, ["k", "o"], {"end": F.col("n"), "i": F.lit(1), "smalls": small})
+    placed = written(placed.withColumn("s", F.col("end") - F.col("n")))
+    ends = placed.groupBy("k").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min_by("s", "i").alias("base"))  # a row a key
+    ends = written(ends)
+    whole = placed.join(ends.select(F.col("k").alias("key"), "last"), F.col("k").eqNullSafe(F.col("key"))).select("i", "s", "last")
+
+    def first_beyond(asks: DataFrame) -> DataFrame:
+        """For rows (i, s, last, w): `to`, the first row whose end is past s + w shards."""
+        points = placed.select(F.col("end").alias("v"), F.lit(0).alias("ask"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("w"))
+        points = points.unionByName(asks.select((F.col("s") + F.col("w") * shard).alias("v"), F.lit(1).alias("ask"), "i", "s", "last", "w"))
+        found = running_totals(points, ["v", "ask", "i"], {"before": 1 - F.col("ask")}).where("ask = 1")
+        return found.select("i", "s", "last", "w", (F.col("before") + 1).alias("to")).where("to <= last")
+
+    heads = placed.select(F.col("i").alias("to"), "n", "smalls")
+    next_small = placed.where(small == 1).select(F.col("smalls").alias("next"), F.col("s").alias("from_s"))
+    pointers, asks = None, whole.withColumn("w", F.lit(1).cast("long"))
+    while True:
+        found = written(first_beyond(asks).join(heads, "to"))
+        fits = found.where(F.col("n") <= shard).select("i", "to", "w")
+        pointers = fits if pointers is None else written(pointers.unionByName(fits))
+        stuck = found.where(F.col("n") > shard).withColumn("next", F.col("smalls") + 1).join(next_small, "next")
+        asks = stuck.select("i", "s", "last", F.ceil((F.col("from_s") - F.col("s")) / shard).cast("long").alias("w"))
+        if asks.isEmpty():
+            break
+    starts = written(ends.select(F.col("first").alias("i"), F.lit(0).cast("long").alias("begin")))
+    jumps, known = written(pointers), 0
+    while (count := starts.count()) > known and not jumps.isEmpty():
+        known = count
+        reached = starts.join(jumps, "i").select(F.col("to").alias("i"), (F.col("begin") + F.col("w") * shard).alias("begin"))
+        starts = written(starts.unionByName(reached).groupBy("i").agg(F.min("begin").alias("begin")))
+        then = jumps.select(F.col("i").alias("to"), F.col("to").alias("after"), F.col("w").alias("more"))
+        jumps = written(jumps.join(then, "to").select("i", F.col("after").alias("to"), (F.col("w") + F.col("more")).alias("w")))
+    marked = placed.join(starts, "i", "left")
+    counted = written(running_totals(marked, ["i"], {"run": F.col("begin").isNotNull().cast("int")}))
+    origin = counted.where("begin is not null").select("run", (F.col("begin") - F.col("s")).alias("shift"))
+    return counted.join(origin, "run").select(F.col("k").alias(key), F.col("o").alias(order), (F.col("s") + F.col("shift")).alias("begin"))
 
 
 def patience(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

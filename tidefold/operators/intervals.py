@@ -1,8 +1,11 @@
 """Joins of time intervals, and what follows from them: labels of windows, clipped labels, matches by overlap.
 
 All are equi-joins on a recording key with a range residual. Where one recording can hold very many events, `bucket_s`
-adds a time bucket to the key, so that a hot recording is many join keys: a window is in the bucket of its start only, and an
-event in every bucket in which a window that it overlaps can start. A window thus stays one row, whatever the kind of join.
+adds time cells to the key, so that a hot recording is many join keys. Cells come in levels, each twice as wide as the one
+before, and an interval's own level is the first whose cells are as wide as it is long: it stands in two of them at most. Of
+two intervals the shorter one stands in the cells of the longer one's level too, so they meet there, and a pair counts in the
+one cell in which the later of both starts lies. An interval is thus copied at most twice for its own level and for each
+longer one that the other side has, however long the longest is.
 """
 
 from __future__ import annotations
@@ -19,23 +22,46 @@ def overlap(start_a, end_a, start_b, end_b) -> Column:
     return F.when(~some_null, F.least(bounds[1], bounds[3]) - F.greatest(bounds[0], bounds[2]))
 
 
+def _leveled(df: DataFrame, side: str, start: str, end: str, width: float, reach: float, others: list[int]) -> DataFrame:
+    """Rows with the cells in which they meet: `__level` and `__cell`, and `side` whether that is their own level."""
+    low, high = F.least(start, end) - reach, F.greatest(start, end) + reach
+    own = _level(start, end, width, reach)
+    met = F.array_union(F.array(own), F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > own))
+    cell = lambda t, x: F.floor(t / (F.lit(width) * F.pow(F.lit(2.0), x)))
+    cells = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(cell(low, x), cell(high, x)), lambda c: F.struct(x.alias("__level"), c.alias("__cell"), (x == own).alias(side)))))
+    return df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*df.columns, F.inline(cells))
+
+
+def _level(start: str, end: str, width: float, reach: float) -> Column:
+    """0 for what fits a cell of `width`, one more for each doubling."""
+    long = F.abs(F.col(end) - F.col(start)) + 2 * reach
+    return F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(width)) / width)), F.lit(0)).cast("int")
+
+
 def overlap_join(windows: DataFrame, events: DataFrame, key: str, min_overlap_s: float = 0.0, bucket_s: float | None = None, how: str = "inner") -> DataFrame:
     """Windows (key, start_s, end_s, ...) with events (key, event_start, event_end, ...) of the same key.
 
     A pair matches where the event starts no later than the window ends and they overlap by `min_overlap_s` or more.
-    `how` is inner, left_semi or left_anti. Buckets suit windows that are about as long as a bucket, or shorter.
+    `how` is inner, left_semi or left_anti. `bucket_s` is the width of the narrowest cells, about the length of most
+    intervals; lengths of any range are fine. Each pair comes once. Rows with a null bound match nothing.
     """
     hit = (F.col("e.event_start") <= F.col("w.end_s")) & (overlap("w.start_s", "w.end_s", "e.event_start", "e.event_end") >= min_overlap_s)
     same = F.col(f"w.{key}") == F.col(f"e.{key}")
     if bucket_s is None:
         return windows.alias("w").join(events.alias("e"), same & hit, how)
-    longest = windows.agg(F.max(F.col("end_s") - F.col("start_s"))).first()[0] or 0.0
-    reach = max(0.0, float(longest)) + max(0.0, -min_overlap_s) + 1e-3
-    first, last = F.floor((F.col("event_start") - reach) / bucket_s), F.floor((F.greatest("event_start", "event_end") + reach - float(longest)) / bucket_s)
-    e = events.withColumn("__bucket", F.explode(F.sequence(first, last)))
-    w = windows.withColumn("__bucket", F.floor(F.col("start_s") / bucket_s))
-    out = w.alias("w").join(e.alias("e"), same & (F.col("w.__bucket") == F.col("e.__bucket")) & hit, how)
-    return out.drop("__bucket")
+    if how != "inner":  # what matches depends on a window's key and bounds alone
+        found = overlap_join(windows.select(key, "start_s", "end_s").distinct(), events, key, min_overlap_s, bucket_s)
+        found = found.select(*[F.col(f"w.{c}").alias(c) for c in (key, "start_s", "end_s")]).distinct()
+        return windows.join(found, [key, "start_s", "end_s"], how).select(*windows.columns)
+    reach = max(0.0, -min_overlap_s) + (1e-3 if min_overlap_s < 0 else 0.0)
+    bounds = {"w": (windows, "start_s", "end_s"), "e": (events, "event_start", "event_end")}
+    levels = {n: df.agg(F.collect_set(_level(a, b, bucket_s, reach))).first()[0] for n, (df, a, b) in bounds.items()}  # under 2,100 whatever the data
+    w = _leveled(windows, "__own_w", "start_s", "end_s", bucket_s, reach, levels["e"])
+    e = _leveled(events, "__own_e", "event_start", "event_end", bucket_s, reach, levels["w"])
+    meet = (F.col("w.__level") == F.col("e.__level")) & (F.col("w.__cell") == F.col("e.__cell")) & (F.col("__own_w") | F.col("__own_e"))
+    later = F.greatest("w.start_s", "e.event_start")
+    once = F.col("w.__cell") == F.floor(later / (F.lit(bucket_s) * F.pow(F.lit(2.0), F.col("w.__level"))))
+    return w.alias("w").join(e.alias("e"), same & meet & once & hit).drop("__level", "__cell", "__own_w", "__own_e")
 
 
 def label_windows(windows: DataFrame, events: DataFrame, key: str, min_overlap_s: float, sound: str = "sound", artifact: str = "artifact", bucket_s: float | None = None) -> DataFrame:

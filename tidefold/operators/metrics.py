@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,37 +104,3 @@ def otsu(df: DataFrame, value: str, bins: int) -> DataFrame:
     s = counts.withColumn("mid", mid).withColumns({"w0": F.sum("n").over(run), "s0": F.sum(F.col("n") * F.col("mid")).over(run), "w": F.sum("n").over(whole), "s": F.sum(F.col("n") * F.col("mid")).over(whole)})
     between = F.try_divide(F.pow(F.col("s") * F.col("w0") / F.col("w") - F.col("s0"), F.lit(2)), F.col("w0") * (F.col("w") - F.col("w0")))
     return s.where("w0 < w").withColumn("between", F.round(between, 6)).orderBy(F.desc("between"), "bin").limit(1).select(F.col("mid").alias("threshold"))
-
-
-#: Rows of a block of vectors.
-BLOCK = 2_048
-
-
-def knn_purity(df: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
-    """Mean share of the k nearest other rows (Euclidean, ties by key) with the row's label.
-
-    Exact: every block of rows meets every other, in matrices; each pair of blocks gives k rows at most for each row.
-    """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l"))
-    blocks = max(1, -(-df.count() // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.select("*", block.alias("i"), every.alias("j")), rows.select("*", block.alias("j"), every.alias("i"))
-
-    def near(key_, a, b):
-        out = []
-        y, ids, labels = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1), b["id"].to_numpy(), b["l"].to_numpy()
-        for i, v, mine in zip(a["id"], a["v"], a["l"]):
-            d = np.round(np.square(y - np.asarray(v, dtype=np.float64)).sum(axis=1), 9)
-            others = np.flatnonzero(ids != i)
-            if len(others) > k:
-                kth = np.partition(d[others], k - 1)[k - 1]
-                others = others[d[others] <= kth]
-            first = others[np.lexsort((ids[others], d[others]))][:k]
-            out += [(i, float(d[r]), ids[r], bool(labels[r] == mine)) for r in first]
-        return pd.DataFrame(out, columns=["a", "d", "b", "same"])
-
-    kind = df.schema[key].dataType.simpleString()
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, f"a {kind}, d double, b {kind}, same boolean")
-    best = found.withColumn("rk", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("rk") <= k)
-    return best.agg(F.avg(F.col("same").cast("double")).alias("purity"))

@@ -193,6 +193,80 @@ def iterative_split(df: DataFrame, key: str, labels: str, fraction: float, seed:
     return rows
 
 
+#: Distinct sets of labels that are dealt out on the driver, at most; counts only.
+MOST_SETS = 1_000_000
+
+
+def deal_sets(sets: dict[tuple[str, ...], int], weights: list[int]) -> dict[tuple[str, ...], list[int]]:
+    """How many rows of each set of labels go to each fold, by iterative stratification on counts.
+
+    A fold wants `weight` shares of each label's rows and of all rows. The label with fewest rows left (by name, if as many)
+    is dealt out next, set by set: each row goes to the fold that still wants most of the label, then most rows, then to
+    the first. Rows without labels come last, by wanted rows alone. All of a set's rows are dealt in one step.
+    """
+    whole, folds = sum(weights), range(len(weights))
+    names = sorted({x for labels in sets for x in labels})
+    left = {x: sum(n for labels, n in sets.items() if x in labels) for x in names}
+    want = {x: [left[x] * w for w in weights] for x in names}
+    rows = [sum(sets.values()) * w for w in weights]
+    out = {labels: [0] * len(weights) for labels in sets}
+    holding = {x: sorted(labels for labels in sets if x in labels) for x in names}
+    open_ = set(sets)
+
+    def deal(labels: tuple[str, ...], by: list[int]) -> None:
+        n = sets[labels]
+        taken = [0] * len(weights)
+        # of the row-by-row choice, all those at which a fold wants more than a level that n rows can't lower it to
+        lo, hi = min(by) - whole * (n + 1), max(by)
+        while lo < hi:
+            level = (lo + hi) // 2
+            if sum(max(0, -(-(by[f] - level) // whole)) for f in folds) <= n:
+                hi = level
+            else:
+                lo = level + 1
+        for f in folds:
+            taken[f] = max(0, -(-(by[f] - lo) // whole))
+        now, total = [by[f] - whole * taken[f] for f in folds], [rows[f] - whole * taken[f] for f in folds]
+        for _ in range(n - sum(taken)):
+            f = max(folds, key=lambda f: (now[f], total[f], -f))
+            taken[f], now[f], total[f] = taken[f] + 1, now[f] - whole, total[f] - whole
+        for f in folds:
+            out[labels][f] = taken[f]
+            rows[f] -= whole * taken[f]
+            for x in labels:
+                want[x][f] -= whole * taken[f]
+        for x in labels:
+            left[x] -= n
+        open_.discard(labels)
+
+    while any(left.values()):
+        name = min((x for x in names if left[x]), key=lambda x: (left[x], x))
+        for labels in holding[name]:
+            if labels in open_:
+                deal(labels, list(want[name]))
+    for labels in sorted(open_):
+        deal(labels, list(rows))
+    return out
+
+
+def iterative_folds(df: DataFrame, key: str, labels: str, weights: list[int], seed: int | str) -> DataFrame:
+    """SO10: add fold, from 0, so that every label's rows are shared out by the weights, rare labels first.
+
+    Rows are counted by their set of labels, the counts are dealt out (`deal_sets`), and the rows of each set go to the folds
+    in hash order, in one pass: a set however large stands in many tasks. Null and repeated labels don't count; rows
+    without any are a set of their own. More than MOST_SETS different sets are an error: they'd be names of rows, not classes.
+    """
+    named = F.coalesce(F.array_sort(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
+    rows = df.withColumn("__set", F.to_json(named))
+    counts = rows.groupBy("__set").agg(F.first(named).alias("names"), F.count("*").alias("n")).limit(MOST_SETS + 1).collect()
+    if len(counts) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} different sets of labels")
+    dealt = deal_sets({tuple(r["names"]): r["n"] for r in counts}, weights)
+    ends = [(r["__set"], np.cumsum(dealt[tuple(r["names"])]).tolist()) for r in counts]
+    placed = ranked(rows, "__set", key, seed).join(df.sparkSession.createDataFrame(ends, "__set string, __ends array<long>"), "__set")
+    return placed.withColumn("fold", F.size(F.filter("__ends", lambda e: e < F.col("__rn")))).select(*df.columns, "fold")
+
+
 def logistic_probe(vectors: DataFrame, vector: str, label: str, fold: str, held: int) -> DataFrame:
     """ML1, ML3: predictions on one fold of a balanced multinomial logistic regression fitted on the others."""
     from pyspark.ml import Pipeline

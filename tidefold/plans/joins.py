@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import dedup, intervals
+from ..operators import containment, dedup, intervals
 from ..operators.frames import running_totals
 from .registry import register
 from .views import ANN, EV, WIN, annotations, events, table, windows
@@ -179,6 +179,13 @@ def contains_join(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(hits).alias("word")).distinct()
 
 
+@register("pattern_join", "SELECT doc_id, i.pattern FROM documents JOIN (SELECT DISTINCT substr(text, 1, 30) AS pattern FROM benchmark) i ON contains(text, i.pattern)")
+def pattern_join(spark, d):
+    """JN11 against a table of patterns: documents that hold how a benchmark item begins."""
+    patterns = table(spark, d, "benchmark").select(F.substring("text", 1, 30).alias("pattern"))
+    return containment.containing(table(spark, d, "documents"), "doc_id", "text", patterns, "pattern").select("doc_id", "pattern")
+
+
 @register("channel_default", "SELECT p_partkey, coalesce(CASE WHEN contains(p_name, 'red') THEN 1 WHEN contains(p_name, 'blue') THEN 2 WHEN contains(p_name, 'ring') THEN 3 END, 0) AS channel FROM part")
 def channel_default(spark, d):
     """JN14: channel of the first table entry that the name contains, else 0."""

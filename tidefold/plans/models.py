@@ -79,6 +79,31 @@ def iterative_split(spark, d):
     return models.iterative_split(_labels(spark, d), "doc_id", "labels", 0.2, 3).select("doc_id", "is_valid")
 
 
+_SHARE = ", ".join(f"{w} * (SELECT count(*) FROM l WHERE {{0}}) AS {{1}}{f}" for f, w in enumerate((3, 1, 1)))
+
+
+def _choice(by: str) -> str:
+    """The fold that wants most, then most rows, then the first, as SQL over the wants by0 ... and n0 ..."""
+    beats = lambda f, g: f"({by}{f} > {by}{g} OR ({by}{f} = {by}{g} AND (n{f} > n{g} OR (n{f} = n{g} AND {f} < {g}))))"
+    return f"CASE WHEN {beats(0, 1)} AND {beats(0, 2)} THEN 0 WHEN {beats(1, 2)} THEN 1 ELSE 2 END"
+
+
+_FEWER = "((SELECT count(*) FROM l WHERE t) < (SELECT count(*) FROM l WHERE q))"
+
+
+@register("iterative_folds", f"""WITH RECURSIVE l AS (SELECT doc_id, quality = 1 AS q, toxic = 1 AS t, md5('7:' || doc_id) AS h FROM labels),
+o AS (SELECT doc_id, q, t, CASE WHEN q OR t THEN CASE WHEN {_FEWER} THEN CASE WHEN t THEN 't' ELSE 'q' END ELSE CASE WHEN q THEN 'q' ELSE 't' END END ELSE '-' END AS step, h FROM l),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN step = '-' THEN 2 WHEN (step = 't') = {_FEWER} THEN 0 ELSE 1 END, CASE WHEN q AND t THEN 1 WHEN q THEN 0 ELSE 2 END, h, doc_id) AS rn FROM o),
+f AS (SELECT 0::BIGINT AS rn, -1 AS fold, {_SHARE.format('q', 'q')}, {_SHARE.format('t', 't')}, {_SHARE.format('true', 'n')}
+UNION ALL SELECT rn, fold, {", ".join([f"q{k} - CASE WHEN q AND fold = {k} THEN 5 ELSE 0 END" for k in range(3)] + [f"t{k} - CASE WHEN t AND fold = {k} THEN 5 ELSE 0 END" for k in range(3)] + [f"n{k} - CASE WHEN fold = {k} THEN 5 ELSE 0 END" for k in range(3)])}
+FROM (SELECT r.rn, r.q, r.t, CASE r.step WHEN 'q' THEN {_choice("q")} WHEN 't' THEN {_choice("t")} ELSE {_choice("n")} END AS fold, q0, q1, q2, t0, t1, t2, n0, n1, n2 FROM f JOIN r ON r.rn = f.rn + 1)),
+s AS (SELECT q, t, fold, count(*) AS n FROM r JOIN f USING (rn) GROUP BY ALL), e AS (SELECT q, t, fold, sum(n) OVER (PARTITION BY q, t ORDER BY fold) AS upto FROM s)
+SELECT doc_id, min(fold) AS fold FROM (SELECT doc_id, q, t, row_number() OVER (PARTITION BY q, t ORDER BY h, doc_id) AS rk FROM l) JOIN e USING (q, t) WHERE rk <= upto GROUP BY doc_id""")
+def iterative_folds(spark, d):
+    """SO10: three folds of 3, 1 and 1 shares, the label with fewest rows left first."""
+    return models.iterative_folds(_labels(spark, d), "doc_id", "labels", [3, 1, 1], 7).select("doc_id", "fold")
+
+
 @register("few_shot", " UNION ALL ".join(f"SELECT * FROM ({_COMBO.format(seed=9)} SELECT {f} AS fraction, doc_id FROM r WHERE rn <= round_even(n * {f}, 0))" for f in ("0.01::DOUBLE", "0.1::DOUBLE", "0.25::DOUBLE", "0.5::DOUBLE", "0.75::DOUBLE")))
 def few_shot(spark, d):
     """SO10: nested training shares, each stratified."""

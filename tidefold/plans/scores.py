@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import metrics
+from ..operators import metrics, neighbours
 from .registry import register
 from .views import EV, table
 
@@ -155,7 +155,15 @@ def correlation(spark, d):
 r AS (SELECT same, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rk FROM p) SELECT round(avg(same::INT), 6) AS purity FROM r WHERE rk <= 10""")
 def knn_purity(spark, d):
     """JN16."""
-    return metrics.knn_purity(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 10).withColumn("purity", F.round("purity", 6))
+    return neighbours.knn_purity(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 10).withColumn("purity", F.round("purity", 6))
+
+
+@register("knn_join", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, round(list_sum([(a.e[i] - b.e[i]) * (a.e[i] - b.e[i]) for i in range(1, 65)]), 9) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rank FROM p) SELECT vec_id, rank, other, round(d, 6) AS d FROM r WHERE rank <= 3""")
+def knn_join(spark, d):
+    """JN16: the three nearest other rows of every row."""
+    near = neighbours.nearest_rows(table(spark, d, "embeddings"), "vec_id", "embedding", 3)
+    return near.select(F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "other", F.round("d", 6).alias("d"))
 
 
 @register("cluster_nmi", """WITH p AS (SELECT label AS a, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1) AS b FROM embeddings), t AS (SELECT count(*)::DOUBLE AS n FROM p), ab AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), ca AS (SELECT a, count(*) AS n FROM p GROUP BY 1), cb AS (SELECT b, count(*) AS n FROM p GROUP BY 1),
