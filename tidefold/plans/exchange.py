@@ -14,7 +14,7 @@ from ..operators import annotations, audio, dedup, nested
 from ..operators.scratch import folder
 from ..sources import files, settings, sinks
 from ..sources.storage import write_bytes
-from ..streaming import watch
+from ..streaming import state, watch
 from .registry import register
 from .views import table
 
@@ -371,41 +371,34 @@ def _folder_of_batches(spark, d, name: str, **columns: Column) -> tuple[str, str
 @register("watched_folder", "SELECT event_id, event_type FROM events")
 def watched_folder(spark, d):
     """ST1, ST5: each file of a watched folder once, over two runs, appended."""
-    src, out, state = _folder_of_batches(spark, d, "watched", event_id=F.col("event_id"), event_type=F.col("event_type"))
+    src, out, kept = _folder_of_batches(spark, d, "watched", event_id=F.col("event_id"), event_type=F.col("event_type"))
     for _ in range(2):
-        watch.drain(watch.watch(spark, src, "event_id bigint, event_type string"), watch.append_to(out), state)
+        watch.drain(watch.watch(spark, src, "event_id bigint, event_type string"), watch.append_to(out), kept)
     return spark.read.schema("event_id bigint, event_type string").json(f"{out}/batch=*")
 
 
 @register("best_so_far", "WITH b AS (SELECT event_type AS task, max(value) AS score FROM events GROUP BY 1) SELECT task, score, (SELECT CASE WHEN count(*) = 2 THEN sum(score * CASE task WHEN 'error' THEN 1 ELSE 3 END) / 4 END FROM b WHERE task IN ('error', 'click')) AS composite FROM b")
 def best_so_far(spark, d):
     """ST2: the best score of each task over batches, and the composite of two tasks."""
-    src, out, state = _folder_of_batches(spark, d, "best", task=F.col("event_type"), step=F.col("event_id"), score=F.col("value"))
-    batches: list[int] = []
-    keep = watch.best_sink(out)
-
-    def sink(batch, number):
-        keep(batch, number)
-        batches.append(number)
-
-    watch.drain(watch.watch(spark, src, "task string, step bigint, score double", per_trigger=1), sink, state)
-    best = spark.read.parquet(f"{out}/state={max(batches)}").select("task", "score")
+    src, out, kept = _folder_of_batches(spark, d, "best", task=F.col("event_type"), step=F.col("event_id"), score=F.col("value"))
+    state.drain_updates(state.best_so_far(watch.watch(spark, src, "task string, step bigint, score double", per_trigger=1)), out, kept)
+    best = state.latest(spark, out, "task").select("task", "score")
     return best.crossJoin(F.broadcast(watch.composite(best, {"error": 1.0, "click": 3.0})))  # one row
 
 
 @register("idle_stop", "SELECT count(*) AS n FROM events")
 def idle_stop(spark, d):
     """ST3: polls until nothing comes any more."""
-    src, out, state = _folder_of_batches(spark, d, "idle", event_id=F.col("event_id"))
-    watch.run_until_idle(watch.watch(spark, src, "event_id bigint"), watch.append_to(out), state, empty_polls=2, poll_s=0.0)
+    src, out, kept = _folder_of_batches(spark, d, "idle", event_id=F.col("event_id"))
+    watch.run_until_idle(watch.watch(spark, src, "event_id bigint"), watch.append_to(out), kept, empty_polls=2, poll_s=0.0)
     return spark.read.schema("event_id bigint").json(f"{out}/batch=*").agg(F.count("*").alias("n"))
 
 
 @register("only_new_rows", "SELECT DISTINCT user_id FROM events")
 def only_new_rows(spark, d):
     """ST4: of each key the first row over all batches."""
-    src, out, state = _folder_of_batches(spark, d, "new", user_id=F.col("user_id"))
-    watch.drain(watch.watch(spark, src, "user_id bigint", per_trigger=1), watch.new_sink(out, "user_id"), state)
+    src, out, kept = _folder_of_batches(spark, d, "new", user_id=F.col("user_id"))
+    state.drain_updates(state.unseen(watch.watch(spark, src, "user_id bigint", per_trigger=1), "user_id"), out, kept)
     return spark.read.parquet(out).select("user_id")
 
 

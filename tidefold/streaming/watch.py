@@ -1,4 +1,4 @@
-"""Streams: a watched folder, only-new ingest, the best value so far, appended manifests."""
+"""Streams: a watched folder, appended manifests, idle stop, calls side by side. Keyed state is in `state`."""
 
 from __future__ import annotations
 
@@ -28,54 +28,12 @@ def append_to(path: str):
     return sink
 
 
-def best_sink(path: str):
-    """ST2: a sink that keeps the best score of each task; only a strictly larger one replaces it.
-
-    State is one row a task, in a folder for each batch, so a batch that is run again gives the same state.
-    """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("task").agg(F.max("score").alias("score"), F.max_by("step", F.struct(F.col("score"), -F.col("step"))).alias("step"))
-        if number > 0:
-            old = spark.read.parquet(f"{path}/state={number - 1}")
-            both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
-            new = both.groupBy("task").agg(F.max("score").alias("score"), F.max_by("step", F.struct(F.col("score"), -F.col("age"))).alias("step"))
-        new.select("task", "score", "step").write.mode("overwrite").parquet(f"{path}/state={number}")
-
-    return sink
-
-
 def composite(best: DataFrame, weights: dict[str, float]) -> DataFrame:
     """ST2: one row, the weighted mean of the best scores of all named tasks; null where one is missing."""
     named = best.where(F.col("task").isin(*weights)).groupBy().agg(F.count("*").alias("n"), F.sum(F.col("score") * F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("task")]).alias("s"))
     return named.select(F.when(F.col("n") == len(weights), F.col("s") / sum(weights.values())).alias("composite"))
 
 
-def only_new(stream: DataFrame, key: str, within: tuple[str, str] | None = None) -> DataFrame:
-    """ST4: rows of a stream whose key was not seen before.
-
-    The state holds every key; `within` (a time column and a span) lets keys be forgotten once they are that old. For keys
-    without a bound in time, `new_sink` keeps them in a table instead of the state.
-    """
-    if within:
-        return stream.withWatermark(*within).dropDuplicatesWithinWatermark([key])
-    return stream.dropDuplicates([key])
-
-
-def new_sink(path: str, key: str):
-    """ST4: a sink that appends the rows whose key no earlier batch had, one of each key; the table itself is the memory."""
-
-    def sink(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if number > 0:
-            old = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
-            fresh = fresh.join(old.select(key), key, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return sink
-
-
 def run_until_idle(stream: DataFrame, sink, checkpoint: str, empty_polls: int = 3, poll_s: float = 10.0, sleep=None) -> int:
     """ST3: poll the source until `empty_polls` polls in a row bring nothing, then stop; the number of batches run."""
     import time
