@@ -83,8 +83,14 @@ FORMATTED = "conv_id long, formatted binary, loss_starts array<long>, loss_ends
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.binary()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 
 
+#: Bytes that a value of a row can have.
+LARGEST = 2**31 - 1
+
+
 def _rows(keys: list, buffer: np.ndarray, cuts: np.ndarray, marks: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
     """Conversations that stand one after another in a buffer: the buffer itself becomes the Arrow column."""
+    if cuts[-1] > LARGEST:
+        raise ValueError(f"a conversation takes {cuts[-1]} bytes; a row holds {LARGEST} at most")
     formatted = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(buffer)])
     return pa.record_batch([pa.array(keys, pa.int64()), formatted, *[pa.array([m[k] for m in marks], SCHEMA.field("loss_starts").type) for k in (0, 1)]], schema=SCHEMA)
 
@@ -138,7 +144,8 @@ def _format(batches):
 def format_conversations(turns: DataFrame) -> DataFrame:
     """A row for each conversation: `conv_id`, its bytes `formatted`, `loss_starts` and `loss_ends` in bytes.
 
-    Input columns conv_id, turn, role, text; others are ignored. A text is assembled whole, however long. Rows stand by turn, null turns first, ties by role and
+    Input columns conv_id, turn, role, text; others are ignored. A text is assembled whole, however long; a conversation of
+    over 2 GiB, more than a row can hold, is an error. Rows stand by turn, null turns first, ties by role and
     text; repeated rows stay. A null text or role counts as empty; rows with a null conv_id form one conversation with a
     null id. An empty table gives no rows. The loss mask covers assistant contents, still escaped.
     """

@@ -229,6 +229,19 @@ def _linked(cosine: float, seeds: tuple[int, int]):
     return run
 
 
+def _digests() -> dict:
+    """What tells unequal vectors apart: 128 bits."""
+    return {"d1": F.xxhash64("vector"), "d2": F.xxhash64("vector", F.lit(1))}
+
+
+def _named(nodes: DataFrame) -> DataFrame:
+    """Nodes with a name of 64 bits: the first half of their digest, or a hash of both halves where another node has that half too."""
+    shared = nodes.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return nodes.withColumn("node", F.col("d1"))
+    return nodes.join(shared, "d1", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("d1", "d2")).otherwise(F.col("d1"))).drop("shared")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """A row for each row of `vectors`: key, n_links (other rows linked directly), component (its smallest key), kept.
 
@@ -241,10 +254,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).cast("long").alias("key"), sound.alias("sound"), v.alias("vector"))
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumn("node", F.when(F.col("sound"), F.xxhash64("vector")))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumns(_digests())
     with scratch(spark), small_batches(spark):
-        nodes = rows.where("sound").groupBy("node").agg(F.count("*").alias("weight"), F.min("key").alias("smallest"), F.first("vector").alias("vector"))
-        nodes = materialize(nodes, "nodes")
+        nodes = rows.where("sound").groupBy("d1", "d2").agg(F.count("*").alias("weight"), F.min("key").alias("smallest"), F.first("vector").alias("vector"))
+        nodes = materialize(_named(materialize(nodes, "vectors")), "nodes")
         count = nodes.count()
         plan = seed_groups(count, cosine)
         seeds = nodes.select("node", "weight", "vector").mapInPandas(_seeds(plan), "key long, node long, weight long, wide boolean, raw binary")
@@ -263,12 +276,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
         discard(crowded)
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
         roots = components(found.where("node <> other"), "node", "other").withColumnRenamed("component", "root")
-        labelled = nodes.select("node", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = nodes.select("node", "d1", "d2", "weight", "smallest").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = labelled.groupBy("root").agg(F.min("smallest").alias("component"))
-        labels = labelled.join(first, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component", F.col("weight").alias("n"))
-        named = rows.select("key", "node")
-        joined = join_facts(named.where("node is not null"), materialize(labels, "labels"), ["node"], named.count()).select("key", F.col("n_links").cast("long").alias("n_links"), "component")
-        alone = named.where("node is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+        labels = labelled.join(first, "root").select("d1", "d2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component", F.col("weight").alias("n"))
+        named = rows.select("key", "sound", "d1", "d2")
+        joined = join_facts(named.where("sound").drop("sound"), materialize(labels, "labels"), ["d1", "d2"], named.count()).select("key", F.col("n_links").cast("long").alias("n_links"), "component")
+        alone = named.where("not sound").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
         out = joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(False)))
         return materialize(out, "groups", keep=True)
 

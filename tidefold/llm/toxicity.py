@@ -144,11 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
         return _learnt(docs, labels, sample_rows, least_docs)
 
 
+def _least_hashes(sample_rows: int, total: int) -> int:
+    """Up to which of 2 ** 63 hashes a row is in the sample, however small its share is."""
+    return min(2**63 - 1, sample_rows * 2**63 // max(total, 1))
+
+
 def _learnt(docs: DataFrame, labels: DataFrame, sample_rows: int, least_docs: int) -> Lexicon:
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     total = marked.count()
-    share = min(1.0, sample_rows / total) if total else 1.0
-    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).dropDuplicates(["doc_id"]).limit(2 * sample_rows)
+    picked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= _least_hashes(sample_rows, total)).dropDuplicates(["doc_id"]).limit(2 * sample_rows)
     rows = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
     sizes = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(True, 0), sizes.get(False, 0)
