@@ -95,14 +95,6 @@ def test_files_are_whole_or_not_there(tmp_path):
     assert storage.names(str(tmp_path / "d")) == ["f.bin"] and storage.open_input(at).read() == b"three"
 
 
-def test_replaced_table(spark, tmp_path):
-    at = str(tmp_path / "t")
-    assert sinks.replace_table(spark.range(3), at) == 3 and sinks.replace_table(spark.range(5), at) == 5
-    with pytest.raises(ValueError):
-        sinks.replace_table(spark.range(0), at, least_rows=1)
-    assert spark.read.parquet(at).count() == 5 and storage.names(str(tmp_path)) == []
-
-
 def test_pages_follow_tokens_and_fall_back():
     assert files.next_token('{"items": [], "nextPageToken": "x"}') == "x" and files.next_token("{}") == ""
     xml = "<R xmlns='u'><IsTruncated>true</IsTruncated><Contents><Key>k1</Key><Size>1</Size></Contents></R>"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, scalars
 from ..operators import annotations, audio, dedup, nested
 from ..operators.scratch import folder
-from ..sources import files, settings, sinks
+from ..sources import files, settings, sinks, snapshots
 from ..sources.storage import write_bytes
 from ..streaming import state, watch
 from .registry import register
@@ -313,13 +313,13 @@ def routed_folders(spark, d):
 def replaced_table(spark, d):
     """SNK7: a table replaced as a whole; a replacement that is too small leaves it."""
     at, docs = _new(spark, "table"), table(spark, d, "documents")
-    sinks.replace_table(docs.select("doc_id", F.col("n_chars").alias("n")), at)
-    sinks.replace_table(docs.select("doc_id", (F.col("n_chars") * 2).alias("n")), at, least_rows=1)
+    snapshots.write_snapshot(docs.select("doc_id", F.col("n_chars").alias("n")), at)
+    snapshots.write_snapshot(docs.select("doc_id", (F.col("n_chars") * 2).alias("n")), at, least_rows=1)
     try:
-        sinks.replace_table(docs.limit(0).select("doc_id", F.col("n_chars").alias("n")), at, least_rows=1)
+        snapshots.write_snapshot(docs.limit(0).select("doc_id", F.col("n_chars").alias("n")), at, least_rows=1)
     except ValueError:
         pass  # as it should
-    return spark.read.parquet(at)
+    return snapshots.read_snapshot(spark, at)
 
 
 @register("sharded_folders", "SELECT doc_id, 'shard_' || lpad(((row_number() OVER (ORDER BY doc_id) - 1) // 64)::VARCHAR, 6, '0') AS shard FROM documents")
@@ -332,9 +332,12 @@ def sharded_folders(spark, d):
 
 @register("registry_upsert", "SELECT c_custkey AS tag, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS score FROM customer")
 def registry_upsert(spark, d):
-    """SNK13: new rows replace those of their key."""
+    """SNK13: new rows replace those of their key, in the ranges of keys that they touch."""
+    at = _new(spark, "registry")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("tag"), F.col("c_acctbal").alias("score"))
-    return sinks.upsert(c, c.where("tag % 3 = 0").withColumn("score", F.col("score") + 1), "tag")
+    snapshots.write_snapshot(c, at, "tag", ranges=4)
+    snapshots.upsert_snapshot(c.where("tag % 3 = 0").withColumn("score", F.col("score") + 1), at, "tag")
+    return snapshots.read_snapshot(spark, at)
 
 
 @register("model_bundle", "SELECT label::BIGINT AS label, count(*) AS n FROM embeddings GROUP BY 1")

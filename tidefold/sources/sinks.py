@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import re
-import uuid
 import wave
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.frames import running_totals
+from .commit import files_of, write_files
 from .files import LABEL_ARRAYS
 from .settings import dump_yaml, read_settings
 from .storage import write_bytes
@@ -37,19 +38,19 @@ def selection_tables(events: DataFrame, files: DataFrame, path: str) -> None:
     rows = files.select("fn").distinct().join(events.select("fn", "start_s", "end_s", "label"), "fn", "left")
     head = "Begin Time (s)\tEnd Time (s)\tAnnotation\n"
 
-    def save(rows):
+    def make(rows):
         name, lines = None, []
-        for r in rows:
-            if name is not None and r["fn"] != name:
-                write_bytes(f"{path}/{safe_name(name)}.txt", (head + "".join(lines)).encode())
+        for fn, start, end, label in rows:
+            if name is not None and fn != name:
+                yield f"{safe_name(name)}.txt", (head + "".join(lines)).encode()
                 lines = []
-            name = r["fn"]
-            if r["start_s"] is not None:
-                lines.append(f"{r['start_s']}\t{r['end_s']}\t{r['label']}\n")
+            name = fn
+            if start is not None and not math.isnan(start):
+                lines.append(f"{start}\t{end}\t{label}\n")
         if name is not None:
-            write_bytes(f"{path}/{safe_name(name)}.txt", (head + "".join(lines)).encode())
+            yield f"{safe_name(name)}.txt", (head + "".join(lines)).encode()
 
-    rows.repartition("fn").sortWithinPartitions("fn", "start_s", "end_s", "label").foreachPartition(save)
+    write_files(files_of(rows.where("fn is not null").repartition("fn"), make, ["fn", "start_s", "end_s", "label"]), path)
 
 
 def safe_name(name: str) -> str:
@@ -95,28 +96,23 @@ def write_npy(df: DataFrame, path: str, index: str = "row_index", vector: str =
     With `name` one file for each row, called by it. An empty table gives one file of no rows.
     """
     if name is not None:
-
-        def each(rows):
-            for r in rows:
-                write_bytes(f"{path}/{safe_name(r[1])}.npy", _npy(r[0]))
-
-        df.select(vector, name.cast("string")).foreachPartition(each)
+        write_files(files_of(df.select(vector, name.cast("string")), lambda rows: ((f"{safe_name(n)}.npy", _npy(list(v))) for v, n in rows), []), path)
         return
 
-    def save(rows):
+    def make(rows):
         first, data = None, []
-        for r in rows:
-            first = r[0] if first is None else first
-            data.append(r[1])
+        for at, v in rows:
+            first = at if first is None else first
+            data.append(v)
             if len(data) == rows_each:
-                write_bytes(f"{path}/part-{first:012d}.npy", _npy(data))
+                yield f"part-{first:012d}.npy", _npy(data)
                 first, data = None, []
         if data:
-            write_bytes(f"{path}/part-{first:012d}.npy", _npy(data))
+            yield f"part-{first:012d}.npy", _npy(data)
 
     if df.isEmpty():
-        write_bytes(f"{path}/part-{0:012d}.npy", _npy([]))
-    df.select(index, vector).repartitionByRange(index).sortWithinPartitions(index).foreachPartition(save)
+        write_files(df.sparkSession.createDataFrame([(f"part-{0:012d}.npy", _npy([]))], "name string, content binary"), path)
+    write_files(files_of(df.select(index, vector).repartitionByRange(index), make, [index]), path)
 
 
 def wav_bytes(samples, rate: int) -> bytes:
@@ -132,12 +128,7 @@ def wav_bytes(samples, rate: int) -> bytes:
 
 def write_wav(df: DataFrame, path: str, name: str = "name", samples: str = "samples", rate: int = 16_000) -> None:
     """SNK11: a 16-bit mono WAV file for each row, in folders as its name says."""
-
-    def save(rows):
-        for r in rows:
-            write_bytes(f"{path}/{r[0]}.wav", wav_bytes(r[1], rate))
-
-    df.select(name, samples).foreachPartition(save)
+    write_files(files_of(df.select(F.col(name).cast("string"), samples), lambda rows: ((f"{n}.wav", wav_bytes(x, rate)) for n, x in rows), []), path)
 
 
 def empty_labels(clips: DataFrame) -> DataFrame:
@@ -162,32 +153,6 @@ def write_labels(events: DataFrame, clips: DataFrame, path: str, rate: int, cate
     rows.select("clip", *[F.transform("e", parts[c]).cast(t).alias(c) for c, t in LABEL_ARRAYS.items()]).write.mode("overwrite").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str, least_rows: int = 0) -> int:
-    """SNK7: a Parquet table that is replaced as a whole: written beside its place, counted, then moved there; its rows.
-
-    Readers see the old table or the new one but for the moment between two renames. A result of under `least_rows` raises
-    and leaves the old table.
-    """
-    spark = df.sparkSession
-    part, old = f"{path}.{uuid.uuid4().hex}.part", f"{path}.{uuid.uuid4().hex}.old"
-    where = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, part, old)}
-    system = where[path].getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        df.write.parquet(part)
-        rows = spark.read.schema(df.schema).parquet(part).count()
-        if rows < least_rows:
-            raise ValueError(f"{rows} rows instead of {least_rows} at least")
-        if system.exists(where[path]):
-            system.rename(where[path], where[old])
-        if not system.rename(where[part], where[path]):
-            system.rename(where[old], where[path])
-            raise OSError(f"{part} can't be moved to {path}")
-        return rows
-    finally:
-        system.delete(where[part], True)
-        system.delete(where[old], True)
-
-
 def save_bundle(model, labels: list[str], path: str) -> None:
     """SNK15: a fitted pipeline with its label names."""
     model.write().overwrite().save(f"{path}/model")
@@ -219,10 +184,9 @@ def write_arrow(df: DataFrame, path: str) -> None:
             with pa.ipc.new_file(out, held[0].schema) as w:
                 for b in held:
                     w.write_batch(b)
-            write_bytes(f"{path}/part-{TaskContext.get().partitionId():05d}.arrow", out.getvalue())
-        yield pa.record_batch({"rows": pa.array([sum(b.num_rows for b in held)], pa.int64())})
+            yield pa.record_batch({"name": [f"part-{TaskContext.get().partitionId():05d}.arrow"], "content": pa.array([out.getvalue()], pa.binary())})
 
-    df.mapInArrow(save, "rows long").agg(F.sum("rows")).collect()
+    write_files(df.mapInArrow(save, "name string, content binary"), path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
