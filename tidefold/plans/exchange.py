@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, scalars
 from ..operators import annotations, audio, dedup, nested
 from ..operators.scratch import folder
-from ..sources import files, settings, sinks, snapshots
+from ..sources import commit, files, settings, sinks, snapshots
 from ..sources.storage import write_bytes
 from ..streaming import state, watch
 from .registry import register
@@ -251,32 +251,40 @@ def _archive(params: dict):
     return [(f"{params['deviceCode']}-{params['ext']}-{i}", i) for i in range(int(params["n"]))]
 
 
-@register("archive_files", "SELECT * FROM (VALUES ('a', 'D1-wav-0', 0::BIGINT), ('a', 'D1-wav-1', 1), ('b', 'D2-mp3-0', 0)) t(target, file, size)")
+@register("archive_files", "SELECT s_name AS target, 'D' || s_suppkey || '-' || CASE WHEN s_nationkey % 2 = 0 THEN 'mp3' ELSE 'wav' END || '-' || i AS file, i AS size FROM (SELECT *, unnest(range(0, CASE WHEN s_nationkey % 3 = 0 THEN 2 ELSE 1 END)) AS i FROM supplier)")
 def archive_files(spark, d):
-    """SRC22: layered request parameters and what the archive lists for each."""
-    targets = [{"name": "a", "core": {"deviceCode": "D1"}, "extra": {"n": 2}}, {"name": "b", "core": {"deviceCode": "D2"}, "extra": {"ext": "mp3"}}]
-    requests = files.archive_requests(spark, targets, {"ext": "flac", "n": 1}, {"ext": "wav", "site": None}, token="t")
+    """SRC22: layered request parameters for each supplier, and what the archive lists for each."""
+    core = F.create_map(F.lit("deviceCode"), F.concat(F.lit("D"), F.col("s_suppkey").cast("string")))
+    key = F.col("s_nationkey")
+    extra = F.map_filter(F.create_map(F.lit("ext"), F.when(key % 2 == 0, "mp3"), F.lit("n"), F.when(key % 3 == 0, "2")), lambda k, v: v.isNotNull())
+    targets = table(spark, d, "supplier").select(F.col("s_name").alias("target"), core.alias("core"), extra.alias("extra"))
+    requests = files.archive_request_table(targets, {"ext": "flac", "n": 1}, {"ext": "wav", "site": None}, token="t")
     return files.fetch_archives(requests, _archive)
 
 
-@register("settings_scan", "SELECT * FROM (VALUES ('labels', '[\"a\",\"b c\"]'), ('paths.train', '\"t.csv\"'), ('paths.n', '3'), ('paths.deep.on', 'true'), ('rate', '0.5')) t(path, value)")
+@register("settings_scan", """WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.yaml' ELSE '.json' END AS name, s_name, s_nationkey FROM supplier)
+SELECT name, 'labels' AS path, '["' || s_name || '","b, c"]' AS value FROM s UNION ALL SELECT name, 'paths.train', '"t' || k || '.csv"' FROM s
+UNION ALL SELECT name, 'paths.n', s_nationkey::VARCHAR FROM s UNION ALL SELECT name, 'paths.deep.on', CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END FROM s""")
 def settings_scan(spark, d):
-    """SRC23, SNK18, SF31: a YAML file written and read, without the keys that the defaults don't know."""
-    at = _new(spark, "config.yaml")
-    given = {"labels": ["a", "b c"], "paths": {"train": "t.csv", "n": 3, "deep": {"on": True, "odd": 1}}, "rate": 0.5, "unknown": {"x": 1}}
-    sinks.write_yaml(given, at)
-    known = settings.keep_known(settings.read_settings(at), {"labels": [], "paths": {"train": "", "n": 0, "deep": {"on": False}}, "rate": 1.0})
+    """SRC23, SNK18, SF31: a settings file for each supplier, YAML or JSON, written and read by tasks, without the keys that the defaults don't know."""
+    at = _new(spark, "settings")
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
-    def flat(value, path=()):
-        return [row for k, v in value.items() for row in flat(v, (*path, k))] if isinstance(value, dict) else [(".".join(path), json.dumps(value, separators=(",", ":")))]
+    def make(rows):
+        for k, name, n in rows:
+            value = {"labels": [name, "b, c"], "paths": {"train": f"t{k}.csv", "n": int(n), "deep": {"on": bool(k % 3 == 0), "odd": 1}}, "unknown": {"x": 1}}
+            yield (f"s{k}.yaml", settings.dump_yaml(value).encode()) if k % 2 == 0 else (f"s{k}.json", json.dumps(value).encode())
 
-    return spark.createDataFrame(flat(known) + flat(settings.read_settings(_new(spark, "none.yaml"), {})), "path string, value string")
+    commit.write_files(commit.files_of(rows, make, []), at)
+    return settings.scan_settings(spark, at, {"labels": [], "paths": {"train": "", "n": 0, "deep": {"on": False}}})
 
 
-@register("source_list", "SELECT * FROM (VALUES (0, 'b', 'p/'), (1, 'c', '')) t(pos, bucket, prefix)")
+@register("source_list", "SELECT min(p_partkey) AS pos, p_brand AS bucket, lower(p_type) || '/' AS prefix FROM part GROUP BY 2, 3")
 def source_list(spark, d):
-    """SRC24: configured sources, distinct in order."""
-    return files.configured_sources(spark, None, [{"bucket": "b/", "prefix": "/p"}, {"bucket": "b", "prefix": "p/"}, {"bucket": "c"}])
+    """SRC24: sources of a table, written in several ways, distinct at their first place."""
+    slash = lambda c, n: F.concat(F.when(F.col("p_partkey") % n == 0, "/").otherwise(""), c, F.when(F.col("p_partkey") % 2 == 0, "/").otherwise(""))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), slash(F.col("p_brand"), 3).alias("bucket"), slash(F.lower("p_type"), 5).alias("prefix"))
+    return files.source_table(rows)
 
 
 @register("selection_tables", "SELECT user_id::VARCHAR AS fn, value AS start_s, value + 1 AS end_s, event_type AS label FROM events WHERE event_type = 'error' UNION ALL SELECT DISTINCT 'empty', NULL::DOUBLE, NULL::DOUBLE, NULL FROM events")

@@ -378,6 +378,13 @@ def configured_sources(spark: SparkSession, given: list[dict] | None, defaults:
     return spark.createDataFrame([(i, *k) for i, k in enumerate(kept)], "pos int, bucket string, prefix string")
 
 
+def source_table(sources: DataFrame, pos: str = "pos", bucket: str = "bucket", prefix: str = "prefix") -> DataFrame:
+    """SRC24 from a table: (pos, bucket, prefix) with slashes normalised, each pair once, at its first place. A null prefix is none."""
+    plain = F.btrim(F.coalesce(prefix, F.lit("")), F.lit("/"))
+    rows = sources.select(F.col(pos).alias("pos"), F.btrim(bucket, F.lit("/")).alias("bucket"), F.when(plain != "", F.concat(plain, F.lit("/"))).otherwise("").alias("prefix"))
+    return rows.groupBy("bucket", "prefix").agg(F.min("pos").alias("pos")).select("pos", "bucket", "prefix")
+
+
 def saved_pages(options: dict) -> Callable[[str, str, str, str], str]:
     """Pages from a folder: `bucket-prefix-kind-token`, or without the kind; the first page's token is 0."""
     folder = options["pages"]
@@ -541,6 +548,16 @@ def archive_requests(spark: SparkSession, targets: list[dict], defaults: dict, s
     return spark.createDataFrame(rows, "target string, params map<string,string>")
 
 
+def archive_request_table(targets: DataFrame, defaults: dict, shared: dict, token: str) -> DataFrame:
+    """SRC22 from a table of (target, core, extra), the latter two maps of strings: (target, params) as `archive_requests` layers them."""
+    layer = lambda under, over: F.map_zip_with(under, over, lambda k, x, y: F.coalesce(y, x))
+    fixed = archive_params(defaults, shared, {}, {})
+    base = F.create_map(*[F.lit(str(x)) for kv in fixed.items() for x in kv]) if fixed else F.create_map().cast("map<string,string>")
+    some = lambda c: F.coalesce(c, F.create_map().cast("map<string,string>"))
+    params = layer(layer(base, some("extra")), layer(some("core"), F.create_map(F.lit("token"), F.lit(token))))
+    return targets.select("target", F.map_filter(params, lambda k, v: v.isNotNull()).alias("params"))
+
+
 def fetch_archives(requests: DataFrame, fetch: Callable[[dict], Iterable[tuple[str, int]]]) -> DataFrame:
     """SRC22: (target, file, size) of what `fetch` lists for each request, with retries; tasks fetch side by side."""
 

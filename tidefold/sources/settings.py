@@ -1,88 +1,38 @@
-"""Result and configuration files: JSON, and the part of YAML that such files use (nested maps, lists of scalars, scalars)."""
+"""Result and configuration files, JSON or YAML, one by one or a folder of them over all tasks."""
 
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Iterator
+
+import yaml
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .storage import open_input
 
-_NUMBER = re.compile(r"[-+]?(\d+|\d+\.\d*([eE][-+]?\d+)?|\.\d+|\d+[eE][-+]?\d+)")
-_WORDS = {"true": True, "false": False, "null": None, "~": None, "": None}
 
+class _Unique(yaml.SafeLoader):
+    """YAML's plain values; a key that comes twice is an error."""
 
-def _scalar(text: str):
-    t = text.strip()
-    if t[:1] in ("'", '"') and t[-1:] == t[:1] and len(t) > 1:
-        return t[1:-1] if t[0] == "'" else json.loads(t)
-    if t[:1] == "[" and t[-1:] == "]":
-        return [_scalar(x) for x in t[1:-1].split(",")] if t[1:-1].strip() else []
-    if t == "{}":
-        return {}
-    if t.lower() in _WORDS:
-        return _WORDS[t.lower()]
-    if _NUMBER.fullmatch(t):
-        return int(t) if re.fullmatch(r"[-+]?\d+", t) else float(t)
-    return t
+    def construct_mapping(self, node, deep=False):
+        keys = [self.construct_object(k, deep=True) for k, _ in node.value]
+        if len(keys) != len(set(map(repr, keys))):
+            raise ValueError(f"a key comes twice, line {node.start_mark.line + 1}")
+        return super().construct_mapping(node, deep)
 
 
 def parse_yaml(text: str):
-    """Maps by indentation, `- ` lists and scalars; comments and blank lines are skipped. Anything else raises ValueError."""
-    lines = []
-    for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw) if "'" not in raw and '"' not in raw else raw
-        if line.strip() and line.strip() != "---":
-            lines.append((len(line) - len(line.lstrip()), line.strip()))
-
-    def block(at: int, depth: int):
-        found = [] if lines[at][1].startswith("- ") or lines[at][1] == "-" else {}
-        while at < len(lines) and lines[at][0] == depth:
-            line = lines[at][1]
-            if isinstance(found, list):
-                if not line.startswith("-"):
-                    break
-                found.append(_scalar(line[1:]))
-                at += 1
-                continue
-            name, colon, value = line.partition(":")
-            if not colon or (value and not value.startswith(" ")):
-                raise ValueError(f"no key: {line}")
-            at += 1
-            if value.strip():
-                found[_scalar(name)] = _scalar(value)
-            elif at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- "))):
-                found[_scalar(name)], at = block(at, lines[at][0])
-            else:
-                found[_scalar(name)] = None
-        if at < len(lines) and lines[at][0] > depth:
-            raise ValueError(f"unexpected indent: {lines[at][1]}")
-        return found, at
-
-    if not lines:
-        return None
-    found, at = block(0, lines[0][0])
-    if at < len(lines):
-        raise ValueError(f"unexpected line: {lines[at][1]}")
-    return found
-
-
-def dump_yaml(value, depth: int = 0) -> str:
-    """The text that `parse_yaml` reads back: maps, lists of scalars and scalars."""
-
-    def scalar(v) -> str:
-        if isinstance(v, str):
-            return v if v and _scalar(v) == v and not re.search(r"[:#'\"\[\]{},]|^[-\s]|\s$", v) else json.dumps(v)
-        return json.dumps(v)
-
-    out = []
-    for k, v in value.items():
-        if isinstance(v, dict) and v:
-            out += [f"{'  ' * depth}{scalar(k)}:", dump_yaml(v, depth + 1)]
-        elif isinstance(v, (list, tuple)):
-            out += [f"{'  ' * depth}{scalar(k)}:", *[f"{'  ' * (depth + 1)}- {scalar(x)}" for x in v]] if v else [f"{'  ' * depth}{scalar(k)}: []"]
-        else:
-            out.append(f"{'  ' * depth}{scalar(k)}: {'{}' if v == {} else scalar(v)}")
-    return "\n".join(out)
+    """The value of a YAML document: maps, lists and plain values. What isn't YAML, and a key that comes twice, raises ValueError."""
+    try:
+        return yaml.load(text, _Unique)  # a safe loader: it makes plain values only
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
+
+
+def dump_yaml(value) -> str:
+    """The text that `parse_yaml` reads back."""
+    return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
 
 
 def read_settings(path: str, default=None):
@@ -92,9 +42,47 @@ def read_settings(path: str, default=None):
             text = f.read().decode("utf-8-sig")
     except FileNotFoundError:
         return default
+    return _parsed(path, text)
+
+
+def _parsed(path: str, text: str):
     return json.loads(text) if path.endswith(".json") else parse_yaml(text)
 
 
 def keep_known(given: dict, known: dict) -> dict:
     """SF31: a configuration without the keys, at any depth, that `known` (the defaults) doesn't have."""
     return {k: keep_known(v, known[k]) if isinstance(v, dict) and isinstance(known[k], dict) else v for k, v in given.items() if k in known}
+
+
+def leaves(value, path: tuple = ()) -> Iterator[tuple[str, str]]:
+    """The values of nested maps with their paths, as JSON; an empty map is a value."""
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from leaves(v, (*path, str(k)))
+    else:
+        yield ".".join(path), json.dumps(value, separators=(",", ":"))
+
+
+def scan_settings(spark: SparkSession, folder: str, known: dict | None = None) -> DataFrame:
+    """SRC23, SF31: a row for each value of each JSON or YAML file of a folder: (name, path, value as JSON).
+
+    Each task reads and parses its own files. With `known` only the keys that it has are kept; a file that can't be read as
+    what its name says has one row with a null path and value; a file that isn't a map has its one value under an empty path.
+    """
+    texts = spark.read.option("pathGlobFilter", "*.{json,yaml,yml}").text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["name"], pdf["value"]):
+                try:
+                    value = _parsed(name, text.removeprefix("\ufeff"))
+                    kept = keep_known(value, known) if known is not None and isinstance(value, dict) else value
+                    rows += [(name, path, v) for path, v in leaves(kept)]
+                except ValueError:
+                    rows.append((name, None, None))
+            yield pd.DataFrame(rows, columns=["name", "path", "value"], dtype=object)
+
+    return texts.mapInPandas(run, "name string, path string, value string")

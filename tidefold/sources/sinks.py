@@ -168,7 +168,7 @@ def load_bundle(path: str):
 
 def write_yaml(value: dict, path: str) -> None:
     """SNK18: a small configuration file."""
-    write_bytes(path, (dump_yaml(value) + "\n").encode())
+    write_bytes(path, dump_yaml(value).encode())
 
 
 def write_arrow(df: DataFrame, path: str) -> None:
