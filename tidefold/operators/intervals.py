@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import frames
+from .scratch import written
+
 
 def overlap(start_a, end_a, start_b, end_b) -> Column:
     """Signed overlap of two intervals; null if any bound is null (least and greatest alone would skip nulls)."""
@@ -120,11 +123,28 @@ def match_by_iou(truth: DataFrame, predicted: DataFrame, key: str, threshold: fl
 def bracket(points: DataFrame, bounds: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """For each point the last bound strictly before it and the first strictly after it, within its key.
 
-    Both sides are put in one order; a window over it carries the bounds along, without any join. Null positions go.
+    Keys of up to GROUP_ROWS rows on both sides together are a window each. Beyond that the rows of a key stand in many tasks:
+    bounds are numbered over the whole table, each point counts those before it, and gets its bounds by their numbers. Rows
+    with a null position go; repeated points are rows of their own.
     """
-    both = points.where(F.col(pos).isNotNull()).select(key, pos, F.lit(None).cast("double").alias("b"), F.lit(True).alias("is_point"))
-    both = both.unionByName(bounds.where(F.col(pos).isNotNull()).select(key, pos, F.col(pos).cast("double").alias("b"), F.lit(False).alias("is_point")))
+    points, bounds = points.where(F.col(pos).isNotNull()).select(key, pos), bounds.where(F.col(pos).isNotNull()).select(key, pos).distinct()
+    both = points.withColumn("is_point", F.lit(True)).unionByName(bounds.withColumn("is_point", F.lit(False)))
+    if (both.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > frames.GROUP_ROWS:
+        return _bracket_wide(both, key, pos)
+    both = both.withColumn("b", F.when(~F.col("is_point"), F.col(pos).cast("double")))
     # points stand before the bounds at their own position in both directions, so those are left out
     before = F.max("b").over(W.partitionBy(key).orderBy(F.col(pos), F.desc("is_point")).rowsBetween(W.unboundedPreceding, -1))
     after = F.min("b").over(W.partitionBy(key).orderBy(F.desc(pos), F.desc("is_point")).rowsBetween(W.unboundedPreceding, -1))
     return both.withColumns({"prev_pos": before, "next_pos": after}).where("is_point").select(key, pos, "prev_pos", "next_pos")
+
+
+def _bracket_wide(both: DataFrame, key: str, pos: str) -> DataFrame:
+    named = both.select(F.col(key).alias("k"), F.col(pos).alias("at"), "is_point")
+    counted = written(frames.running_totals(named, ["k", "at", F.desc("is_point")], {"n": (~F.col("is_point")).cast("int")}))
+    numbered = counted.where("not is_point").select(F.col("n").alias("number"), F.col("k").alias("bk"), F.col("at").alias("b"))
+    points = counted.where("is_point").select("k", "at", "n", F.col("n") + 1, F.col("n") + 2).toDF("k", "at", "n0", "n1", "n2")
+    for i in range(3):  # the bound before; the first that isn't before, and if that is at the point itself the one after it
+        points = points.join(numbered.toDF(f"n{i}", f"k{i}", f"b{i}"), f"n{i}", "left")
+        points = points.withColumn(f"b{i}", F.when(F.col(f"k{i}").eqNullSafe(F.col("k")), F.col(f"b{i}")))
+    after = F.when(F.col("b1") > F.col("at"), F.col("b1")).when(F.col("b1") == F.col("at"), F.col("b2"))
+    return points.select(F.col("k").alias(key), F.col("at").alias(pos), F.col("b0").cast("double").alias("prev_pos"), after.cast("double").alias("next_pos"))

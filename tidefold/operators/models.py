@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import frames as frames_module
 from .sampling import ranked
 from .scratch import written
 
@@ -38,7 +39,10 @@ def _smooth(x: np.ndarray, sigma: float, laplace: bool = False) -> np.ndarray:
 
 
 def _otsu(x: np.ndarray, bins: int) -> float:
-    counts, edges = np.histogram(x, bins=bins)
+    return _otsu_of(*np.histogram(x, bins=bins))
+
+
+def _otsu_of(counts: np.ndarray, edges: np.ndarray) -> float:
     mid = (edges[1:] + edges[:-1]) / 2
     w0, s0 = np.cumsum(counts)[:-1], np.cumsum(counts * mid)[:-1]
     w, s = counts.sum(), (counts * mid).sum()
@@ -77,37 +81,53 @@ def find_edges(signal: np.ndarray, opt: EdgeOptions = EdgeOptions()) -> list[tup
     for p in tops:
         a, b = np.searchsorted(falls, p, side="left") - 1, np.searchsorted(falls, p, side="right")
         groups.setdefault((int(falls[max(a, 0)]), int(falls[min(b, len(falls) - 1)])), []).append(p)
-    events: list[list[int]] = []
-    for (a, b), peaks in sorted(groups.items()):
-        kept = peaks[:1]
-        for p in peaks[1:]:
-            if p - kept[-1] > opt.longest:
-                kept.append(p)
-            elif smooth[p] > smooth[kept[-1]]:
-                kept[-1] = p
-        bounds = [a]
-        for p, q in zip(kept, kept[1:]):
-            middle = (p + q) // 2
-            under = np.flatnonzero(smooth[p : middle + 1] <= opt.low)
-            above = np.flatnonzero(smooth[middle : q + 1] <= opt.low)
-            bounds += [p + int(under[0]) if len(under) else middle, middle + int(above[-1]) if len(above) else middle]
-        bounds.append(b)
-        events += [[bounds[2 * i], bounds[2 * i + 1], p] for i, p in enumerate(kept)]
+    flat, quiet = np.flatnonzero(smooth <= opt.low), np.flatnonzero(signal < opt.low)
+
+    def near(places: np.ndarray, p: int) -> tuple[int, int]:
+        """The last of the places up to p and the first from p on; far away where there is none."""
+        i, j = np.searchsorted(places, p, side="right") - 1, np.searchsorted(places, p, side="left")
+        return int(places[i]) if i >= 0 else -1, int(places[j]) if j < len(places) else n
+
+    return [e for (a, b), peaks in sorted(groups.items()) for e in events_between(a, b, [(p, float(smooth[p]), *near(flat, p), *near(quiet, p)) for p in peaks], opt)]
+
+
+def events_between(a: int, b: int, peaks: list[tuple], opt: EdgeOptions) -> list[tuple[int, int]]:
+    """Events of the peaks between two falls. A peak is (place, height, flat_before, flat_after, quiet_before, quiet_after): where
+    the smoothed signal is down at the level, and the signal under it, at the peak or nearest to it on both sides."""
+    kept = peaks[:1]
+    for p in peaks[1:]:
+        if p[0] - kept[-1][0] > opt.longest:
+            kept.append(p)
+        elif p[1] > kept[-1][1]:
+            kept[-1] = p
+    bounds = [a]
+    for p, q in zip(kept, kept[1:]):
+        middle = (p[0] + q[0]) // 2
+        bounds += [min(p[3], middle), max(q[2], middle)]
+    bounds.append(b)
     out = []
-    for a, b, p in events:
-        if b - a > opt.longest:
-            left = np.flatnonzero(signal[a : p + 1] < opt.low)
-            right = np.flatnonzero(signal[p : b + 1] < opt.low)
-            a, b = a + int(left[-1]) + 1 if len(left) else a, p + int(right[0]) - 1 if len(right) else b
-            if b - a > opt.longest:
-                a, b = max(a, p - opt.longest // 2), min(b, p + opt.longest // 2)
-        if b > a:
-            out.append((int(a), int(b)))
+    for i, (p, _, _, _, quiet_before, quiet_after) in enumerate(kept):
+        first, last = bounds[2 * i], bounds[2 * i + 1]
+        if last - first > opt.longest:
+            first, last = quiet_before + 1 if quiet_before >= first else first, quiet_after - 1 if quiet_after <= last else last
+            if last - first > opt.longest:
+                first, last = max(first, p - opt.longest // 2), min(last, p + opt.longest // 2)
+        if last > first:
+            out.append((int(first), int(last)))
     return out
 
 
 def edge_segments(frames: DataFrame, key: str, index: str, value: str, opt: EdgeOptions = EdgeOptions()) -> DataFrame:
-    """WN6: events of each key's series by edges of its smoothed signal. A key is a clip and class: one bounded series."""
+    """WN6: events of each key's series by edges of its smoothed signal: (key, first, last) as places in the series from 0.
+
+    The index is total within a key; null keys are one series, null values aren't allowed. Series of up to GROUP_ROWS frames
+    are one task each; longer ones are cut (`edges.long_edge_segments`), with the same result.
+    """
+    from . import edges
+
+    sizes = frames.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if sizes > frames_module.GROUP_ROWS:
+        return edges.long_edge_segments(frames, key, index, value, opt)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = find_edges(pdf.sort_values(index)[value].to_numpy(dtype=float), opt)
