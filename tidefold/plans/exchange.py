@@ -162,6 +162,14 @@ def audio_files(spark, d):
     return got.select(paths.stem(F.col("path")).cast("bigint").alias("id"), "duration", "sample_rate", F.round(F.array_max("samples").cast("double"), 5).alias("peak"))
 
 
+@register("audio_headers", "SELECT vec_id AS id, 4.0::DOUBLE AS duration, 16 AS sample_rate FROM embeddings")
+def audio_headers(spark, d):
+    """SRC13: WAV files' headers; their samples aren't read."""
+    at = _new(spark, "wav")
+    sinks.write_wav(_clips(spark, d), at, rate=16)
+    return files.read_audio(spark, at).select(paths.stem(F.col("path")).cast("bigint").alias("id"), "duration", "sample_rate")
+
+
 @register("audio_splits", f"SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS split, 2.0::DOUBLE AS duration, round({_PCM}, 5) AS peak FROM embeddings")
 def audio_splits(spark, d):
     """SRC11: WAV bytes in Parquet splits, decoded."""
@@ -237,6 +245,30 @@ def object_listing(spark, d):
     return spark.read.format("listing").options(bucket="b", prefixes="p,q", pages=at, extensions=".wav").load()
 
 
+@register("listing_stream", "SELECT 'b' AS bucket, 'p/' || lpad(s_suppkey::VARCHAR, 9, '0') || '.wav' AS key, length(s_name)::BIGINT AS size FROM supplier")
+def listing_stream(spark, d):
+    """SRC18, ST1: a listing whose pages tasks write, listed as a stream in two runs, between which keys are added."""
+    at, out, kept = (_new(spark, n) for n in ("pages", "listed", "state"))
+    key = F.concat(F.lit("p/"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(".wav"))
+    items = table(spark, d, "supplier").select(key.alias("name"), F.length("s_name").alias("size"), F.floor(F.col("s_suppkey") / 30).alias("page"))
+    last = items.agg(F.max("page")).first()[0] or 0
+
+    def write(upto: int, whole: bool) -> None:
+        """The first pages; the last of them only in part, if it isn't whole."""
+        shown = items.where((F.col("page") < upto) | ((F.col("page") == upto) & (F.lit(whole) | (F.col("name") < F.lit(f"p/{upto * 30 + 10:09d}.wav")))))
+        pages = shown.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("name", "size"))).alias("items"))  # 30 items at most
+        body = F.to_json(F.struct("items", F.when(F.col("page") < upto, F.concat(F.lit("t"), (F.col("page") + 1).cast("string"))).alias("nextPageToken")))
+        name = F.concat(F.lit("b-p-json-"), F.when(F.col("page") == 0, "0").otherwise(F.concat(F.lit("t"), F.col("page").cast("string"))))
+        commit.write_files(pages.select(name.alias("name"), body.cast("binary").alias("content")), at)
+
+    spark.dataSource.register(files.ListingSource)
+    for upto, whole in ((last // 2, False), (last, True)):
+        write(upto, whole)
+        stream = spark.readStream.format("listing").options(bucket="b", prefixes="p", pages=at, extensions=".wav").load()
+        watch.drain(stream, watch.append_to(out), kept)
+    return spark.read.schema("bucket string, key string, size bigint").json(f"{out}/batch=*")
+
+
 @register("crawl_pages", "WITH RECURSIVE r AS (SELECT 0::BIGINT AS i UNION ALL SELECT c FROM (SELECT unnest([2 * i + 1, 2 * i + 2]) AS c FROM r) JOIN pages ON page_id = c) SELECT 'h/' || i AS url FROM r")
 def crawl_pages(spark, d):
     """SRC21: what can be reached over saved pages, links out of the base left."""

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.scalars import sample_count
 from ..operators.scratch import written
@@ -115,37 +115,46 @@ def _npy_header(f) -> tuple[tuple[int, ...], np.dtype]:
 
 class _NpyReader(DataSourceReader):
     """Row ranges of a two-dimensional .npy file, or of a folder's files in the order of their names; each task seeks to its
-    own rows and reads them in pieces."""
+    own rows and gives them as Arrow batches."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.rows_each = int(options.get("rowseach", "65536"))
+        self.first, self.end = int(options.get("firstrow", "0")), int(options.get("endrow", str(2**62)))
 
     def partitions(self):
         parts, before = [], 0
         for path in _files(self.path):
             with open_input(path) as f:
                 rows = _npy_header(f)[0][0]
-            parts += [_Rows(path, i, min(self.rows_each, rows - i), before) for i in range(0, rows, self.rows_each)]
+            lo, hi = max(0, self.first - before), min(rows, self.end - before)
+            parts += [_Rows(path, i, min(self.rows_each, hi - i), before) for i in range(lo, hi, self.rows_each)]
             before += rows
         return parts or [_Rows("", 0, 0, 0)]
 
     def read(self, part):
+        import pyarrow as pa
+
         if not part.count:
             return
         with open_input(part.path) as f:
             shape, dtype = _npy_header(f)
             width = shape[1] * dtype.itemsize
             f.seek(f.tell() + part.first * width)
-            for lo in range(0, part.count, 1024):
-                n = min(1024, part.count - lo)
-                data = np.frombuffer(f.read(n * width), dtype=dtype).reshape(n, shape[1]).astype(np.float32)
-                for i, row in enumerate(data):
-                    yield part.before + part.first + lo + i, row.tolist()
+            for lo in range(0, part.count, 4096):
+                n = min(4096, part.count - lo)
+                data = np.frombuffer(f.read(n * width), dtype=dtype).astype(np.float32)
+                index = np.arange(n, dtype=np.int64) + part.before + part.first + lo
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * shape[1]), pa.array(data))
+                yield pa.RecordBatch.from_arrays([pa.array(index), rows], names=["row_index", "embedding"])
 
 
 class NpySource(DataSource):
-    """SRC7: spark.read.format("npy").load(path) of a file or a folder -> (row_index, embedding)."""
+    """SRC7: spark.read.format("npy").load(path) of a file or a folder -> (row_index, embedding).
+
+    The options `firstRow` and `endRow` (exclusive) leave only that range's rows to be opened. Filters aren't taken over: Spark
+    keeps what one query handed down for all others of the same DataFrame, which would then lose rows.
+    """
 
     @classmethod
     def name(cls):
@@ -224,10 +233,60 @@ def decode_audio(df: DataFrame, content: str, samples: bool = True) -> DataFrame
     return df.mapInPandas(parse, schema)
 
 
+#: The format numbers of plain samples and of the extended header.
+PCM, EXTENSIBLE = 1, 0xFFFE
+
+
+def wav_header(f) -> tuple[int, int] | None:
+    """Sample rate and number of frames of an open WAV file: its chunks' heads are read, what lies between is passed over."""
+    if f.read(4) != b"RIFF" or len(f.read(4)) < 4 or f.read(4) != b"WAVE":
+        return None
+    form = None
+    while len(head := f.read(8)) == 8:
+        name, size = head[:4], int.from_bytes(head[4:], "little")
+        begin = f.tell()
+        if name == b"fmt ":
+            data = f.read(min(size, 16))
+            if len(data) < 16:
+                return None
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data)
+            if kind not in (PCM, EXTENSIBLE) or not channels or not 0 < bits <= 32:
+                return None
+            form = channels * ((bits + 7) // 8), rate
+        elif name == b"data":
+            return (form[1], size // form[0]) if form and form[1] > 0 else None
+        f.seek(begin + size + size % 2)
+    return None
+
+
+def read_headers(files_: DataFrame, path: str = "path") -> DataFrame:
+    """SRC13: add duration and sample_rate of WAV files from their headers; a file's samples aren't read, however long it is.
+
+    What can't be read, or holds no samples, has nulls. Paths are those of `storage`.
+    """
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files_.schema.fields) + "duration double, sample_rate int"
+
+    def run(batches):
+        for pdf in batches:
+            got = []
+            for at in pdf[path]:
+                try:
+                    with open_input(at) as f:
+                        got.append(wav_header(f))
+                except OSError:
+                    got.append(None)
+            yield pdf.assign(duration=[g[1] / g[0] if g and g[1] else None for g in got], sample_rate=pd.array([g[0] if g and g[1] else None for g in got], dtype="Int32"))
+
+    return files_.mapInPandas(run, schema)
+
+
 def read_audio(spark: SparkSession, root: str, samples: bool = False) -> DataFrame:
-    """SRC13, SRC14: (path, duration, sample_rate[, samples]) of WAV files; unreadable ones have nulls. Channels are averaged."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "content")
-    return decode_audio(files, "content", samples)
+    """SRC13, SRC14: (path, duration, sample_rate[, samples]) of WAV files; unreadable ones have nulls. Channels are averaged.
+
+    Without samples only headers are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root)
+    return decode_audio(found.select("path", "content"), "content", True) if samples else read_headers(found.select("path"))
 
 
 def zip_slice(content: str = "content", at: str = "at") -> F.Column:
@@ -264,32 +323,38 @@ def read_splits(spark: SparkSession, **paths: str) -> DataFrame:
     return out
 
 
-def _arrow_batches(path: str):
+def _arrow_open(f):
+    """A reader of an open Arrow file, by which single batches are read, or of a stream."""
     import pyarrow as pa
 
-    with open_input(path) as f:
-        data = f.read()
     try:
-        reader = pa.ipc.open_file(data)
-        yield reader.schema
-        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+        return pa.ipc.open_file(f)
     except pa.ArrowInvalid:
-        reader = pa.ipc.open_stream(data)
-        yield reader.schema
-        yield from reader
+        f.seek(0)
+        return pa.ipc.open_stream(f)
 
 
 class _ArrowReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """A task for some batches of a file; a stream is one task. Only a task's own batches are read."""
+
+    def __init__(self, options):
+        self.path, self.batches_each = options["path"], int(options.get("batcheseach", "16"))
 
     def partitions(self):
-        return [InputPartition(p) for p in _files(self.path)]
+        parts = []
+        for path in _files(self.path):
+            with open_input(path) as f:
+                count = getattr(_arrow_open(f), "num_record_batches", None)
+            parts += [InputPartition((path, i, min(count, i + self.batches_each))) for i in range(0, count, self.batches_each)] if count is not None else [InputPartition((path, None, None))]
+        return parts or [InputPartition((None, 0, 0))]
 
     def read(self, part):
-        batches = _arrow_batches(part.value)
-        next(batches)
-        yield from batches
+        path, first, end = part.value
+        if path is None:
+            return
+        with open_input(path) as f:
+            reader = _arrow_open(f)
+            yield from (reader if first is None else (reader.get_batch(i) for i in range(first, end)))
 
 
 def _files(path: str) -> list[str]:
@@ -298,7 +363,7 @@ def _files(path: str) -> list[str]:
 
 
 class ArrowSource(DataSource):
-    """SRC10: spark.read.format("arrow_files").load(path): Arrow files or streams, one task a file, batches as they are."""
+    """SRC10: spark.read.format("arrow_files").load(path): Arrow files or streams, batches as they are, `batchesEach` of a file to a task."""
 
     @classmethod
     def name(cls):
@@ -307,10 +372,11 @@ class ArrowSource(DataSource):
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(next(_arrow_batches(_files(self.options["path"])[0])))
+        with open_input(_files(self.options["path"])[0]) as f:
+            return from_arrow_schema(_arrow_open(f).schema)
 
     def reader(self, schema):
-        return _ArrowReader(self.options["path"])
+        return _ArrowReader(self.options)
 
 
 LABEL_ARRAYS = {"start_time_lbl": "array<float>", "end_time_lbl": "array<float>", "start_frame_lbl": "array<bigint>", "end_frame_lbl": "array<bigint>", "lbl": "array<string>", "lbl_cat": "array<bigint>", "foc": "array<bigint>"}
@@ -429,33 +495,74 @@ class _ListingReader(DataSourceReader):
     def partitions(self):
         return [InputPartition(p) for p in self.prefixes]
 
-    def _listed(self, fetch, kind: str, prefix: str) -> Iterator[tuple[str, int]]:
-        token, seen = "", set()
+    def _listed(self, kind: str, prefix: str, token: str) -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
+        module, _, name = self.options.get("fetch", f"{__name__}:{'saved_pages' if 'pages' in self.options else 'web_pages'}").partition(":")
+        fetch = getattr(importlib.import_module(module), name)(self.options)
+        seen = set()
         while token not in seen:
             seen.add(token)
             page = fetch(kind, self.bucket, prefix, token)
             if kind == "json":
                 json.loads(page)  # an error page isn't a listing
-            yield from parse_listing(page)
+            yield kind, token, parse_listing(page)
             token = next_token(page)
             if not token:
                 return
         raise ValueError(f"the listing of {prefix} comes back to {token}")
 
-    def read(self, part):
-        module, _, name = self.options.get("fetch", f"{__name__}:{'saved_pages' if 'pages' in self.options else 'web_pages'}").partition(":")
-        fetch = getattr(importlib.import_module(module), name)(self.options)
+    def pages(self, prefix: str, kind: str = "", token: str = "") -> list[tuple[str, str, list[tuple[str, int]]]]:
+        """Pages from a token on as (kind, token, keys and sizes); where the kind isn't known yet JSON is tried, then XML."""
+        if kind:
+            return list(self._listed(kind, prefix, token))
         try:
-            found = list(self._listed(fetch, "json", part.value))
+            return list(self._listed("json", prefix, token))
         except (OSError, ValueError, KeyError):
-            found = list(self._listed(fetch, "xml", part.value))
-        for key, size in found:
-            if not key.endswith("/") and key.lower().endswith(self.extensions or ("",)):
-                yield self.bucket, key, size
+            return list(self._listed("xml", prefix, token))
+
+    def wanted(self, key: str) -> bool:
+        return not key.endswith("/") and key.lower().endswith(self.extensions or ("",))
+
+    def read(self, part):
+        for _, _, keys in self.pages(part.value):
+            yield from ((self.bucket, key, size) for key, size in keys if self.wanted(key))
+
+
+class _ListingStream(DataSourceStreamReader):
+    """A listing as a stream: how far it is, for each prefix the kind of its pages, the token of the last page and the last key.
+
+    Pages come in the order of their keys, so new keys stand behind the last one: a batch begins at the page where the one
+    before it ended, and tasks, one a prefix, list what is new. Keys that are added before the last one aren't seen.
+    """
+
+    def __init__(self, options):
+        self.listing, self.at = _ListingReader(options), None
+
+    def initialOffset(self):
+        return {p: ["", "", ""] for p in self.listing.prefixes}
+
+    def latestOffset(self):
+        self.at = {p: self._last(p, at) for p, at in (self.at or self.initialOffset()).items()}
+        return self.at
+
+    def _last(self, prefix: str, at: list) -> list:
+        for kind, token, keys in self.listing.pages(prefix, at[0], at[1]):
+            at = [kind, token, max([at[2], *(k for k, _ in keys)])]
+        return at
+
+    def partitions(self, start, end):
+        return [InputPartition((p, start.get(p, ["", "", ""]), upto)) for p, upto in end.items() if upto[2] > start.get(p, ["", "", ""])[2]]
+
+    def read(self, part):
+        prefix, (kind, token, after), (_, _, upto) = part.value
+        for _, _, keys in self.listing.pages(prefix, kind, token):
+            for key, size in keys:
+                if after < key <= upto and self.listing.wanted(key):
+                    yield self.listing.bucket, key, size
 
 
 class ListingSource(DataSource):
-    """SRC18-SRC20: spark.read.format("listing"): pages of bucket listings, JSON or XML -> (bucket, key, size).
+    """SRC18-SRC20: spark.read.format("listing"): pages of bucket listings, JSON or XML -> (bucket, key, size); ST1:
+    spark.readStream.format("listing"): keys that are new since the batch before.
 
     Options: bucket, prefixes (comma-separated), extensions (those to keep), and where pages come from: `pages` (a folder of
     saved ones), `json_url` and `xml_url` (templates), or `fetch` (`module:function`, called with the options, giving a
@@ -472,6 +579,9 @@ class ListingSource(DataSource):
     def reader(self, schema):
         return _ListingReader(self.options)
 
+    def streamReader(self, schema):
+        return _ListingStream(self.options)
+
 
 def month_prefixes(template: str, years: Iterable[int], months: Iterable[int | str] | None = None) -> list[str]:
     """SRC20: prefixes of the wanted months, so that others are never listed: a template with {year} and {month}."""
