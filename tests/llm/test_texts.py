@@ -278,13 +278,66 @@ def test_url_models_learn_from_tables(spark):
     rows = [(f"http://casino-zorbium.example.net/{i}", "<p>glint</p>") for i in range(30)] + [(f"http://blog.quexal.example.net/en/{i}", "<p>glint marrow</p>") for i in range(60)]
     rows += [(f"http://blog.adult-x.example.net/en/{i}", None) for i in range(10)] + [(None, None)]
     pages, documents = spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame(texts, "text string")
-    model = urls.train(pages, documents)
-    assert model.split("vantlezorbiummarrow") == ("vantle", "zorbium", "marrow")
+    costs, unknown = urls._costs(pages, documents, frozenset(urls.BLOCK_WORDS + urls.ALLOW_WORDS))
+    assert urls.split_tokens(spark.createDataFrame([("vantlezorbiummarrow",)], "token string"), costs, unknown).first()["pieces"] == ["vantle", "zorbium", "marrow"]
     tried = ["http://vantlezorbium.example.net/", "http://quexalmarrow.example.net/en/1", "http://blog.adult-x.example.net/en/330"]
-    out = {r["url"]: r["verdict"] for r in urls.judge(spark.createDataFrame([(u,) for u in tried], "url string"), model=model).collect()}
+    out = {r["url"]: r["verdict"] for r in urls.learn_and_judge(spark.createDataFrame([(u,) for u in tried], "url string"), documents, learn_from=pages).collect()}
     assert [out[u] for u in tried] == ["block", "allow", "block"]
-    empty = urls.train(pages.limit(0), documents.limit(0))
-    assert empty.split("cheapcasinopills") == ("cheap", "casino", "pills")
+    empty = urls.learn_and_judge(pages, documents.limit(0), learn_from=pages.limit(0))
+    assert {r["url"]: r["verdict"] for r in empty.collect()}["http://casino-zorbium.example.net/1"] == "block"
+    assert urls.learn_and_judge(pages.limit(0), documents).count() == 0
+
+
+def cheapest_of_all(token, cost, unknown):
+    """Every split of a token into words and single letters, tried one by one."""
+    if not token:
+        return 0.0, []
+    found = []
+    for k in range(1, len(token) + 1):
+        c = cost.get(token[:k], unknown if k == 1 else None)
+        if c is not None:
+            rest, pieces = cheapest_of_all(token[k:], cost, unknown)
+            found.append((c + rest, [token[:k], *pieces]))
+    return min(found)
+
+
+def test_splits_are_the_cheapest():
+    rng = random.Random(3)
+    for _ in range(200):
+        cost = {"".join(rng.choices("abc", k=rng.randint(2, 4))): rng.uniform(1, 6) for _ in range(12)}
+        token = "".join(rng.choices("abcd", k=rng.randint(1, 9)))
+        unknown = 8.0
+        pieces = urls.viterbi(token, cost, unknown)
+        assert "".join(pieces) == token
+        price = sum(cost[p] if p in cost else unknown * len(p) for p in pieces)
+        assert price == pytest.approx(cheapest_of_all(token, cost, unknown)[0])
+
+
+def test_learnt_scores_equal_a_model_in_memory(spark):
+    """Word costs, labels and odds over whole tables, by counting in Python; hot URLs, hot runs and repeated rows."""
+    from collections import Counter
+
+    pages = [tuple(r) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("url", "html").collect()] + [(None, None), ("no scheme", "a b"), ("http://hot.example.net/casino", "")] + [("http://www.example.net/", None)] * 40
+    texts = [r[0] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60).collect()]
+    pages_df, documents = spark.createDataFrame(pages, "url string, html string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    made = urls.learn_and_judge(pages_df.withColumn("n", F.lit(7)), documents)
+    model = urls.UrlModel()
+    counts = Counter()
+    for t in [re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ", h) for _, h in pages if h] + texts:
+        counts.update(w for w in re.split(r"[^\w]+|_", t.lower()) if re.fullmatch("[a-z]{2,40}", w))
+    listed, total = model.block_words | model.allow_words, sum(counts.values())
+    mean = max(1.0, total / len(counts))
+    model.learn_costs({w: max(counts[w], mean if w in listed else 0) for w in set(counts) | listed}, total + mean * len(listed))
+    split = lambda u: re.match(r"(?s)[^/?#]*", (u or "").partition("://")[2])[0].lower() + " " + re.match(r"(?s)[^/?#]*([^?#]*)", (u or "").partition("://")[2])[1]
+    block, allow = Counter(), Counter()
+    for u, _ in pages:
+        words = model.words(split(u))
+        (block if model.label(words) == "block" else allow).update(words)
+    model.learn_odds(block, allow, (sum(block.values()), sum(allow.values())))
+    rows = made.collect()
+    assert len(rows) == len(pages) and all(r["n"] == 7 for r in rows)
+    for r in rows:
+        assert r["score"] == pytest.approx(model.score(r["host"], r["path"]), abs=1e-9), r
 
 
 # toxicity

@@ -1,11 +1,10 @@
-"""URL filter: host rules first, then a classifier over segmented host and path words.
-
-Concatenated host names are split into words by a unigram Viterbi pass; the words of host and path are scored by a
-multinomial naive Bayes model of two classes, allow and block. `train` learns both from the tables: the Viterbi costs are
-word counts of all pages and documents, and the classifier's are the words of all URLs, labelled by the seed list below
-(a block word anywhere labels a URL as block, others are allow). Without tables a model is made of the lists alone.
-Rules and parsing are Spark columns; scores are one map over rows without any shuffle, so no host is ever gathered,
-however common it is.
+"""URL filter: host rules, and a learnt judgement of the words in hosts and paths.
+
+A URL's runs of letters are split into words by unigram Viterbi, with costs from the words of all pages and documents, and
+multinomial naive Bayes, learnt from the words of all URLs, scores the words. URLs are labelled weakly, by a fixed list of
+block words. Both models are tables that stay in the cluster, whatever their size: pieces of the distinct runs meet the
+costs in a join, split runs meet the odds of their words in another, and URLs meet the scores of their runs in a third.
+Runs and URLs that many rows share are dealt over tasks. `UrlModel` is the same for models that fit into memory.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, unused
+from .common import discard, join_facts, materialize, scratch, table, unused
 
 # The rules of the query as (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -30,8 +29,31 @@ ALLOW_WORDS = tuple("www blog news docs doc wiki help support home about page pa
 _CUT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"(\d+)")
 
-#: Words that each of the two models holds at most, the most frequent ones: they are sent to every worker.
-MODEL_WORDS = 200_000
+#: Letters of a word that the costs know, at most.
+LONGEST = 40
+
+
+def viterbi(token: str, cost: dict[str, float], unknown: float, longest: int = LONGEST) -> tuple[str, ...]:
+    """The cheapest split of a token into words, longer last words first at a tie; letters outside every word are joined into unknown pieces."""
+    best, back = [0.0] + [math.inf] * len(token), [0] * (len(token) + 1)
+    for end in range(1, len(token) + 1):
+        for start in range(max(0, end - longest), end):
+            c = cost.get(token[start:end], unknown if end - start == 1 else math.inf)
+            if best[start] + c < best[end]:
+                best[end], back[end] = best[start] + c, start
+    pieces, end = [], len(token)
+    while end:
+        pieces.append(token[back[end] : end])
+        end = back[end]
+    out: list[str] = []
+    loose = ""
+    for p in reversed(pieces):
+        if p in cost:
+            out += [loose, p] if loose else [p]
+            loose = ""
+        else:
+            loose += p
+    return tuple(out + [loose] if loose else out)
 
 
 class UrlModel:
@@ -69,31 +91,9 @@ class UrlModel:
         if token not in self.known:
             if len(self.known) > 1 << 16:
                 self.known.clear()
-            self.known[token] = self._cheapest(token)
+            self.known[token] = viterbi(token, self.cost, self.unknown, self.longest)
         return self.known[token]
 
-    def _cheapest(self, token: str) -> tuple[str, ...]:
-        """The cheapest split of a token into words; letters outside every word are joined into unknown pieces."""
-        best, back = [0.0] + [math.inf] * len(token), [0] * (len(token) + 1)
-        for end in range(1, len(token) + 1):
-            for start in range(max(0, end - self.longest), end):
-                c = self.cost.get(token[start:end], self.unknown if end - start == 1 else math.inf)
-                if best[start] + c < best[end]:
-                    best[end], back[end] = best[start] + c, start
-        pieces, end = [], len(token)
-        while end:
-            pieces.append(token[back[end] : end])
-            end = back[end]
-        out: list[str] = []
-        loose = ""
-        for p in reversed(pieces):
-            if p in self.cost:
-                out += [loose, p] if loose else [p]
-                loose = ""
-            else:
-                loose += p
-        return tuple(out + [loose] if loose else out)
-
     def words(self, text: str) -> list[str]:
         return [w for run in _CUT.split(text.lower()) for token in _DIGITS.split(run) if token and not token.isdigit() for w in self.split(token)]
 
@@ -130,49 +130,93 @@ def word_counts(pages: DataFrame, documents: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _labelled(model: UrlModel):
+def _costs(pages: DataFrame, documents: DataFrame, listed: frozenset[str]) -> tuple[DataFrame, float]:
+    """Words with their costs, and that of a letter that no word covers; a listed word is as frequent as the mean word at least."""
+    counts = materialize(word_counts(pages, documents), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    mean = max(1.0, total / max(distinct, 1))
+    whole = total + mean * len(listed)
+    named = counts.sparkSession.createDataFrame([(w, mean) for w in sorted(listed)], "word string, least double")
+    both = counts.join(named, "word", "full").select("word", F.greatest(F.coalesce(F.col("n").cast("double"), F.lit(0.0)), F.coalesce("least", F.lit(0.0))).alias("n"))
+    costs = materialize(both.where(F.length("word") > 1).select("word", (-F.log(F.col("n") / whole)).alias("cost")), "costs")
+    discard(counts)
+    return costs, math.log(whole) + 2.0
+
+
+def split_tokens(tokens: DataFrame, costs: DataFrame, unknown: float) -> DataFrame:
+    """Distinct `token`s, runs of letters a to z, with their `pieces`: each meets those of its pieces that are words, and no others."""
+    raw = F.encode("token", "UTF-8")  # a piece of bytes is taken without going through what is before it
+    cut = lambda b: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - 1, F.lit(1))), lambda i: F.transform(F.filter(F.sequence(F.lit(2), F.lit(LONGEST)), lambda k: k <= F.length(b) - i + 1), lambda k: b.substr(i, k).cast("string"))))
+    pieces = tokens.select("token", F.explode(F.array_distinct(F.get(F.transform(F.array(raw), cut), 0))).alias("word"))
+    met = pieces.join(costs, "word").groupBy("token").agg(F.collect_list(F.struct("word", "cost")).alias("words"))  # of one token
+
     def run(batches):
         for pdf in batches:
-            found = [model.words(h) + model.words(p) for h, p in zip(pdf["host"], pdf["path"])]
-            rows = [(w, label == "block") for words in found for label in [model.label(words)] for w in words]
-            yield pd.DataFrame({"word": [w for w, _ in rows], "block": [b for _, b in rows]}).astype({"word": object, "block": bool})
+            found = [viterbi(t, {w["word"]: w["cost"] for w in ws} if ws is not None else {}, unknown) for t, ws in zip(pdf["token"], pdf["words"])]
+            yield pd.DataFrame({"token": pdf["token"], "pieces": [list(f) for f in found]})
 
-    return run
+    return tokens.select("token").join(met, "token", "left").mapInPandas(run, "token string, pieces array<string>")
 
 
-def _most(counts: DataFrame, by: str) -> list:
-    """The most frequent words: all of a count or none, so that only these words reach the driver."""
-    held, least = 0, None
-    for r in counts.groupBy(by).agg(F.count("*").alias("words")).orderBy(F.desc(by)).collect():
-        held += r["words"]
-        if held > MODEL_WORDS:
-            break
-        least = r[by]
-    return [] if least is None else counts.where(F.col(by) >= least).collect()
+def score_urls(urls: DataFrame, pages: DataFrame, documents: DataFrame, url: str = "url", **options) -> DataFrame:
+    """The probability of block for each distinct URL of `urls` (host, path), (host, path, n, score), learnt from `pages` (url, html)
+    and `documents` (text); `n` counts its rows, `options` are those of `UrlModel`.
 
-
-def train(pages: DataFrame, documents: DataFrame, url: str = "url", **options) -> UrlModel:
-    """A model learnt from all pages (url, html) and all documents (text); `options` are those of `UrlModel`."""
+    Counts and costs are of all rows. Null URLs and texts count as empty; without pages or documents the lists alone are
+    the model. A URL is read whole, however long; no URLs give no rows.
+    """
     model = UrlModel(**options)
-    counts = materialize(word_counts(pages, documents), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    unigrams = {r["word"]: r["n"] for r in _most(counts, "n")}
-    discard(counts)
-    mean = max(1.0, total / max(distinct, 1))
-    for w in model.block_words | model.allow_words:  # a listed word is as frequent as the mean word at least
-        unigrams[w] = max(unigrams.get(w, 0), mean)
-    model.learn_costs(unigrams, total + mean * len(model.block_words | model.allow_words))
-
+    listed = model.block_words | model.allow_words
+    costs, unknown = _costs(pages, documents, listed)
     host, path = parts(F.col(url))
-    named = pages.select(host.alias("host"), path.alias("path"))
-    words = named.mapInPandas(_labelled(model), "word string, block boolean")
-    counts = materialize(words.groupBy("word").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")), "words")
-    totals = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
-    found = _most(counts.withColumn("n", F.col("a") + F.col("b")), "n")
-    discard(counts)
-    model.learn_odds({r["word"]: r["b"] for r in found}, {r["word"]: r["a"] for r in found}, tuple(totals))
-    model.known.clear()
-    return model
+    runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("[a-z]+"), F.lit(0))
+    both = urls.select("host", "path", F.lit(1).alias("asked"), F.lit(0).alias("taught")).unionByName(pages.select(host.alias("host"), path.alias("path"), F.lit(0).alias("asked"), F.lit(1).alias("taught")))
+    named = materialize(both.groupBy("host", "path").agg(F.sum("asked").alias("asked"), F.sum("taught").alias("taught")).withColumn("runs", runs), "urls")
+    met = named.select("host", "path", "asked", "taught", F.explode("runs").alias("token"))
+    tokens = materialize(met.groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    split = materialize(split_tokens(tokens, costs, unknown), "split")
+    # a URL's label: whether one of its words is a block word
+    bad = F.exists("pieces", lambda p: p.isin(*sorted(model.block_words)))
+    facts = materialize(tokens.join(split.select("token", bad.alias("bad")), "token"), "labels")
+    count = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    labelled = join_facts(met.where("taught > 0").select("host", "path", "taught", "token"), facts, ["token"], count)
+    labelled = labelled.groupBy("host", "path").agg(F.max("taught").alias("taught"), F.bool_or("bad").alias("bad"), F.collect_list("token").alias("tokens"))  # of one URL
+    taught = labelled.select("taught", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("taught")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("taught"))).alias("a"))
+    words = taught.join(split, "token").select("b", "a", F.explode("pieces").alias("word"))
+    lists = urls.sparkSession.createDataFrame([(w, n, 0) for w, n in sorted(model.listed[0].items())] + [(w, 0, n) for w, n in sorted(model.listed[1].items())], "word string, b long, a long")
+    words = materialize(words.unionByName(lists.select("b", "a", "word")).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "odds")
+    n_b, n_a, size = words.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
+    alpha, smooth = model.alpha, model.alpha * (size + 1)
+    odds = words.select("word", (F.log((F.col("b") + alpha) / (n_b + smooth)) - F.log((F.col("a") + alpha) / (n_a + smooth))).alias("odds"))
+    scored = split.select("token", F.explode("pieces").alias("word")).join(odds, "word").groupBy("token").agg(F.sum("odds").alias("odds"))
+    facts = materialize(tokens.join(scored, "token", "left").select("token", "n", F.coalesce("odds", F.lit(0.0)).alias("odds")), "scores")
+    found = join_facts(met.where("asked > 0").select("host", "path", "token"), facts, ["token"], count).groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    total = F.lit(model.prior) + F.coalesce("odds", F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), total))))
+    return named.where("asked > 0").join(found, ["host", "path"], "left").select("host", "path", F.col("asked").alias("n"), score.alias("score"))
+
+
+def learn_and_judge(pages: DataFrame, documents: DataFrame, learn_from: DataFrame | None = None, url: str = "url", rules=RULES, **options) -> DataFrame:
+    """`judge` by a model learnt from all of `learn_from` (the pages themselves, if none are given) and all documents."""
+    spark, model = pages.sparkSession, UrlModel(**options)
+    with scratch(spark):
+        host, path = parts(F.col(url))
+        names = {c: unused(pages, c) for c in ("host", "path", "rule", "says", "score", "verdict")}
+        split = pages.withColumns({names["host"]: host, names["path"]: path})
+        scores = materialize(score_urls(split.select(F.col(names["host"]).alias("host"), F.col(names["path"]).alias("path")), pages if learn_from is None else learn_from, documents, url, **options), "judged")
+        facts = scores.select(F.col("host").alias(names["host"]), F.col("path").alias(names["path"]), "n", F.col("score").alias(names["score"]))
+        rows = split.select(F.struct(*pages.columns).alias("__row"), names["host"], names["path"])  # so that no column is called as those of the join
+        rows = join_facts(rows, facts, [names["host"], names["path"]], pages.count()).select("__row.*", *[names[c] for c in ("host", "path", "score")])
+        return materialize(_verdicts(rows, pages, names, rules, model.threshold), "verdicts", keep=True)
+
+
+def _verdicts(scored: DataFrame, pages: DataFrame, names: dict, rules, threshold: float) -> DataFrame:
+    rule, says = with_rules(F.col(names["host"]), F.col(names["path"]), rules)
+    made = ("host", "path", "rule", "score", "verdict")
+    kept = [c for c in pages.columns if c not in made]
+    ruled = scored.withColumns({names["rule"]: rule, names["says"]: says})
+    verdict = F.coalesce(F.col(names["says"]), F.when(F.col(names["score"]) >= threshold, "block").otherwise("allow"))
+    return ruled.withColumn(names["verdict"], verdict).select(*kept, *[F.col(names[c]).alias(c) for c in made])
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
@@ -188,19 +232,14 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | Non
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([model.score(h, p) for h, p in zip(host, path)], dtype="float64")
 
-    made = ("host", "path", "rule", "score", "verdict")
     host, path = parts(F.col(url))
-    kept = [c for c in pages.columns if c not in made]
     names = {c: unused(pages, c) for c in ("host", "path", "rule", "says", "score", "verdict")}
     split = pages.withColumns({names["host"]: host, names["path"]: path})
-    rule, verdict = with_rules(F.col(names["host"]), F.col(names["path"]), rules)
-    scored = split.withColumns({names["rule"]: rule, names["says"]: verdict, names["score"]: score(names["host"], names["path"])})
-    verdict = F.coalesce(F.col(names["says"]), F.when(F.col(names["score"]) >= model.threshold, "block").otherwise("allow"))
-    return scored.withColumn(names["verdict"], verdict).select(*kept, *[F.col(names[c]).alias(c) for c in made])
+    return _verdicts(split.withColumn(names["score"], score(names["host"], names["path"])), pages, names, rules, model.threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """`op3_url_filter`: every page's URL judged."""
-    pages = table(spark, sf_dir, "pages")
-    model = train(pages, table(spark, sf_dir, "documents"))
-    return judge(pages.select("page_id", "url"), model=model).select("page_id", "host", "path", "rule", "verdict", "score")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = learn_and_judge(pages.select("page_id", "url"), table(spark, sf_dir, "documents").select("text"), learn_from=pages)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
