@@ -308,3 +308,34 @@ def test_nearest_unequal_lengths(spark):
     for q, j in zip(asked[who].tolist(), row.tolist()):
         got.setdefault(q, set()).add(j)
     assert recall(got, want) >= 0.9
+
+
+def test_query_groups_follow_the_tree(monkeypatch):
+    monkeypatch.setattr(nearest, "QUERIES", 10)
+    base, sub = nearest.query_groups([(0, 4), (1, 4), (2, 5), (4, 35), (5, 1)], 7)
+    assert base.tolist() == [0, 0, 1, 1, 2, 6, 6] and sub.tolist() == [1, 1, 1, 1, 4, 1, 1]
+
+
+def test_nearest_reads_parts_for_neighbouring_queries_together(spark, monkeypatch):
+    """On clustered vectors of like length a group of queries reads few parts; results are those of brute force."""
+    monkeypatch.setattr(nearest, "ROWS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 64)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, (24, 16))
+    x = centre[rng.integers(0, 24, 2400)] + rng.normal(0, 0.02, (2400, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats = {}
+    out = nearest.nearest(df, F.col("vec_id") % 5 == 0, 10, stats=stats).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 2400, 5):
+        near = x @ x[q]
+        near[q] = -2
+        hits += len(got[q] & set(np.argsort(-near, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * 480
+    parts, groups = 2400 // 64, 480 // 64
+    print(stats, parts * groups)
+    assert stats["reads"] < 0.6 * parts * groups

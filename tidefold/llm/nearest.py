@@ -255,7 +255,28 @@ def _sizes(vectors: pd.Series) -> np.ndarray:
     return out
 
 
-def _routed(low: np.ndarray, high: np.ndarray, parts: np.ndarray, first: np.ndarray, done: int, upto: int, groups: int, longest: float):
+def query_groups(homes: list, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each part the first number of its queries' groups, and how many groups they are dealt to.
+
+    `homes` has (part, queries in it). Parts that follow each other in the tree, and so lie near each other, share a group until it
+    has about QUERIES queries: their queries visit much the same parts, which are then read once for the group. A part with
+    more queries has groups of its own.
+    """
+    count = np.zeros(parts, dtype=np.int64)
+    for part, n in homes:
+        count[part] = n
+    base, sub, group, held = np.zeros(parts, dtype=np.int64), np.ones(parts, dtype=np.int64), 0, 0
+    for part in range(parts):
+        if held and held + count[part] > QUERIES:
+            group, held = group + 1, 0
+        base[part], sub[part] = group, max(1, -(-int(count[part]) // QUERIES))
+        held += int(count[part])
+        if sub[part] > 1:
+            group, held = group + int(sub[part]), 0
+    return base, sub
+
+
+def _routed(low: np.ndarray, high: np.ndarray, parts: np.ndarray, first: np.ndarray, done: int, upto: int, groups: tuple[np.ndarray, np.ndarray], longest: float):
     """A row for each query and part that it visits in this round."""
 
     def run(batches):
@@ -271,10 +292,11 @@ def _routed(low: np.ndarray, high: np.ndarray, parts: np.ndarray, first: np.ndar
                 cell = order[who, at]
                 who, part = np.repeat(who, parts[cell]), np.repeat(first[cell], parts[cell])
                 part = part + np.arange(len(part)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
-                ask = q["ask"].to_numpy(dtype=np.int64)[who]
+                ask, home = q["ask"].to_numpy(dtype=np.int64)[who], q["home"].to_numpy(dtype=np.int64)[who]
+                group = groups[0][home] + ask % groups[1][home]
                 for i in range(0, len(who), 20_000):
                     s = slice(i, i + 20_000)
-                    yield pd.DataFrame({"part": part[s], "group": ask[s] % groups, "ask": ask[s], "id": q["id"].to_numpy()[who[s]], "vector": q["vector"].to_numpy()[who[s]], "kth": kth[who[s]]})
+                    yield pd.DataFrame({"part": part[s], "group": group[s], "ask": ask[s], "id": q["id"].to_numpy()[who[s]], "vector": q["vector"].to_numpy()[who[s]], "kth": kth[who[s]]})
 
     return run
 
@@ -282,7 +304,7 @@ def _routed(low: np.ndarray, high: np.ndarray, parts: np.ndarray, first: np.ndar
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", stats: dict | None = None) -> DataFrame:
     """For each row for which the column `is_query` holds, its k nearest other rows: query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision, ties go to the smaller id; fewer rows than k are all returned.
@@ -290,7 +312,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     which changes no order), though `score` is then infinite or zero. Vectors that are null, empty, all zero or hold null or
     non-finite components take no part, nor do rows with a null id. A row never finds its own id; a repeated id is found
     once for each of its rows, and ranks anew for each row that asks. Other columns aren't read; an empty table, or no
-    query, gives no rows.
+    query, gives no rows. `stats` gets `reads`, how often a part of the table was read for a group of queries.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -326,8 +348,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
             dealt = dealt.join(F.broadcast(number), "cell").withColumn("part", F.col("first") + F.pmod(F.xxhash64("ask"), F.col("parts")))
             dealt = materialize(dealt.select(*columns, "part"), "dealt")
             discard(placed)
-        asked = dealt.where("asks").select("ask", "id", "vector", "aim")
-        groups = partitions_for(facts["q"], QUERIES)
+        asked = dealt.where("asks").select("ask", "id", "vector", "aim", F.col("part").alias("home"))
+        groups = query_groups([tuple(r) for r in asked.groupBy("home").agg(F.count("*")).collect()], int(parts.sum()))  # a row a part
         rank = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("near"), "vec_id"))
         best, done, upto = None, 0, 1
         while done < len(cells):
@@ -339,6 +361,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
             if best is not None and visits.isEmpty():
                 break
             pairs = visits.select(F.col("part").alias("visited"), F.col("group").alias("by")).distinct()
+            if stats is not None:
+                stats["reads"] = stats.get("reads", 0) + pairs.count()
             read = dealt.join(pairs, F.col("part") == F.col("visited")).select("visited", "by", "id", "vector")
             found = read.groupBy("visited", "by").cogroup(visits.groupBy("part", "group")).applyInPandas(_searched(exponent, longest, k), "ask long, vec_id long, near double, score double")
             both = found if best is None else best.unionByName(found)
