@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
-from ..operators import annotations, audio, dedup, nested
+from ..operators import annotations, audio, dedup, frames, nested
 from ..operators.scratch import folder
 from ..sources import commit, files, settings, sinks, snapshots
 from ..sources.storage import write_bytes
@@ -74,13 +74,15 @@ def flatten_tasks_joined(spark, d):
     return annotations.flatten(_tasks(spark, d), joined=True)
 
 
-@register("task_files", "SELECT n_nationkey::BIGINT AS file_index, n_name AS label FROM nation")
+@register("task_files", "SELECT event_id::VARCHAR AS source_id, event_type AS label FROM events")
 def task_files(spark, d):
-    """SRC3: a file that is one list of tasks, with a byte order mark."""
-    at = _new(spark, "tasks.json")
-    names = [r[0] for r in table(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]  # a fixed table of 25 rows
-    write_bytes(at, ("﻿" + json.dumps([{"id": i, "label": [{"start": 0, "end": 1, "labels": n}]} for i, n in enumerate(names)])).encode())
-    return annotations.flatten(annotations.tasks_of(spark.read.text(at, wholetext=True))).select("file_index", "label")
+    """SRC3: a file for each user that is one list of tasks, with a byte order mark; written and read by tasks."""
+    at = _new(spark, "tasks")
+    task = F.struct(F.col("event_id").alias("id"), F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.array("event_type").alias("labels"))).alias("label"))
+    lists = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(task)).alias("tasks"))  # a file's, which is one value by its format
+    content = F.concat(F.lit("\ufeff"), F.to_json("tasks")).cast("binary")
+    commit.write_files(lists.select(F.concat(F.col("user_id").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), at)
+    return annotations.flatten(annotations.tasks_of(spark.read.text(at, wholetext=True))).select("source_id", "label")
 
 
 @register("root_tsv", "SELECT '/data' AS root, source || '/' || doc_id || '.txt' AS rel_path, n_chars AS n_samples FROM documents")
@@ -215,32 +217,38 @@ def pruned_walk(spark, d):
     return files.pruned_manifests(wavs.unionByName(notes), 2)
 
 
-@register("container_slices", "SELECT n_nationkey, n_name AS name FROM nation")
+@register("container_slices", "SELECT c_custkey, c_name AS name FROM customer")
 def container_slices(spark, d):
-    """SRC17: byte ranges of a container file."""
-    at, n = _new(spark, "all.zip"), table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # a fixed table
-    data, rows = b"", []
-    for r in n:
-        rows.append((r[0], f"{at}:{len(data)}:{len(r[1].encode())}"))
-        data += r[1].encode()
-    write_bytes(at, data)
-    out = files.read_slices(spark.createDataFrame(rows, "n_nationkey int, at string"))
-    return out.select("n_nationkey", F.col("bytes").cast("string").alias("name"))
-
-
-@register("object_listing", "SELECT 'b' AS bucket, CASE WHEN n_nationkey < 12 THEN 'p/' ELSE 'q/' END || n_nationkey || '.wav' AS key, length(n_name)::BIGINT AS size FROM nation WHERE n_nationkey % 5 > 0")
+    """SRC17: byte ranges of container files, one for each nation; containers and references are made by tasks."""
+    at = _new(spark, "containers")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", F.octet_length("c_name").alias("n"))
+    whole = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("parts"))  # one file by its format
+    commit.write_files(whole.select(F.concat(F.col("c_nationkey").cast("string"), F.lit(".zip")).alias("name"), F.array_join(F.transform("parts", lambda p: p["c_name"]), "").cast("binary").alias("content")), at)
+    placed = frames.running_in_groups(c, ["c_nationkey"], [F.col("c_custkey")], {"end": F.col("n")})
+    refs = placed.select("c_custkey", F.concat_ws(":", F.concat(F.lit(f"{at}/"), F.col("c_nationkey").cast("string"), F.lit(".zip")), (F.col("end") - F.col("n")).cast("string"), F.col("n").cast("string")).alias("at"))
+    return files.read_slices(refs).select("c_custkey", F.col("bytes").cast("string").alias("name"))
+
+
+@register("object_listing", "SELECT 'b' AS bucket, CASE WHEN c_custkey % 2 = 0 THEN 'p/' ELSE 'q/' END || lpad(c_custkey::VARCHAR, 9, '0') || CASE WHEN c_custkey = 7 THEN '.WAV' ELSE '.wav' END AS key, length(c_name)::BIGINT AS size FROM customer WHERE c_custkey % 5 > 0")
 def object_listing(spark, d):
-    """SRC18-SRC20: paged listings, JSON of one prefix, XML of one whose JSON listing fails; by extension."""
-    at, n = _new(spark, "pages"), table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # a fixed table
-    named = [(f"{'p' if k < 12 else 'q'}/{k}.{'WAV' if k == 99 else 'wav' if k % 5 else 'txt'}", len(x)) for k, x in n]
-    for i, part in enumerate((named[:6], named[6:12])):
-        page = {"items": [{"name": k, "size": str(s)} for k, s in part] + [{"name": "p/", "size": "0"}]} | ({"nextPageToken": "t1"} if i == 0 else {})
-        write_bytes(f"{at}/b-p-json-{'t1' if i else 0}", json.dumps(page).encode())
-    write_bytes(f"{at}/b-q-json-0", b"<html>error</html>")
-    for i, part in enumerate((named[12:20], named[20:])):
-        more = f"<IsTruncated>true</IsTruncated><NextMarker>{part[-1][0].replace('/', '-')}</NextMarker>" if i == 0 else "<IsTruncated>false</IsTruncated>"
-        items = "".join(f"<Contents><Key>{k}</Key><Size>{s}</Size></Contents>" for k, s in part)
-        write_bytes(f"{at}/b-q-xml-{named[19][0].replace('/', '-') if i else 0}", f"<R xmlns='u'>{more}{items}</R>".encode())
+    """SRC18-SRC20: paged listings that tasks write, JSON of one prefix, XML of one whose JSON listing fails; by extension."""
+    at = _new(spark, "pages")
+    k = F.col("c_custkey")
+    ending = F.when(k % 5 == 0, ".txt").when(k == 7, ".WAV").otherwise(".wav")
+    prefix = F.when(k % 2 == 0, "p").otherwise("q")
+    items = table(spark, d, "customer").select(prefix.alias("prefix"), F.floor(k / 100).alias("page"), F.struct(F.concat(prefix, F.lit("/"), F.lpad(k.cast("string"), 9, "0"), ending).alias("name"), F.length("c_name").alias("size")).alias("item"))
+    last = items.agg(F.max("page")).first()[0] or 0
+    pages = items.groupBy("prefix", "page").agg(F.sort_array(F.collect_list("item")).alias("items"))  # 50 items at most
+    more = F.col("page") < last
+    after = F.concat(F.lit("t"), (F.col("page") + 1).cast("string"))
+    token = F.when(F.col("page") == 0, "0").otherwise(F.concat(F.lit("t"), F.col("page").cast("string")))
+    contents = F.array_join(F.transform("items", lambda i: F.concat(F.lit("<Contents><Key>"), i["name"], F.lit("</Key><Size>"), i["size"].cast("string"), F.lit("</Size></Contents>"))), "")
+    xml = F.concat(F.lit("<R xmlns='u'>"), F.when(more, F.concat(F.lit("<IsTruncated>true</IsTruncated><NextMarker>"), after, F.lit("</NextMarker>"))).otherwise("<IsTruncated>false</IsTruncated>"), contents, F.lit("</R>"))
+    json_page = F.to_json(F.struct("items", F.when(more, after).alias("nextPageToken")))
+    of_p = F.col("prefix") == "p"
+    named = pages.select(F.concat(F.lit("b-"), "prefix", F.when(of_p, "-json-").otherwise("-xml-"), token).alias("name"), F.when(of_p, json_page).otherwise(xml).cast("binary").alias("content"))
+    broken = items.where("prefix = 'q'").limit(1).select(F.lit("b-q-json-0").alias("name"), F.lit("<html>error</html>").cast("binary").alias("content"))
+    commit.write_files(named.unionByName(broken), at)
     spark.dataSource.register(files.ListingSource)
     return spark.read.format("listing").options(bucket="b", prefixes="p,q", pages=at, extensions=".wav").load()
 

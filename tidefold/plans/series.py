@@ -215,10 +215,10 @@ def sort_desc_nulls(spark, d):
     return table(spark, d, "orders").orderBy(key.desc_nulls_last(), "o_orderkey").limit(200).select("o_orderkey", "o_totalprice")
 
 
-@register("limit_ordered", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20")
+@register("limit_ordered", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
 def limit_ordered(spark, d):
     """SO2: a top-20 report."""
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
 
 
 @register("rasterise_labels", f"""WITH {EV}, a AS (SELECT event_id, user_id, floor(t % 86400 / 60)::BIGINT AS f0, floor((t % 86400 + value * 10) / 60)::BIGINT AS f1, event_type FROM ev WHERE event_type IN ('error', 'click')),
