@@ -35,6 +35,8 @@ _WORD = re.compile(r"[^\W_]+")
 _LEET = re.compile(r"(?<![^\W_])(?:[a-z]+[0-9@$!|]|[0-9@$!|]+[a-z])[a-z0-9@$!|]*(?<![!|])")
 SAMPLE_ROWS = 20_000
 SHORT = 32
+#: Features that a worker holds before it passes their counts on; Spark adds them up.
+HELD = 30_000
 PREFIXES = range(3, 9)
 
 
@@ -108,10 +110,9 @@ def _counts(batches):
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["toxic"]):
             (toxic if label else clean).update(features(text))
-        if len(toxic) + len(clean) > 200_000:
-            yield from _table(toxic, clean)
-            toxic.clear()
-            clean.clear()
+            if len(toxic) + len(clean) > HELD:
+                yield from _table(toxic, clean)
+                toxic, clean = Counter(), Counter()
     yield from _table(toxic, clean)
 
 
