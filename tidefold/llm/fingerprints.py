@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 KMER, PICKS, COMPONENTS, PIECE = 2, 2, 64, 32
-#: Ranges of ids for each shuffle partition, so that ranges hashed to partitions come out even.
-RANGES = 8
+#: Ranges of ids for each shuffle partition, so that ranges hashed to partitions come out even, and ranges at most.
+RANGES, MOST_RANGES = 8, 65_536
 
 #: Blocks of scripts written without spaces (Thai to Myanmar, Khmer, kana and ideographs).
 UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u3040-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
@@ -114,15 +114,21 @@ def as_text(fingerprint: Column) -> Column:
     return F.concat_ws("", F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")))
 
 
+def _constants(values: list, kind: str) -> Column:
+    """A constant array, as one literal for the optimizer, however many values it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _ranged(docs: DataFrame, key: str, at: str, halo: str) -> DataFrame:
     """Rows with the range of ids in which they stand, `at`; the row that opens a range also ends the one before it, as a `halo`.
 
     Rows with a null key stand in ranges of their own.
     """
-    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts, least = docs.agg(F.percentile_approx(key, [i / ranges for i in range(ranges)], 100 * ranges), F.min(key)).first()
+    ranges = min(MOST_RANGES, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = _constants([i / ranges for i in range(ranges)], "double")
+    cuts, least = docs.agg(F.percentile_approx(key, shares, 100 * ranges), F.min(key)).first()
     begins = [] if least is None else sorted({least, *cuts})
-    opened = F.array(*[F.lit(b) for b in begins]).cast("array<bigint>")
+    opened = _constants(begins, "bigint")
     steps = [F.lit(1 << b) for b in reversed(range(len(begins).bit_length()))]
     climb = lambda i, step: F.when(F.get(opened, i + step) <= F.col(key), i + step).otherwise(i)
     mine = F.aggregate(F.array(F.lit(0), *steps), F.lit(0), climb)
