@@ -242,14 +242,17 @@ def _encoded(docs: DataFrame, path: str, text: str, each, added: str, passed: li
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add `ids` (array<int>) and `decoded` to every row; null and empty texts have no ids and decode to an empty text.
 
-    Repeated rows are encoded each; an empty table stays empty; other columns pass through, and existing columns of the
+    A text is encoded whole, however long, by the task that holds it. Repeated rows are encoded each; an empty table stays empty; other columns pass through, and existing columns of the
     added names are replaced.
     """
     return _encoded(docs, path, text, lambda ids, decoded: (list(ids), decoded), "ids array<int>, decoded string", docs.columns)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As `encode`, but only the key, the number of ids and digests of ids and decoded text: nothing large comes back."""
+    """As `encode`, but only the key, the number of ids and digests of ids and decoded text: nothing large comes back.
+
+    Texts, repeated rows and empty tables are as there; of other columns none is read.
+    """
 
     def each(ids, decoded):
         return len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()

@@ -410,6 +410,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     """The rows of `docs` that stay: of each group the row with the smallest doc_id; of rows equal in id and text one.
 
     Unlike texts under one id are unlike documents, and all stay. So do rows with a null doc_id, as they can't be told apart.
+    Null and empty texts are in no group; texts are read whole, however long; an empty table stays empty; other columns pass
+    through, whatever they are called.
     """
     spark = docs.sparkSession
     with scratch(spark), small_batches(spark):

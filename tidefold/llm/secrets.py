@@ -231,6 +231,7 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_R
     """Replace every span, overlapping and adjoining ones merged, by `mark`.
 
     Null texts stay null; rows without spans stay as they are; repeated rows are redacted each; an empty table stays empty.
+    A text is put together whole, however long; other columns pass through, whatever they are called.
     """
     spans = unused(docs, "spans")
     scanned = scan(docs, text, rules, spans)

@@ -160,7 +160,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and others) with every later occurrence of a repeated span taken out of its text.
 
     The first occurrence stays. Rows without such a span, with a null doc_id or a null text stay as they are; n_chars, if
-    there is such a column, follows a changed text.
+    there is such a column, follows a changed text. Texts are searched and cut whole, however long; of repeated rows each is
+    cut alike; an empty table stays empty; other columns pass through, whatever they are called.
     """
     place, key, cut = (unused(docs, c) for c in ("place", "key", "spans"))
     spans = repeated_spans(docs).where(F.exists("spans", lambda s: s["later"])).withColumnsRenamed({"key": key, "place": place, "spans": cut})
