@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pytest
@@ -105,6 +106,30 @@ def test_pages_follow_tokens_and_fall_back():
         list(reader._listed(lambda *a: '{"items": [], "nextPageToken": "x"}', "json", "p"))
 
 
+def test_saved_pages_are_opened_by_name(tmp_path, monkeypatch):
+    """However many pages a folder holds, it is never listed; pages come one at a time; XML replaces a JSON listing that breaks off."""
+    from pyarrow import fs
+
+    n = 50
+    page = lambda i: {"items": [{"name": f"{i:03d}", "size": i}], **({"nextPageToken": f"t{i + 1}"} if i < n - 1 else {})}
+    for i in range(n):
+        for prefix in "pq":
+            bad = prefix == "q" and i == 7
+            (tmp_path / f"b-{prefix}-json-{f't{i}' if i else 0}").write_text("<html>" if bad else json.dumps(page(i)))
+    (tmp_path / "b-q-xml-0").write_text("<R><IsTruncated>true</IsTruncated><Contents><Key>x1</Key><Size>1</Size></Contents></R>")
+    (tmp_path / "b-q-xml-x1").write_text("<R><IsTruncated>false</IsTruncated><Contents><Key>x2</Key><Size>2</Size></Contents></R>")
+    selected = []
+    real = fs.FileSelector
+    monkeypatch.setattr(fs, "FileSelector", lambda *a, **k: selected.append(a) or real(*a, **k))
+    reader = files._ListingReader({"bucket": "b", "prefixes": "p,q", "pages": str(tmp_path)})
+    assert isinstance(reader.pages("p"), Iterator)
+    assert [k for _, _, keys in reader.pages("p") for k in keys] == [(f"{i:03d}", i) for i in range(n)]
+    assert [(kind, k) for kind, _, keys in reader.pages("q") for k in keys] == [("xml", ("x1", 1)), ("xml", ("x2", 2))]
+    assert selected == []
+    with pytest.raises(FileNotFoundError):
+        list(reader.pages("none"))
+
+
 def test_archive_needs_a_token(spark, monkeypatch):
     monkeypatch.delenv("TIDEFOLD_TOKEN", raising=False)
     with pytest.raises(ValueError):

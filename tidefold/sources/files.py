@@ -6,8 +6,10 @@ import importlib
 import io
 import json
 import os
+import pickle
 import re
 import struct
+import tempfile
 import urllib.parse
 import urllib.request
 import wave
@@ -23,7 +25,7 @@ from ..functions.scalars import sample_count
 from ..operators.scratch import written
 from ..streaming.watch import with_retries
 from .settings import read_settings
-from .storage import names, open_input
+from .storage import is_file, names, open_input
 
 # Names by which a manifest's columns are known, compared in lower case without spaces.
 ALIASES = {"filename": ("filename", "file"), "start_s": ("start_s", "start"), "end_s": ("end_s", "end")}
@@ -453,14 +455,13 @@ def source_table(sources: DataFrame, pos: str = "pos", bucket: str = "bucket", p
 
 def saved_pages(options: dict) -> Callable[[str, str, str, str], str]:
     """Pages from a folder: `bucket-prefix-kind-token`, or without the kind; the first page's token is 0."""
-    folder = options["pages"]
+    folder = options["pages"].rstrip("/")
 
     def fetch(kind: str, bucket: str, prefix: str, token: str) -> str:
         stem = f"{bucket}-{prefix.strip('/').replace('/', '-')}"
-        there = names(folder)
         for name in (f"{stem}-{kind}-{token or 0}", f"{stem}-{token or 0}"):
-            if name in there:
-                with open_input(f"{folder.rstrip('/')}/{name}") as f:
+            if is_file(f"{folder}/{name}"):  # the folder itself isn't listed, a page would then cost as much as all of them
+                with open_input(f"{folder}/{name}") as f:
                     return f.read().decode()
         raise FileNotFoundError(f"{stem}-{kind}-{token or 0}")
 
@@ -495,9 +496,11 @@ class _ListingReader(DataSourceReader):
     def partitions(self):
         return [InputPartition(p) for p in self.prefixes]
 
-    def _listed(self, kind: str, prefix: str, token: str) -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
+    def _fetch(self) -> Callable[[str, str, str, str], str]:
         module, _, name = self.options.get("fetch", f"{__name__}:{'saved_pages' if 'pages' in self.options else 'web_pages'}").partition(":")
-        fetch = getattr(importlib.import_module(module), name)(self.options)
+        return getattr(importlib.import_module(module), name)(self.options)
+
+    def _listed(self, fetch: Callable[[str, str, str, str], str], kind: str, prefix: str, token: str = "") -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
         seen = set()
         while token not in seen:
             seen.add(token)
@@ -510,14 +513,27 @@ class _ListingReader(DataSourceReader):
                 return
         raise ValueError(f"the listing of {prefix} comes back to {token}")
 
-    def pages(self, prefix: str, kind: str = "", token: str = "") -> list[tuple[str, str, list[tuple[str, int]]]]:
-        """Pages from a token on as (kind, token, keys and sizes); where the kind isn't known yet JSON is tried, then XML."""
+    def pages(self, prefix: str, kind: str = "", token: str = "") -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
+        """Pages from a token on as (kind, token, keys and sizes); where the kind isn't known yet JSON is tried, then XML.
+
+        The first page of a kind that isn't known comes when the JSON listing is through, as XML replaces all of it where it
+        fails; until then its pages are in a temporary file, so that one page at a time is in memory.
+        """
+        fetch = self._fetch()
         if kind:
-            return list(self._listed(kind, prefix, token))
-        try:
-            return list(self._listed("json", prefix, token))
-        except (OSError, ValueError, KeyError):
-            return list(self._listed("xml", prefix, token))
+            yield from self._listed(fetch, kind, prefix, token)
+            return
+        with tempfile.TemporaryFile() as kept:
+            try:
+                for page in self._listed(fetch, "json", prefix, token):
+                    pickle.dump(page, kept)
+            except (OSError, ValueError, KeyError):
+                yield from self._listed(fetch, "xml", prefix, token)
+                return
+            end = kept.tell()
+            kept.seek(0)
+            while kept.tell() < end:
+                yield pickle.load(kept)
 
     def wanted(self, key: str) -> bool:
         return not key.endswith("/") and key.lower().endswith(self.extensions or ("",))

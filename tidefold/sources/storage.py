@@ -25,6 +25,11 @@ def open_input(path: str):
     return system.open_input_file(at)
 
 
+def is_file(path: str) -> bool:
+    system, at = locate(path)
+    return system.get_file_info(at).type == fs.FileType.File
+
+
 def names(path: str) -> list[str]:
     """Base names of the files of a folder, sorted; none where the folder is missing."""
     system, at = locate(path)
