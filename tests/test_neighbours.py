@@ -59,6 +59,16 @@ def test_copies_per_row_do_not_grow_on_clustered_data(spark):
     assert max(shares) < 4
 
 
+def test_copies_per_row_do_not_grow_without_clusters(spark):
+    """Nearly all of 150 cells are visited, in 16 bundles or so: a row is copied for each bundle, not for each cell."""
+    x = np.random.default_rng(5).normal(0, 1, (1500, 12))
+    ids, stats, got = list(range(1500)), {}, {}
+    for r in neighbours.nearest_rows(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "i long, v array<double>"), "i", "v", 4, cell_rows=10, stats=stats).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"]))
+    assert {i: [o for _, o in sorted(v)] for i, v in got.items()} == brute(ids, x, 4)
+    assert stats["cells"] > 100 and stats["visits"] <= 24 * stats["nodes"]
+
+
 def test_nearest_rows_of_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [float("nan"), 0.0]), (None, [0.0, 1.0]), (6, [-0.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "i long, v array<double>, cell string")
