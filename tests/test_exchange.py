@@ -130,6 +130,26 @@ def test_saved_pages_are_opened_by_name(tmp_path, monkeypatch):
         list(reader.pages("none"))
 
 
+def test_tasks_are_parsed_once(spark):
+    """Bounds of ranges, the order and the numbers take the parsed rows; what is no map is no event wherever it stands."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        parsed.add(1)
+        return text
+
+    odd = ["x", 7, None, [{"start": 1, "end": 2}], {"start": 1}, {"start": 1, "end": 2, "labels": ["a", "b"]}, {"start": [1], "end": {"x": 1}, "choices": "c"}]
+    task = json.dumps({"id": 1, "annotations": [{"result": [{"value": v} for v in odd]}]})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([task, "7", '"no task"', "[1]", "\t\n" + task, "{bad", ""] * 3)], "file_index long, task string").repartition(3)
+    out = annotations.flatten(rows.withColumn("task", F.udf(counted, "string").asNondeterministic()("task"))).collect()
+    assert parsed.value == rows.count()
+    out = sorted(map(tuple, out), key=lambda r: r[0])
+    assert [r[0] for r in out] == list(range(18)) and [r[1:4] for r in out] == sorted(r[1:4] for r in out)
+    assert [(r[6], r[7], r[10], r[11]) for r in out[:3]] == [(1.0, 2.0, "a", 2), (1.0, 2.0, "b", 2), (None, None, "c", 1)] and {r[1] for r in out} == {0, 4, 7, 11, 14, 18}
+    plain = annotations.flatten(rows, numbered=False).collect()
+    assert sorted(map(tuple, plain), key=lambda r: r[:3]) == [r[1:] for r in out]
+
+
 def test_archive_needs_a_token(spark, monkeypatch):
     monkeypatch.delenv("TIDEFOLD_TOKEN", raising=False)
     with pytest.raises(ValueError):

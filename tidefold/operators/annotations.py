@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import running_totals
+from .frames import row_numbers
+from .scratch import written
 
 TASK = "id string, data string, audio string, file_upload string, label string, annotations string"
 EVENT = "start string, end string, channel string, labels string, choices string"
+EVENT_FIELDS = EVENT.replace(" string", ":string")
 
 
 def _items(text: Column) -> Column:
@@ -58,8 +60,8 @@ def events_of(task: Column) -> Column:
     notes = F.filter(F.coalesce(_items(task["annotations"]), F.array().cast("array<string>")), _is_map)
     notes = F.filter(F.transform(notes, lambda n: F.from_json(n, "was_cancelled string, result string")), lambda n: ~_truthy(n["was_cancelled"]))
     results = F.filter(F.flatten(F.transform(notes, lambda n: F.coalesce(_items(n["result"]), F.array().cast("array<string>")))), _is_map)
-    values = F.filter(F.transform(results, lambda r: F.from_json(r, "value string")["value"]), _is_map)
-    whole = F.filter(F.transform(values, _event), lambda e: e["start"].isNotNull() & e["end"].isNotNull())
+    values = F.transform(results, lambda r: F.from_json(r, f"value struct<{EVENT_FIELDS}>")["value"])  # null where it is no map
+    whole = F.filter(values, lambda e: e["start"].isNotNull() & e["end"].isNotNull())
     named = F.transform(whole, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["channel"].alias("channel"), F.when(_truthy(e["labels"]), e["labels"]).otherwise(e["choices"]).alias("labels")))
     zero = F.lit("0")
     plain = F.transform(F.transform(direct, _event), lambda e: F.struct(F.coalesce(e["start"], zero).alias("start"), F.coalesce(e["end"], zero).alias("end"), e["channel"].alias("channel"), e["labels"].alias("labels")))
@@ -73,14 +75,15 @@ def audio_of(task: Column) -> Column:
     return F.translate(F.coalesce(F.get(given, 0), F.lit("")), "\\", "/")
 
 
-def flatten(tasks: DataFrame, joined: bool = False, separator: str = "|", unknown: str = "unknown") -> DataFrame:
+def flatten(tasks: DataFrame, joined: bool = False, separator: str = "|", unknown: str = "unknown", numbered: bool = True) -> DataFrame:
     """PRJ2, PRJ3: a row for each event and label of tasks (file_index, task), or for each event with its labels joined.
 
     Columns: row_id (running over the whole table by file, event and label), file_index, event_index, label_index (not where
     joined), source_id, audio, start_s, end_s, duration_s (0 at least), channel, label, label_count. An event without labels
-    has the unknown one. A start or end that is no number is null, and so is the duration.
+    has the unknown one. A start or end that is no number is null, and so is the duration. Numbering sorts the whole table;
+    without `numbered` there is no row_id, and all of it is one map. Tasks are parsed once.
     """
-    parsed = tasks.withColumn("t", F.from_json("task", TASK))
+    parsed = tasks.withColumn("t", F.when(F.col("task").rlike(r"^\s*\{"), F.from_json("task", TASK)))  # what is no map costs an error each
     rows = parsed.select("file_index", F.col("t.id").alias("source_id"), audio_of(F.col("t")).alias("audio"), F.posexplode(events_of(F.col("t"))).alias("event_index", "e"))
     labels = normal_labels(F.col("e.labels"))
     rows = rows.withColumn("labels", F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(unknown))))
@@ -92,5 +95,5 @@ def flatten(tasks: DataFrame, joined: bool = False, separator: str = "|", unknow
     order = ["file_index", "event_index"] + ([] if joined else ["label_index"])
     if not joined:
         flat = flat.withColumn("label_index", F.col("label_index").cast("long"))
-    numbered = running_totals(flat, order, {"n": F.lit(1).cast("long")})
-    return numbered.select((F.col("n") - 1).alias("row_id"), *order, "source_id", "audio", "start_s", "end_s", "duration_s", "channel", "label", "label_count")
+    flat = row_numbers(written(flat), order, "row_id") if numbered else flat
+    return flat.select(*(["row_id"] if numbered else []), *order, "source_id", "audio", "start_s", "end_s", "duration_s", "channel", "label", "label_count")

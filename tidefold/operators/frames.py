@@ -53,6 +53,23 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, Column]) -> DataF
     return out.select(*df.columns, *[(F.col(f"__o_{name}") + F.col(f"__r_{name}")).alias(name) for name in sums])
 
 
+def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Add the place of each row, from 0, in one order of the whole table, without gathering it in one task.
+
+    As `running_totals` of 1 less one, without sums: rows are numbered within their range partition as they are written, and
+    the rows of the partitions before it, one number a partition, are added when the table is read. `df` is read twice, for
+    the bounds of the ranges and for the rows, so one that is made with effort should be `written` before.
+    """
+    within = (1 << 33) - 1  # of a monotonically increasing id the lower bits count the rows of a partition
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    totals = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    earlier = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    offsets = totals.select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
+    out = placed.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+    return out.select(*df.columns, (F.col("__o") + F.col("__id").bitwiseAND(F.lit(within))).alias(name))
+
+
 def running_in_groups(df: DataFrame, group: list[str], order: list, sums: dict[str, Column], counts: str | None = None) -> DataFrame:
     """Add running sums, this row included, within each group; with `counts` also the group's number of rows.
 
