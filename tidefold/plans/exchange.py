@@ -82,7 +82,7 @@ def task_files(spark, d):
     lists = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(task)).alias("tasks"))  # a file's, which is one value by its format
     content = F.concat(F.lit("\ufeff"), F.to_json("tasks")).cast("binary")
     commit.write_files(lists.select(F.concat(F.col("user_id").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), at)
-    return annotations.flatten(annotations.tasks_of(spark.read.text(at, wholetext=True))).select("source_id", "label")
+    return annotations.flatten(annotations.tasks_of(spark.read.text(at, wholetext=True)), numbered=False).select("source_id", "label")
 
 
 @register("root_tsv", "SELECT '/data' AS root, source || '/' || doc_id || '.txt' AS rel_path, n_chars AS n_samples FROM documents")
