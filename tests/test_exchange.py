@@ -150,6 +150,23 @@ def test_tasks_are_parsed_once(spark):
     assert sorted(map(tuple, plain), key=lambda r: r[:3]) == [r[1:] for r in out]
 
 
+def test_archive_lists_are_put_together(monkeypatch):
+    """A frame for many requests, not one for each; long lists are given out on the way."""
+    import pandas as pd
+
+    class Requests:
+        def mapInPandas(self, run, schema):
+            return list(run([pd.DataFrame({"target": [f"t{i}" for i in range(500)], "params": [{"n": str(i % 3)} for i in range(500)]})]))
+
+    fetch = lambda params: [(f"f{i}", i) for i in range(int(params["n"]))]
+    whole = files.fetch_archives(Requests(), fetch)
+    want = [(f"t{i}", f"f{j}", j) for i in range(500) for j in range(i % 3)]
+    assert len(whole) == 1 and list(whole[0].itertuples(index=False, name=None)) == want
+    monkeypatch.setattr(files, "FETCHED_ROWS", 100)
+    parts = files.fetch_archives(Requests(), fetch)
+    assert 4 <= len(parts) <= 6 and [r for p in parts for r in p.itertuples(index=False, name=None)] == want
+
+
 def test_archive_needs_a_token(spark, monkeypatch):
     monkeypatch.delenv("TIDEFOLD_TOKEN", raising=False)
     with pytest.raises(ValueError):

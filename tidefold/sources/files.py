@@ -27,6 +27,8 @@ from ..streaming.watch import with_retries
 from .settings import read_settings
 from .storage import is_file, names, open_input
 
+#: Rows of what archives list that a task puts together.
+FETCHED_ROWS = 10_000
 # Names by which a manifest's columns are known, compared in lower case without spaces.
 ALIASES = {"filename": ("filename", "file"), "start_s": ("start_s", "start"), "end_s": ("end_s", "end")}
 MANIFEST = "audio_filepath string, duration string, sample_rate string, _corrupt string"
@@ -687,10 +689,17 @@ def archive_request_table(targets: DataFrame, defaults: dict, shared: dict, toke
 def fetch_archives(requests: DataFrame, fetch: Callable[[dict], Iterable[tuple[str, int]]]) -> DataFrame:
     """SRC22: (target, file, size) of what `fetch` lists for each request, with retries; tasks fetch side by side."""
 
+    def frame(rows: list[tuple[str, str, int]]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["target", "file", "size"]).astype({"target": object, "file": object, "size": "int64"})
+
     def run(batches):
         for pdf in batches:
+            rows: list[tuple[str, str, int]] = []
             for target, params in zip(pdf["target"], pdf["params"]):
-                found = with_retries(lambda: list(fetch(dict(params))))  # noqa: B023
-                yield pd.DataFrame({"target": [target] * len(found), "file": [f for f, _ in found], "size": [n for _, n in found]}).astype({"file": object, "size": "int64"})
+                rows += [(target, f, n) for f, n in with_retries(lambda: list(fetch(dict(params))))]  # noqa: B023
+                if len(rows) >= FETCHED_ROWS:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return requests.mapInPandas(run, "target string, file string, size bigint")
