@@ -55,3 +55,9 @@ def test_settings_come_back(spark):
     with state.state_store(spark):
         assert spark.conf.get(name) == state.STORE[name]
     assert spark.conf.get(name, None) == before
+
+
+def test_keys_that_stay_known_are_no_work_for_python(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "k string, v int").write.json(str(tmp_path / "src"))
+    plan = state.unseen(watch.watch(spark, str(tmp_path / "src"), "k string, v int"), "k")._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan

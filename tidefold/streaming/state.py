@@ -64,7 +64,7 @@ def best_so_far(stream: DataFrame) -> DataFrame:
 
 
 class _Unseen(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None):
+    def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -84,8 +84,11 @@ def unseen(stream: DataFrame, key: str, forget_ms: int | None = None) -> DataFra
 
     The key isn't null in what comes out. State is one flag a key, which the time to live bounds.
     """
+    known = stream.where(F.col(key).isNotNull())
+    if forget_ms is None:
+        return known.dropDuplicates([key])  # the same state, without a call to Python for each key and batch
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return stream.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(_Unseen(forget_ms), schema, "Append", "None" if forget_ms is None else "ProcessingTime")
+    return known.groupBy(key).transformWithStateInPandas(_Unseen(forget_ms), schema, "Append", "ProcessingTime")
 
 
 def drain_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
