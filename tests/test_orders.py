@@ -93,3 +93,21 @@ def test_patterns_equal_a_nested_loop(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert containment.containing(t, "i", "text", p.limit(0), "text").count() == 0
     assert containment.containing(t.limit(0), "i", "text", p, "text").count() == 0
+
+
+def test_texts_are_cut_into_pieces_once(spark):
+    """The texts are read for their pieces and once more to verify; pieces are of 1 to 3 characters beyond ASCII too."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = [(i, t) for i, t in enumerate(["a\U0001f600b\u00e9c", "xy", "x", "", None, "abcabc", "\U0001f600"] * 3)]
+    patterns = ["\U0001f600b\u00e9", "\U0001f600", "xy", "x", "bca", "abca", "zz", "y"]
+    t = spark.createDataFrame(texts, "i long, text string").repartition(2)
+    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    out = containment.containing(t.withColumn("text", F.udf(counted, "string").asNondeterministic()("text")), "i", "text", p, "pattern")
+    got = sorted((r["i"], r["pattern"]) for r in out.collect())
+    assert got == sorted((i, x) for i, text in texts for x in patterns if text and x in text)
+    assert read.value <= 2 * len(texts)
